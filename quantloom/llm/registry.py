@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quantloom.llm import mixing, url_filter
+from quantloom.llm import decontaminate, mixing, url_filter
 
 
 def queries():
     return {
+        "op4_decontaminate": decontaminate.op4_decontaminate,
         "op9_urls": url_filter.op9_urls,
         "op10_mix": mixing.op10_mix,
     }
@@ -14,6 +15,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op4_decontaminate": decontaminate.OP4_SQL,
         "op9_urls": url_filter.OP9_SQL,
         "op10_mix": mixing.OP10_SQL,
     }
