@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quantloom.llm import decontaminate, mixing, url_filter
+from quantloom.llm import decontaminate, licenses, mixing, url_filter
 
 
 def queries():
     return {
         "op4_decontaminate": decontaminate.op4_decontaminate,
+        "op7_licenses": licenses.op7_licenses,
         "op9_urls": url_filter.op9_urls,
         "op10_mix": mixing.op10_mix,
     }
