@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quantloom.llm import decontaminate, licenses, mixing, url_filter
+from quantloom.llm import decontaminate, licenses, mixing, quality_rules, url_filter
 
 
 def queries():
     return {
+        "op2_quality_rules": quality_rules.op2_quality_rules,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op7_licenses": licenses.op7_licenses,
         "op9_urls": url_filter.op9_urls,
