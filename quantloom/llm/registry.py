@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantloom.llm import decontaminate, licenses, mixing, quality_rules, url_filter
+from quantloom.llm import decontaminate, licenses, mixing, quality_rules, secret_scan, url_filter
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op7_licenses": licenses.op7_licenses,
+        "op8_secrets": secret_scan.op8_secrets,
         "op9_urls": url_filter.op9_urls,
         "op10_mix": mixing.op10_mix,
     }
