@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quantloom.llm import decontaminate, licenses, mixing, quality_rules, secret_scan, url_filter
+from quantloom.llm import decontaminate, licenses, mixing, quality_rules, rule_ensemble, secret_scan, url_filter
 
 
 def queries():
     return {
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op4_decontaminate": decontaminate.op4_decontaminate,
+        "op6_quality": rule_ensemble.op6_quality,
         "op7_licenses": licenses.op7_licenses,
         "op8_secrets": secret_scan.op8_secrets,
         "op9_urls": url_filter.op9_urls,
