@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quantloom.llm import decontaminate, licenses, mixing, quality_rules, rule_ensemble, secret_scan, url_filter
+from quantloom.llm import decontaminate, jaccard_groups, licenses, mixing, quality_rules, rule_ensemble, secret_scan, url_filter
 
 
 def queries():
     return {
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op4_decontaminate": decontaminate.op4_decontaminate,
+        "op5_near": jaccard_groups.op5_near,
         "op6_quality": rule_ensemble.op6_quality,
         "op7_licenses": licenses.op7_licenses,
         "op8_secrets": secret_scan.op8_secrets,
@@ -20,6 +21,7 @@ def queries():
 def oracle_sql():
     return {
         "op4_decontaminate": decontaminate.OP4_SQL,
+        "op5_near": jaccard_groups.OP5_SQL,
         "op9_urls": url_filter.OP9_SQL,
         "op10_mix": mixing.OP10_SQL,
     }
