@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quantloom.llm import decontaminate, jaccard_groups, licenses, mixing, quality_rules, rule_ensemble, secret_scan, url_filter
+from quantloom.llm import decontaminate, jaccard_groups, language_mix, licenses, mixing, quality_rules, rule_ensemble, secret_scan, url_filter
 
 
 def queries():
     return {
         "op2_quality_rules": quality_rules.op2_quality_rules,
+        "op3_language": language_mix.op3_language,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_near": jaccard_groups.op5_near,
         "op6_quality": rule_ensemble.op6_quality,
