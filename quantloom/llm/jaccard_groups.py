@@ -294,10 +294,13 @@ def near_components(docs: DataFrame, group: int = GROUP) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """The document with the smallest id of every component, columns as given."""
+    """The document with the smallest id of every component, columns as given.
+
+    Documents without an id stay unless a document with one is in their component.
+    """
     near = near_components(docs, group)
-    kept = near.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    kept = near.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept")), "left_semi")
 
 
 def op5_near(spark, sf_dir: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quantloom.llm import decontaminate, jaccard_groups, language_mix, licenses, mixing, quality_rules, rule_ensemble, secret_scan, url_filter
+import corpus_pipeline
+from quantloom.llm import decontaminate, jaccard_groups, language_mix, licenses, mixing, quality_rules, rule_ensemble, secret_scan, suffix_dedup, url_filter
 
 
 def queries():
     return {
+        "op1_repeats": suffix_dedup.op1_repeats,
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op3_language": language_mix.op3_language,
         "op4_decontaminate": decontaminate.op4_decontaminate,
@@ -16,6 +18,7 @@ def queries():
         "op8_secrets": secret_scan.op8_secrets,
         "op9_urls": url_filter.op9_urls,
         "op10_mix": mixing.op10_mix,
+        "pipeline": corpus_pipeline.run,
     }
 
 
