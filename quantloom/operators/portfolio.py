@@ -131,7 +131,7 @@ def minimum_variance_pair(va: Column, vb: Column, cov: Column) -> Column:
     """Long-only weight of the first of two assets with the least variance; 1/2 if it is undefined."""
     spread = va + vb - 2 * cov
     weight = F.try_divide(vb - cov, F.when(spread > TOLERANCE, spread))
-    return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), weight)), F.lit(0.5))
+    return F.when(weight.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), weight))).otherwise(0.5)
 
 
 def maximum_sharpe_pair(ma: Column, mb: Column, va: Column, vb: Column, cov: Column) -> Column:

@@ -365,16 +365,16 @@ def _(spark, d):
 
 @entry(
     "rank_buckets",
-    f"SELECT date, ticker, CASE WHEN s IS NOT NULL THEN CASE WHEN s <= 1.0::DOUBLE / 3 THEN 1 WHEN s <= 2.0::DOUBLE / 3 THEN 2 ELSE 3 END END AS tercile, "
-    f"CASE WHEN s IS NOT NULL THEN CAST(least(5, greatest(1, ceil(s * 5))) AS INT) END AS quintile FROM (SELECT date, ticker, ({_rank('mom_3m_raw', 'date')}) / count(mom_3m_raw) OVER (PARTITION BY date) AS s FROM raw)",
+    f"SELECT date, ticker, CASE WHEN s IS NOT NULL THEN CAST(CASE WHEN s <= 1.0::DOUBLE / 3 THEN 1 WHEN s <= 2.0::DOUBLE / 3 THEN 2 ELSE 3 END AS DOUBLE) END AS tercile, "
+    f"CASE WHEN s IS NOT NULL THEN CAST(least(5, greatest(1, ceil(s * 5))) AS DOUBLE) END AS quintile FROM (SELECT date, ticker, ({_rank('mom_3m_raw', 'date')}) / count(mom_3m_raw) OVER (PARTITION BY date) AS s FROM raw)",
     "raw",
 )
 def _(spark, d):
     panel = features.add_raw_factors(_returns(spark, d))
     share_missing = F.col("mom_3m_raw").isNull()
     return panel.select(
-        "date", "ticker", cross_section.tercile("mom_3m_raw").alias("tercile"),
-        F.when(~share_missing, cross_section.ceiling_quintile("mom_3m_raw")).alias("quintile"),
+        "date", "ticker", cross_section.tercile("mom_3m_raw").cast("double").alias("tercile"),
+        F.when(~share_missing, cross_section.ceiling_quintile("mom_3m_raw")).cast("double").alias("quintile"),
     )
 
 
