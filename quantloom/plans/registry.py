@@ -1005,9 +1005,9 @@ def _performance(spark, d):
     return monitoring.performance_risk(_daily(spark, d), _market(spark, d, True))
 
 
-@entry("performance_risk", f"SELECT portfolio, date, {r('ret', 'return')}, CAST(drawdown_duration AS BIGINT) AS drawdown_duration, {rs(*_RISK)} FROM risk_state", "risk_state")
+@entry("performance_risk", f"SELECT portfolio, date, {r('ret', 'return')}, CAST(drawdown_duration AS DOUBLE) AS drawdown_duration, {rs(*_RISK)} FROM risk_state", "risk_state")
 def _(spark, d):
-    return _performance(spark, d).drop("maximum_drawdown_252")
+    return _performance(spark, d).drop("maximum_drawdown_252").withColumn("drawdown_duration", F.col("drawdown_duration").cast("double"))
 
 
 @entry("rolling_drawdown")
@@ -1017,7 +1017,7 @@ def _(spark, d):
 
 @entry(
     "drawdown_episodes",
-    "SELECT portfolio, coalesce(arg_min(b, date) FILTER (WHERE b IS NOT NULL AND date = first), min(date)) AS peak_date, arg_min(date, (drawdown, date)) AS trough_date, arg_max(a, date) AS recovery_date, " + r("min(drawdown)", "depth") + ", count(*) AS rows_under_water FROM ("
+    "SELECT portfolio, coalesce(arg_min(b, date) FILTER (WHERE b IS NOT NULL AND date = first), min(date)) AS peak_date, arg_min(date, (drawdown, date)) AS trough_date, arg_max_null(a, date) AS recovery_date, " + r("min(drawdown)", "depth") + ", count(*) AS rows_under_water FROM ("
     "SELECT *, min(date) OVER (PARTITION BY portfolio, island) AS first FROM (SELECT portfolio, date, drawdown, b, a, island FROM (SELECT *, lag(date) OVER w AS b, lead(date) OVER w AS a, sum(CASE WHEN drawdown < 0 THEN 0 ELSE 1 END) OVER (PARTITION BY portfolio ORDER BY date ROWS UNBOUNDED PRECEDING) AS island FROM risk WHERE portfolio <> 'MARKET' WINDOW w AS (PARTITION BY portfolio ORDER BY date)) WHERE drawdown < 0)) GROUP BY portfolio, island",
     "risk",
 )
