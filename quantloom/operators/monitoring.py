@@ -216,7 +216,7 @@ def summarise_flags(flags: DataFrame) -> DataFrame:
     return flags.groupBy("entity_type", "entity").agg(
         F.count("*").alias("diagnostic_count"),
         *[F.count_if(F.col("status") == k).alias(f"{k.lower()}_count") for k in SEVERITY],
-        F.element_at(names, F.max(level) + 1).alias("overall_status"),
+        F.get(names, F.max(level)).alias("overall_status"),
     )
 
 
@@ -225,7 +225,7 @@ def flag_matrix(flags: DataFrame) -> DataFrame:
     names = F.array(*[F.lit(k) for k in SEVERITY])
     level = status_severity(F.col("status"))
     columns = [
-        F.coalesce(F.element_at(names, F.max(F.when(F.col("category") == c, level)) + 1), F.lit("N/A")).alias(
+        F.coalesce(F.get(names, F.max(F.when(F.col("category") == c, level))), F.lit("N/A")).alias(
             f"{c.lower().replace(' ', '_')}_status"
         )
         for c in CATEGORIES
