@@ -20,6 +20,9 @@ external files, since a collection is bounded.  Runs of suffixes with common
 prefixes of LENGTH or more are the occurrences of one string; the smallest
 doc_id of a run decides.
 
+Stretches that agree with no other one around their minimizer are left out of
+the transform; a window they share with nobody needs no sorting.
+
 Minimizers with more than ``HOT`` distinct stretches are not built as one
 collection: their windows are grouped one by one, by content.
 
@@ -51,7 +54,7 @@ LENGTH = 50
 GRAM = 16
 HOT = 8192
 #: Stretches in one collection, besides those of its last minimizer.
-COLLECTION = 16_384
+COLLECTION = 6_000
 #: Ids of exact copies up to this many are broadcast; beyond, a shuffled join.
 BROADCAST_IDS = 500_000
 _DOCS = "doc_id long, mark int, text string"
@@ -89,10 +92,10 @@ def stretches(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
 
 
 def _minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, mark and each distinct minimizer of a text."""
+    """doc_id and each distinct minimizer of a text."""
     for batch in batches:
         raw, offsets = kernels.text_buffers(batch.column("text"))
-        ids, marks = batch.column("doc_id").to_numpy(), batch.column("mark").to_numpy()
+        ids = batch.column("doc_id").to_numpy()
         for a, b in kernels.pieces(offsets):
             owner, _, _, value = stretches(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             if not len(owner):
@@ -103,8 +106,7 @@ def _minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
             owner, value = owner[new], value[new]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[a + owner]), pa.array(marks[a + owner]), pa.array(value.view(np.int64))],
-                names=["doc_id", "mark", "anchor"],
+                [pa.array(ids[a + owner]), pa.array(value.view(np.int64))], names=["doc_id", "anchor"]
             )
 
 
@@ -168,32 +170,40 @@ def column_transform(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     """
     n = len(offsets) - 1
     lengths = np.diff(offsets)
-    symbols = data.astype(np.uint16) + 1
+    if len(data) and data.max() == 255:
+        raise ValueError("strings must be UTF-8 or of symbols below 255")
+    symbols = data + np.uint8(1)
     # Suffixes of length 0, in the order of the strings; the transform holds each string's last symbol.
     active = np.flatnonzero(lengths > 0)
-    transform = np.zeros(n, np.uint16)
+    transform = np.zeros(n, np.uint8)
     transform[active] = symbols[offsets[active + 1] - 1]
     common = np.zeros(n, np.uint8)
     origin = np.arange(n, dtype=np.int64) << 20
-    place = active.copy()
+    # The string whose last inserted symbol a place holds, where there is one.
+    inserter = np.full(n, -1, np.int32)
+    inserter[active] = active
     for length in range(1, int(lengths.max(initial=0)) + 1):
         order = np.argsort(transform, kind="stable")
         ended = int(np.count_nonzero(transform == 0))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        to = n + rank[place] - ended
+        writer = inserter[order]
+        writer[:ended] = -1
+        fresh_rank = np.flatnonzero(writer >= 0)
+        strings = writer[fresh_rank]
+        to = n + fresh_rank - ended
         total = n + len(order) - ended
         fresh = np.zeros(total, bool)
         fresh[to] = True
+        old = ~fresh
         table = [common]
         while len(table[-1]) > (1 << (len(table) - 1)):
             step = 1 << (len(table) - 1)
             table.append(np.minimum(table[-1][:-step], table[-1][step:]))
         grown = np.zeros(total, np.uint8)
-        grown[~fresh] = common
+        grown[old] = common
         # A new suffix and the one after it get new common prefixes with their predecessors.
-        touched = np.unique(np.concatenate([to, to + 1]))
-        touched = touched[(touched < total) & (touched >= n)]
+        mark = fresh.copy()
+        mark[to[to + 1 < total] + 1] = True
+        touched = np.flatnonzero(mark)
         here = touched - n + ended
         same = np.zeros(len(here), bool)
         later = here > ended
@@ -201,21 +211,50 @@ def column_transform(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
         value = np.zeros(len(here), np.uint8)
         value[same] = _least_between(table, order[here[same] - 1] + 1, order[here[same]]) + np.uint8(1)
         grown[touched] = value
-        left = lengths[active] > length
-        shown = np.zeros(len(active), np.uint16)
-        shown[left] = symbols[offsets[active[left] + 1] - 1 - length]
-        merged = np.empty(total, np.uint16)
-        merged[~fresh] = transform
+        left = lengths[strings] > length
+        shown = np.zeros(len(strings), np.uint8)
+        shown[left] = symbols[offsets[strings[left] + 1] - 1 - length]
+        merged = np.empty(total, np.uint8)
+        merged[old] = transform
         merged[to] = shown
         origins = np.empty(total, np.int64)
-        origins[~fresh] = origin
-        origins[to] = (active << 20) + length
+        origins[old] = origin
+        origins[to] = (strings.astype(np.int64) << 20) + length
+        inserter = np.full(total, -1, np.int32)
+        inserter[to[left]] = strings[left]
         transform, common, origin = merged, grown, origins
-        active, place = active[left], to[left]
     owner = origin >> 20
     return owner, lengths[owner] - (origin & 0xFFFFF), common
 
 
+def may_share(anchors: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which stretches may have a window in common with another one of the same minimizer.
+
+    Equal windows hold the minimizer's piece at the same place, so they agree on
+    the 17 bytes before it or on the 17 after it.  Minimizers that occur twice
+    in one of their stretches are not judged here: all of theirs may.
+    """
+    n = len(anchors)
+    reach = (LENGTH - GRAM) // 2
+    sums = kernels.rolling_sums(data.astype(np.uint64))
+    owner = np.repeat(np.arange(n), np.diff(offsets))
+    at = np.flatnonzero(np.arange(len(data)) + GRAM <= offsets[1:][owner])
+    at = at[kernels.range_hash(sums, at, at + GRAM) == anchors[owner[at]]]
+    held = np.bincount(owner[at], minlength=n)
+    group = np.cumsum(np.concatenate([[0], anchors[1:] != anchors[:-1]]))
+    open_ = (np.bincount(group, weights=held != 1) > 0)[group]
+    alone = at[~open_[owner[at]]]
+    shared = open_.copy()
+    for low, high in ((alone - reach, alone + GRAM), (alone, alone + GRAM + reach)):
+        who = owner[alone]
+        fits = (low >= offsets[who]) & (high <= offsets[who + 1])
+        who = who[fits]
+        side = kernels.mix(kernels.range_hash(sums, low[fits], high[fits]) + anchors[who])
+        _, inverse, count = np.unique(side, return_inverse=True, return_counts=True)
+        shared[who[count[inverse] > 1]] = True
+    return shared
+
+
 def _least_docs(docs: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """String, window start and smallest document of every window of LENGTH bytes, in order."""
     owner, start, common = column_transform(data, offsets)
@@ -236,21 +275,30 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.concat_tables(tables)
         data, offsets = kernels.text_buffers(table.column("bytes"))
         docs, count = table.column("least").to_numpy(), table.column("count").to_numpy()
-        owner, start, least = _least_docs(docs, data, offsets)
+        anchors = table.column("anchor").to_numpy().view(np.uint64)
+        shared = may_share(anchors, data, offsets)
+        # A stretch that shares nothing is its own only occurrence, from its first window to its last.
+        lone = np.flatnonzero(~shared & (count > 1))
+        chosen = np.flatnonzero(shared)
+        picked = np.repeat(shared, np.diff(offsets))
+        bounds = np.concatenate([[0], np.cumsum(np.diff(offsets)[chosen])])
+        owner, start, least = _least_docs(docs[chosen], data[picked], bounds) if len(chosen) else (lone[:0],) * 3
+        owner = chosen[owner]
         new = np.ones(len(owner), bool)
         new[1:] = (owner[1:] != owner[:-1]) | (least[1:] != least[:-1])
         head = np.flatnonzero(new)
-        last = start[np.append(head[1:], len(owner)) - 1]
+        last = start[np.append(head[1:], len(owner))[: len(head)] - 1]
         who, least = owner[head], least[head]
         matters = (count[who] > 1) | (least < docs[who])
-        pick = pa.array(who[matters])
+        pick = pa.array(np.concatenate([who[matters], lone]))
+        whole = np.diff(offsets)[lone] - LENGTH
         return pa.RecordBatch.from_arrays(
             [
                 table.column("anchor").combine_chunks().take(pick),
                 table.column("sid").combine_chunks().take(pick),
-                pa.array(start[head][matters].astype(np.int32)),
-                pa.array(last[matters].astype(np.int32)),
-                pa.array(least[matters]),
+                pa.array(np.concatenate([start[head][matters], 0 * whole]).astype(np.int32)),
+                pa.array(np.concatenate([last[matters], whole]).astype(np.int32)),
+                pa.array(np.concatenate([least[matters], docs[lone]])),
             ],
             names=["anchor", "sid", "first", "last", "least"],
         )
@@ -354,7 +402,7 @@ def repeated_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
         later = F.broadcast(later)
     texts = _text_rows(docs).filter("doc_id is not null").join(later, ["doc_id", "mark"], "left_anti")
 
-    seen = scratch(texts.mapInArrow(_minimizers, "doc_id long, mark int, anchor long"), "minimizers")
+    seen = scratch(texts.mapInArrow(_minimizers, "doc_id long, anchor long"), "minimizers")
     shared = seen.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     shared = scratch(shared.filter("low < high").select("anchor"), "shared-minimizers")
     free_shuffles(spark)
@@ -362,8 +410,9 @@ def repeated_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
     drop_scratch(seen, shared)
     free_shuffles(spark)
 
-    lists = marked.groupBy("doc_id", "mark").agg(F.collect_list("anchor").alias("anchors"))
-    found = texts.join(lists, ["doc_id", "mark"]).mapInArrow(
+    # Texts that share a doc_id share a list; minimizers that a text lacks do nothing there.
+    lists = marked.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+    found = texts.join(lists, "doc_id").mapInArrow(
         _cut, "anchor long, sid long, doc_id long, mark int, start int, bytes binary"
     )
     found = scratch(found, "stretches")
