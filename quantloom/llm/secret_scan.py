@@ -208,16 +208,16 @@ def redact(docs: DataFrame, replacement: str = "[secret]", threshold: float = TH
     spans = (
         scan_secrets(docs, threshold)
         .filter(F.size("spans") > 0)
-        .select(F.col("doc_id").alias("s_doc"), F.col("mark").alias("s_mark"), "spans")
-        .dropDuplicates(["s_doc", "s_mark"])
+        .select(F.col("doc_id").alias("_s_doc"), F.col("mark").alias("_s_mark"), F.col("spans").alias("_s_spans"))
+        .dropDuplicates(["_s_doc", "_s_mark"])
     )
     joined = docs.join(
-        spans, docs["doc_id"].eqNullSafe(F.col("s_doc")) & (F.xxhash64(docs["text"]) == F.col("s_mark")), "left"
+        spans, docs["doc_id"].eqNullSafe(F.col("_s_doc")) & (F.xxhash64(docs["text"]) == F.col("_s_mark")), "left"
     )
     text = F.col("text")
     # From the left, each span contributes the text since the last one's end; overlapping spans merge.
     body = F.aggregate(
-        "spans",
+        "_s_spans",
         F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")),
         lambda a, s: F.struct(
             F.greatest(a["at"], s["end"]).alias("at"),
@@ -233,8 +233,8 @@ def redact(docs: DataFrame, replacement: str = "[secret]", threshold: float = TH
         ),
         lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, a["at"] + 1, F.lit(2**31 - 1))),
     )
-    clean = F.when(F.col("spans").isNotNull(), body).otherwise(text)
-    out = joined.withColumn("text", clean).drop("s_doc", "s_mark", "spans")
+    clean = F.when(F.col("_s_spans").isNotNull(), body).otherwise(text)
+    out = joined.withColumn("text", clean)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(kind)))
