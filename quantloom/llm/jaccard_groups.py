@@ -17,7 +17,9 @@ groups of at most ``GROUP`` members.  For two groups that share a key, the
 overlap of a set with the union of the other group's tokens bounds its overlap
 with each member; only groups whose bound reaches 9/10 of the set are opened and
 compared exactly.  Each comparison returns links that span what it found
-connected, not all pairs.
+connected, not all pairs, and groups are only compared as far as their members
+are not connected yet (:func:`near_labels`), so that a large family of near
+copies costs little more than its size.
 
 Defined results.  Texts without words and null texts have no shingles, and a
 component of their own.  Documents with equal sets are copies, linked without
@@ -35,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm import kernels
@@ -43,6 +45,8 @@ from quantloom.llm.common import free_shuffles, scratch
 from quantloom.llm.components import components
 
 GROUP = 256
+#: Members that stand for a group in the second round.
+CHAMPIONS = 16
 #: Candidates' ids up to this many are broadcast to pick their texts; beyond, a shuffled join.
 BROADCAST_IDS = 500_000
 _U = np.uint64
@@ -221,8 +225,36 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def near_links(docs: DataFrame, sketches: DataFrame, group: int = GROUP) -> DataFrame:
-    """Links (a, b) between fingerprints that span the components of linked sets."""
+def _links(work: DataFrame, sets: DataFrame) -> DataFrame:
+    """Compare the sides (ga, gb, side, fa) of each pair and write the links found."""
+    parts = int(work.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = work.join(sets, "fa").repartition(4 * parts, "ga", "gb").sortWithinPartitions("ga", "gb")
+    return scratch(dealt.select("ga", "gb", "side", "fa", "tokens").mapInArrow(_compare, "a long, b long"), "near-links")
+
+
+def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (fa, g, label) after the links join their components."""
+    ends = labels.select("fa", "label")
+    mapped = (
+        links.join(ends.toDF("a", "la"), "a").join(ends.toDF("b", "lb"), "b").filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    )
+    found = components(mapped.distinct()).toDF("label", "joined")
+    return scratch(
+        labels.join(found, "label", "left").select("fa", "g", F.coalesce("joined", "label").alias("label")), "near-merged"
+    )
+
+
+def near_labels(docs: DataFrame, sketches: DataFrame, group: int = GROUP) -> DataFrame:
+    """fa, label: the component of every fingerprint that shares a key with another one.
+
+    Three rounds, each over what the ones before left apart.  First every group
+    within itself.  Then a few champions of groups that share a key, against
+    those of the key's first group, which joins most of what belongs together.
+    Last, exactly, whatever is still apart: a set whose component is not the
+    largest under one of its keys is compared with all members of each group
+    that has a larger one there.  So of two linked sets in different components
+    the one of the smaller asks the group of the other.
+    """
     spark = docs.sparkSession
     keyed = sketches.filter("n > 0").select(F.explode("keys").alias("key"), "fa")
     shared = (
@@ -239,16 +271,8 @@ def near_links(docs: DataFrame, sketches: DataFrame, group: int = GROUP) -> Data
     sizes = best.groupBy("home").agg(F.count("*").alias("members"))
     parts = F.ceil(F.col("members") / group)
     members = scratch(
-        best.join(sizes, "home").select(
-            "fa", F.xxhash64("home", F.pmod(F.xxhash64("fa"), parts)).alias("g"), "members"
-        ),
-        "near-members",
+        best.join(sizes, "home").select("fa", F.xxhash64("home", F.pmod(F.xxhash64("fa"), parts)).alias("g")), "near-members"
     )
-    met = hits.select("key", "fa").join(members.select("fa", "g"), "fa").select("key", "g").distinct()
-    other = met.select("key", F.col("g").alias("h"))
-    across = met.join(other, "key").filter("g < h").select(F.col("g").alias("ga"), F.col("h").alias("gb")).distinct()
-    within = members.filter("members > 1").select(F.col("g").alias("ga"), F.col("g").alias("gb")).distinct()
-    pairs = scratch(across.unionByName(within), "near-pairs")
 
     chosen = members.select("fa").join(sketches.select("fa", "doc_id"), "fa").groupBy("fa").agg(F.min("doc_id").alias("pick"))
     chosen = scratch(chosen, "near-picks")
@@ -256,16 +280,36 @@ def near_links(docs: DataFrame, sketches: DataFrame, group: int = GROUP) -> Data
     if chosen.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text")
-    sets = texts.mapInArrow(_sets, "fa long, tokens binary").join(members.select("fa", "g"), "fa").dropDuplicates(["fa"])
+    sets = texts.mapInArrow(_sets, "fa long, tokens binary").join(members.select("fa"), "fa", "left_semi").dropDuplicates(["fa"])
     sets = scratch(sets, "near-sets")
-    sides = F.when(F.col("ga") == F.col("gb"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
-    wanted = pairs.select("ga", "gb", F.explode(sides).alias("side")).withColumn(
-        "g", F.when(F.col("side") == 0, F.col("ga")).otherwise(F.col("gb"))
-    )
-    work = wanted.join(sets, "g").select("ga", "gb", "side", "fa", "tokens")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = work.repartition(4 * parts, "ga", "gb").sortWithinPartitions("ga", "gb")
-    return scratch(dealt.mapInArrow(_compare, "a long, b long"), "near-links")
+
+    within = members.select(F.col("g").alias("ga"), F.col("g").alias("gb"), F.lit(0).alias("side"), "fa")
+    labels = _merge(members.select("fa", "g", F.col("fa").alias("label")), _links(within, sets))
+
+    met = scratch(hits.join(members, "fa").select("key", "fa", "g"), "near-met")
+    spots = met.select("key", "g").distinct()
+    centres = spots.groupBy("key").agg(F.min("g").alias("ga"))
+    spokes = spots.join(centres, "key").filter("g <> ga").select("ga", F.col("g").alias("gb")).distinct()
+    place = F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("fa"), "fa"))
+    champions = members.withColumn("place", place).filter(F.col("place") <= CHAMPIONS).select("g", "fa")
+    ends = spokes.select("ga", "gb", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("ga").alias("g")), F.struct(F.lit(1).alias("side"), F.col("gb").alias("g")))).alias("e"))
+    work = ends.select("ga", "gb", "e.side", "e.g").join(champions, "g").select("ga", "gb", "side", "fa")
+    labels = _merge(labels, _links(work, sets))
+
+    sized = labels.join(labels.groupBy("label").agg(F.count("*").alias("size")), "label")
+    ranked = met.join(sized.select("fa", F.struct("size", "label").alias("rank")), "fa")
+    ranked = scratch(ranked, "near-ranked")
+    tops = ranked.groupBy("key").agg(F.max("rank").alias("top"))
+    behind = ranked.join(tops, "key").filter("rank < top").select("key", "fa", "g", "rank")
+    best_there = ranked.groupBy("key", F.col("g").alias("h")).agg(F.max("rank").alias("there"))
+    asks = behind.join(best_there, (behind["key"] == best_there["key"]) & (F.col("rank") < F.col("there")) & (F.col("g") != F.col("h")))
+    asks = scratch(asks.select("h", "fa").distinct(), "near-asks")
+    blocks = F.ceil(F.col("n") / group)
+    counted = asks.join(asks.groupBy("h").agg(F.count("*").alias("n")), "h")
+    asking = counted.select(F.col("h").alias("ga"), F.xxhash64("h", F.pmod(F.xxhash64("fa"), blocks)).alias("gb"), F.lit(1).alias("side"), "fa")
+    asked = asking.select("ga", "gb").distinct().join(members.select(F.col("g").alias("ga"), "fa"), "ga")
+    work = asking.unionByName(asked.select("ga", "gb", F.lit(0).alias("side"), "fa"))
+    return _merge(labels, _links(work, sets)).select("fa", "label")
 
 
 def near_components(docs: DataFrame, group: int = GROUP) -> DataFrame:
@@ -276,8 +320,7 @@ def near_components(docs: DataFrame, group: int = GROUP) -> DataFrame:
         ),
         "near-sketches",
     )
-    links = near_links(docs, sketches, group)
-    labels = components(links).withColumnRenamed("node", "fa")
+    labels = near_labels(docs, sketches, group)
     free_shuffles(docs.sparkSession)
     labelled = (
         sketches.select("doc_id", "n", "fa")
