@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.operators import attribution, backtest, costs, cross_section, features, metrics, monitoring
+from quantloom.operators import attribution, backtest, costs, cross_section, dashboard, features, metrics, monitoring
 from quantloom.operators import portfolio, quality, regression, risk, validation
+from quantloom.plans import workflow
 from quantloom.sources import panel as sources
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1072,38 +1073,21 @@ def _(spark, d):
     return a.unionByName(monitoring.historical_flags(_implementation(spark, d), "portfolio", monitoring.IMPLEMENTATION_METRICS, "Portfolio"))
 
 
-def _all_flags(spark, d):
-    daily, security, panel = _daily(spark, d), _security(spark, d), sources.security_panel(spark, d)
-    sectors, detail = sources.sectors(spark, d), _beta_detail(spark, d)
-    own = risk.contribution_concentration(security, "ticker", "net_return_contribution", "contributor")
-    by_sector = security.join(F.broadcast(sectors), "ticker", "left")
-    shared = risk.contribution_concentration(by_sector, "sector", "net_return_contribution", "contribution_sector")
-    keys = ["portfolio", "date"]
-    states = (
-        risk.position_concentration(_holdings(spark, d))
-        .join(risk.sector_concentration(_holdings(spark, d), sectors), keys, "left")
-        .join(risk.beta_concentration(detail), keys, "left")
-        .join(own.withColumnRenamed("top_five_contributor_share_63", "top_five_contributor_share_63"), keys, "left")
-        .join(shared, keys, "left")
-    )
-    portfolio_part = monitoring.portfolio_flags(
-        monitoring.performance_risk(daily, _market(spark, d, True)).filter("portfolio <> 'MARKET'"),
-        risk.beta_state(daily, _market(spark, d, True), detail),
-        states,
-        monitoring.implementation_state(security, panel),
-        monitoring.liquidity_coverage(security, panel),
-    )
-    return portfolio_part.unionByName(monitoring.signal_flags(_signal_health(spark, d)))
+def _refreshed(spark, d):
+    """The monitoring datasets of both books."""
+    panel = workflow.kept(_factor_panel(spark, d))
+    data = workflow.attribution_datasets(panel, workflow.kept(_targets(spark, d)))
+    return workflow.monitoring_datasets(panel, sources.market_series(spark, d), sources.sectors(spark, d), data)
 
 
 @entry("diagnostic_flags")
 def _(spark, d):
-    return _all_flags(spark, d)
+    return _refreshed(spark, d)["diagnostic_flags"]
 
 
 @entry("monitoring_overview")
 def _(spark, d):
-    return monitoring.overview(_all_flags(spark, d))
+    return _refreshed(spark, d)["latest_overview"]
 
 
 # --- data quality ---------------------------------------------------------------------
@@ -1160,3 +1144,73 @@ def _(spark, d):
 )
 def _(spark, d):
     return quality.calendar_alignment(sources.security_panel(spark, d), sources.market_series(spark, d))
+
+
+# --- dashboard tables and workflow ----------------------------------------------------
+
+_WINDOW = ("1996-01-01", "1999-12-31")
+
+
+@entry(
+    "performance_history",
+    f"SELECT portfolio, date, {rs('wealth', 'drawdown')}, {r('wealth / first_value(wealth) OVER (PARTITION BY portfolio ORDER BY date)', 'indexed_wealth')} FROM risk_state WHERE date BETWEEN DATE '{_WINDOW[0]}' AND DATE '{_WINDOW[1]}'",
+    "risk_state",
+)
+def _(spark, d):
+    return dashboard.performance_history(_performance(spark, d), None, *_WINDOW).select("portfolio", "date", "wealth", "drawdown", "indexed_wealth")
+
+
+@entry("latest_performance", f"SELECT portfolio, date, {rs('wealth', 'drawdown', 'annualised_volatility_126')} FROM risk_state QUALIFY row_number() OVER (PARTITION BY portfolio ORDER BY date DESC) = 1", "risk_state")
+def _(spark, d):
+    return dashboard.latest_rows(_performance(spark, d).select("portfolio", "date", "wealth", "drawdown", "annualised_volatility_126"))
+
+
+@entry(
+    "latest_signal_health",
+    "SELECT factor, " + ", ".join(f"{r(f'arg_max({m}, date) FILTER (WHERE {m} IS NOT NULL)', m)}, max(date) FILTER (WHERE {m} IS NOT NULL) AS {m}_date" for m in ("signal_coverage", "daily_ic", "rolling_mean_ic_252", "rank_stability_21")) + " FROM health GROUP BY factor",
+    "health",
+)
+def _(spark, d):
+    return dashboard.latest_known(_signal_health(spark, d), ("factor",), ("signal_coverage", "daily_ic", "rolling_mean_ic_252", "rank_stability_21"))
+
+
+@entry(
+    "filter_options",
+    "SELECT string_agg(portfolio, ',' ORDER BY portfolio) AS portfolios, max(a) AS first_date, min(b) AS last_date FROM (SELECT portfolio, min(date) AS a, max(date) AS b FROM risk_state GROUP BY portfolio)",
+    "risk_state",
+)
+def _(spark, d):
+    return dashboard.filter_options(_performance(spark, d)).withColumn("portfolios", F.array_join("portfolios", ","))
+
+
+@entry(
+    "business_day_age",
+    "SELECT day, (SELECT count(*) FROM range(CAST(day AS TIMESTAMP), TIMESTAMP '2002-01-01', INTERVAL 1 DAY) AS t(x) WHERE isodow(x) < 6) AS age FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderdate < TIMESTAMP '2002-01-01')",
+)
+def _(spark, d):
+    days = sources.table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct().filter("day < date '2002-01-01'")
+    return days.withColumn("age", dashboard.business_days(F.col("day"), F.lit("2002-01-01").cast("date")))
+
+
+def _factor_panel(spark, d):
+    panel = workflow.processed_panel(sources.security_panel(spark, d), sources.universe(spark, d))
+    return workflow.factor_panel(panel, sources.market_series(spark, d))
+
+
+@entry(
+    "factor_panel",
+    f"SELECT p.date, p.ticker, s.name, s.sector, {rs('mom_12_1m_raw', 'mom_12_1m_z', 'mom_12_1m_rank', 'realised_vol_63_z')}, {r('b.beta_126', 'beta_126')} FROM proc p LEFT JOIN sector s ON s.ticker = p.ticker LEFT JOIN beta b ON b.date = p.date AND b.ticker = p.ticker",
+    "proc sector beta",
+)
+def _(spark, d):
+    return _factor_panel(spark, d).select("date", "ticker", "name", "sector", "mom_12_1m_raw", "mom_12_1m_z", "mom_12_1m_rank", "realised_vol_63_z", "beta_126")
+
+
+@entry("strategy_targets")
+def _(spark, d):
+    return workflow.strategy_targets(workflow.kept(_factor_panel(spark, d))).select("portfolio", "date", "ticker", "weight")
+
+
+@entry("accounting_residuals", "SELECT " + ", ".join(f"CAST(0 AS DOUBLE) AS residual_{k}" for k in ("gross_return", "net_return", "net_exposure", "gross_exposure", "transaction_cost")) + " FROM (SELECT count(*) FROM daily)", "daily")
+def _(spark, d):
+    return workflow.accounting_residuals(_daily(spark, d))
