@@ -113,6 +113,31 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, size: int = 3) -> tuple[np.nd
     return out, out_at
 
 
+def stream_blocks(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows of a stream sorted by ``key``, cut only where the key changes."""
+    held: list[pa.Table] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        values = table.column(key).combine_chunks().to_numpy(zero_copy_only=False)
+        # Where a block may end: before each change of the key, the stream's last key being carried.
+        first = held[-1].column(key)[-1].as_py() if held else values[0]
+        change = np.flatnonzero(np.concatenate([[values[0] != first], values[1:] != values[:-1]]))
+        done = 0
+        for at in change:
+            if size + at - done >= rows and (size or at > done):
+                if at > done:
+                    held.append(table.slice(done, at - done))
+                yield pa.concat_tables(held)
+                held, size, done = [], 0, at
+        held.append(table.slice(done))
+        size += table.num_rows - done
+    if held:
+        yield pa.concat_tables(held)
+
+
 def stream_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Consecutive rows with equal keys of a sorted stream, one table per group."""
     held: list[pa.Table] = []

@@ -23,7 +23,7 @@ doc_id of a run decides.
 Stretches that agree with no other one around their minimizer are left out of
 the transform; a window they share with nobody needs no sorting.
 
-Minimizers with more than ``HOT`` distinct stretches are not built as one
+Minimizers that occur in more than ``HOT`` documents are not built as one
 collection: their windows are grouped one by one, by content.
 
 Defined results.  Null text has no bytes.  A null doc_id matches nothing and
@@ -33,7 +33,7 @@ doc_id and text are ignored.
 
 Scale.  Exact copies are settled by hash first.  Minimizers are about one per 18
 bytes, counted with pre-aggregation and joined back by sort-merge join, which
-splits hot ones; equal stretches are merged before they are sorted.  Each step
+splits hot ones; equal stretches are merged before they are shuffled and sorted.  Each step
 writes its table to the shared folder, and tables no longer needed are deleted.
 """
 
@@ -52,9 +52,11 @@ from quantloom.llm.common import drop_scratch, free_shuffles, scratch
 
 LENGTH = 50
 GRAM = 16
-HOT = 8192
+HOT = 20_000
+#: Minimizers above that bound are at most 1 / HOT of all; up to this many they are broadcast.
+BROADCAST_HOT = 200_000
 #: Stretches in one collection, besides those of its last minimizer.
-COLLECTION = 6_000
+COLLECTION = 16_000
 #: Ids of exact copies up to this many are broadcast; beyond, a shuffled join.
 BROADCAST_IDS = 500_000
 _DOCS = "doc_id long, mark int, text string"
@@ -131,23 +133,38 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             end = start + run + LENGTH - 1
             sums = kernels.rolling_sums(piece.astype(np.uint64))
-            size = end - start
+            sid = kernels.range_hash(sums, start, end)
+            # Of equal stretches here only that of the smallest document carries the bytes.
+            order = np.lexsort((ids[a + owner], sid, value))
+            new = np.ones(len(order), bool)
+            new[1:] = (value[order][1:] != value[order][:-1]) | (sid[order][1:] != sid[order][:-1])
+            lead = order[new]
+            count = np.zeros(len(owner), np.int64)
+            count[lead] = np.diff(np.append(np.flatnonzero(new), len(order)))
+            size = np.where(count > 0, end - start, 0)
             out_at = np.concatenate([[0], np.cumsum(size)])
             index = np.arange(out_at[-1]) + np.repeat(start - out_at[:-1], size)
             binary = pa.Array.from_buffers(
-                pa.binary(), len(size), [None, pa.py_buffer(out_at.astype(np.int32)), pa.py_buffer(piece[index])]
+                pa.binary(),
+                len(size),
+                [
+                    pa.py_buffer(np.packbits(count > 0, bitorder="little")),
+                    pa.py_buffer(out_at.astype(np.int32)),
+                    pa.py_buffer(piece[index]),
+                ],
             )
             local = start - (offsets[a : b + 1] - offsets[a])[owner]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(value.view(np.int64)),
-                    pa.array(kernels.range_hash(sums, start, end).view(np.int64)),
+                    pa.array(sid.view(np.int64)),
                     pa.array(ids[a + owner]),
                     pa.array(marks[a + owner]),
                     pa.array(local.astype(np.int32)),
+                    pa.array(count),
                     binary,
                 ],
-                names=["anchor", "sid", "doc_id", "mark", "start", "bytes"],
+                names=["anchor", "sid", "doc_id", "mark", "start", "count", "bytes"],
             )
 
 
@@ -271,10 +288,17 @@ def _least_docs(docs: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tupl
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of windows with the same smallest document: anchor, sid, first, last, least."""
 
-    def judged(tables):
-        table = pa.concat_tables(tables)
+    def judged(table):
+        # Equal stretches become one, with the smallest document and all their occurrences.
+        keys = [table.column(c).to_numpy() for c in ("doc_id", "sid", "anchor")]
+        order = np.lexsort(keys)
+        anchor, sid = keys[2][order], keys[1][order]
+        new = np.ones(len(order), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (sid[1:] != sid[:-1])
+        count = np.add.reduceat(table.column("count").to_numpy()[order], np.flatnonzero(new))
+        table = table.take(pa.array(order[new]))
         data, offsets = kernels.text_buffers(table.column("bytes"))
-        docs, count = table.column("least").to_numpy(), table.column("count").to_numpy()
+        docs = table.column("doc_id").to_numpy()
         anchors = table.column("anchor").to_numpy().view(np.uint64)
         shared = may_share(anchors, data, offsets)
         # A stretch that shares nothing is its own only occurrence, from its first window to its last.
@@ -303,15 +327,8 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["anchor", "sid", "first", "last", "least"],
         )
 
-    held, rows = [], 0
-    for group in kernels.stream_groups(batches, ["anchor"]):
-        held.append(group)
-        rows += group.num_rows
-        if rows >= COLLECTION:
-            yield judged(held)
-            held, rows = [], 0
-    if held:
-        yield judged(held)
+    for table in kernels.stream_blocks(batches, "anchor", COLLECTION):
+        yield judged(table)
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,29 +371,38 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _text_rows(docs: DataFrame) -> DataFrame:
+def _text_rows(docs: DataFrame, marked: bool) -> DataFrame:
+    """doc_id, text and ``mark``, which tells texts with the same doc_id apart where there are such."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.hash("text").alias("mark"),
+        (F.hash("text") if marked else F.lit(0)).alias("mark"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
 
 
-def copy_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, mark, first, last of texts that an earlier document has as a whole."""
+def _identities(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """Hashes of all texts, and whether any doc_id occurs twice."""
     hashed = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.hash("text").alias("mark"),
         F.xxhash64("text").alias("h1"),
         F.xxhash64(F.lit(29), F.col("text")).alias("h2"),
         F.octet_length("text").alias("n"),
-    ).filter(F.col("doc_id").isNotNull() & (F.col("n") >= length))
-    hashed = scratch(hashed, "copy-hashes")
+    ).filter("doc_id is not null")
+    hashed = scratch(hashed, "text-hashes")
+    repeated = hashed.groupBy("doc_id").count().filter("count > 1").limit(1).collect()
+    return hashed, bool(repeated)
+
+
+def copy_ranges(hashed: DataFrame, marked: bool, length: int = LENGTH) -> DataFrame:
+    """doc_id, mark, first, last of texts that an earlier document has as a whole."""
+    hashed = hashed.filter(F.col("n") >= length)
     earliest = hashed.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"))
+    mark = F.col("mark") if marked else F.lit(0)
     return scratch(
         hashed.join(earliest.filter("earliest < latest"), ["h1", "h2", "n"])
         .filter("doc_id > earliest")
-        .select("doc_id", "mark", F.lit(0).alias("first"), F.col("n").alias("last")),
+        .select("doc_id", mark.alias("mark"), F.lit(0).alias("first"), F.col("n").alias("last")),
         "copy-ranges",
     )
 
@@ -393,51 +419,50 @@ def _hot_windows(hot: DataFrame) -> DataFrame:
     )
 
 
-def repeated_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def repeated_ranges(docs: DataFrame, marked: bool, hashed: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, mark, first, last (bytes, end exclusive): ranges to remove, which may overlap."""
     spark = docs.sparkSession
-    copies = copy_ranges(docs)
+    copies = copy_ranges(hashed, marked)
     later = copies.select("doc_id", "mark").distinct()
     if later.count() <= BROADCAST_IDS:
         later = F.broadcast(later)
-    texts = _text_rows(docs).filter("doc_id is not null").join(later, ["doc_id", "mark"], "left_anti")
+    texts = _text_rows(docs, marked).filter("doc_id is not null").join(later, ["doc_id", "mark"], "left_anti")
 
     seen = scratch(texts.mapInArrow(_minimizers, "doc_id long, anchor long"), "minimizers")
-    shared = seen.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    shared = scratch(shared.filter("low < high").select("anchor"), "shared-minimizers")
+    shared = seen.groupBy("anchor").agg(
+        F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("docs")
+    )
+    shared = scratch(shared.filter("low < high").select("anchor", "docs"), "shared-minimizers")
+    heavy = shared.filter(F.col("docs") > hot).select("anchor")
+    hot_count = heavy.count()
+    if hot_count <= BROADCAST_HOT:
+        heavy = F.broadcast(heavy)
     free_shuffles(spark)
-    marked = scratch(seen.join(shared, "anchor"), "marked-minimizers")
-    drop_scratch(seen, shared)
+    found_in = scratch(seen.join(shared.select("anchor"), "anchor"), "marked-minimizers")
+    drop_scratch(seen)
     free_shuffles(spark)
 
     # Texts that share a doc_id share a list; minimizers that a text lacks do nothing there.
-    lists = marked.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+    lists = found_in.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
     found = texts.join(lists, "doc_id").mapInArrow(
-        _cut, "anchor long, sid long, doc_id long, mark int, start int, bytes binary"
+        _cut, "anchor long, sid long, doc_id long, mark int, start int, count long, bytes binary"
     )
     found = scratch(found, "stretches")
-    drop_scratch(marked)
+    drop_scratch(found_in)
     free_shuffles(spark)
 
-    distinct = scratch(
-        found.groupBy("anchor", "sid", "bytes").agg(F.min("doc_id").alias("least"), F.count("*").alias("count")),
-        "distinct-stretches",
-    )
-    free_shuffles(spark)
-    sizes = distinct.groupBy("anchor").agg(F.count("*").alias("n"))
-    heavy = scratch(sizes.filter(F.col("n") > hot).select("anchor"), "hot-minimizers")
-    some_hot = bool(heavy.limit(1).collect())
-    calm = distinct.join(heavy, "anchor", "left_anti") if some_hot else distinct
+    distinct = found.filter("bytes is not null").select("anchor", "sid", "doc_id", "count", "bytes")
+    calm = distinct.join(heavy, "anchor", "left_anti") if hot_count else distinct
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     judged = (
         calm.repartition(2 * parts, "anchor")
         .sortWithinPartitions("anchor")
         .mapInArrow(_judge, "anchor long, sid long, first int, last int, least long")
     )
-    if some_hot:
-        judged = judged.unionByName(_hot_windows(distinct.join(heavy, "anchor", "left_semi")))
+    if hot_count:
+        merged = distinct.join(heavy, "anchor", "left_semi").groupBy("anchor", "sid", "bytes")
+        judged = judged.unionByName(_hot_windows(merged.agg(F.min("doc_id").alias("least"))))
     judged = scratch(judged, "judged-stretches")
-    drop_scratch(distinct)
     free_shuffles(spark)
 
     removed = (
@@ -452,18 +477,18 @@ def repeated_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
         )
     )
     removed = scratch(removed, "removed-ranges")
-    drop_scratch(found, judged)
+    drop_scratch(found, judged, shared)
     free_shuffles(spark)
     return removed.unionByName(copies)
 
 
 def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    ranges = (
-        repeated_ranges(docs, hot).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    )
+    hashed, marked = _identities(docs)
+    ranges = repeated_ranges(docs, marked, hashed, hot)
+    ranges = ranges.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     return (
-        _text_rows(docs)
+        _text_rows(docs, marked)
         .join(ranges, ["doc_id", "mark"], "left")
         .select("doc_id", "text", "ranges")
         .mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
