@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import stats
@@ -204,7 +204,9 @@ def signal_flags(health: DataFrame, least: int = 30, window: int = 252) -> DataF
         f"At least {least} cross-sectional observations",
         F.try_divide(F.lit(float(least)), F.col("universe_observations")),
     )
-    known = health.filter(F.col(column).isNotNull())
+    # A factor without any rolling IC keeps its rows, and its flag is unavailable.
+    some = F.count(column).over(Window.partitionBy("factor"))
+    known = health.withColumn("_some", some).filter(F.col(column).isNotNull() | (F.col("_some") == 0))
     predictive = historical_flags(known, "factor", {column: ("Signal", f"{window}-observation rolling mean IC", "Lower")}, "Factor")
     return coverage.unionByName(predictive)
 

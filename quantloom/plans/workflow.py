@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +44,14 @@ SLEEVES = {"Momentum": "mom_12_1m_z", "Volatility": "realised_vol_63_z"}
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Keep a table that several later steps read (memory, then disk; lost parts are computed again)."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """A table that several later steps read, written to the checkpoint folder and cut from its plan.
+
+    Only where the session names no such folder (tests in one process) one is made.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='quantloom-')}")
+    return df.checkpoint()
 
 
 def strategies_frame(spark) -> DataFrame:
