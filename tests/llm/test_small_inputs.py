@@ -110,6 +110,19 @@ def test_components_against_brute_force(docs, rows, empty):
     assert {28, 29, 30}.isdisjoint({r.doc_id for r in kept.collect()})
 
 
+def test_components_of_long_chains(spark):
+    from quantloom.llm.components import components
+
+    # Zigzag: 0 - 999 - 1 - 998 - ...; a shuffled path; a path in order; a loop on its own.
+    zigzag = [k // 2 if k % 2 == 0 else 999 - k // 2 for k in range(1000)]
+    mixed = random.Random(6).sample(range(2000, 3000), 1000)
+    links = [e for path in (zigzag, mixed, range(4000, 5000)) for e in zip(path, path[1:], strict=False)] + [(7000, 7000)]
+    got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    want = {i: low for low in (0, 2000, 4000) for i in range(low, low + 1000)} | {7000: 7000}
+    assert got == want
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_part_keys_meet_for_every_linked_pair():
     import numpy as np
 
