@@ -1,21 +1,22 @@
 r"""Jaccard join of documents by groups with token unions.
 
-Two documents link when 100 * |A n B| >= 90 * |A u B| over the sets of their
-distinct 3-word shingles.  The result has every document's component.
+Two documents link when 100 * |A n B| >= p * |A u B| over the sets of their
+distinct shingles of some words: p = 90 and 3 words in op5, 80 and 5 in the
+pipeline.  The result has every document's component.
 
 Candidates.  For sets of sizes up to x and y the symmetric difference of a
-linked pair is at most d = floor((x + y) / 19).  The tokens are dealt by hash to
+linked pair is at most d = floor((100 - p) (x + y) / (100 + p)).  The tokens are dealt by hash to
 m > d parts; then linked sets agree on some whole part, and the part's hash is a
 join key that nothing but equal parts shares.  Sizes come in levels with a fixed
-m each; a set near the lower edge of its level also gives the keys of the level
-below.  Parts without tokens give no key; m has spare parts for them, and a set
+m each; a set whose partners reach down into lower levels also gives the keys of
+those.  Parts without tokens give no key; m has spare parts for them, and a set
 with more empty parts than spare ones gives keys for those too.  So no linked
 pair is missed (64-bit hashes stand for shingles).
 
 Groups.  Sets join the group of the key they share with most others, split into
 groups of at most ``GROUP`` members.  For two groups that share a key, the
 overlap of a set with the union of the other group's tokens bounds its overlap
-with each member; only groups whose bound reaches 9/10 of the set are opened and
+with each member; only groups whose bound reaches p % of the set are opened and
 compared exactly.  Each comparison returns links that span what it found
 connected, not all pairs, and groups are only compared as far as their members
 are not connected yet (:func:`near_labels`), so that a large family of near
@@ -27,13 +28,14 @@ comparison.  Repeated rows each get a row.  With a null doc_id the component is
 the smallest other id, or null.  Columns beside doc_id and text are ignored.
 
 Scale.  The texts are read once for sizes, fingerprints and keys (about n/6 keys
-for n shingles), and once more, only the candidates', for their sets.  A task
+for n shingles at 90 %, n/2 at 80 %, dealt in two passes then), and once more, only the candidates', for their sets.  A task
 holds the sets of two groups at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -63,26 +65,39 @@ def _levels(ratio: float = 1.4, largest: int = 1 << 40) -> np.ndarray:
 LEVELS = _levels()
 
 
-def parts_of_level(level: int) -> tuple[int, int]:
-    """Parts and spare parts of a level: sizes below the next bound, and partners up to 10/9 of that."""
-    top = int(LEVELS[level + 1]) - 1
-    differ = (top + top * 10 // 9) // 19
-    spare = 2 + differ // 200
+@lru_cache(None)
+def parts_of_level(level: int, percent: int = 90) -> tuple[int, int]:
+    """Parts and spare parts of a level: sizes below the next bound, and partners up to 100/percent of that.
+
+    The spare parts are as many as the level's smallest sets leave empty, with
+    three standard deviations, but no more than a quarter of the difference.
+    """
+    low, top = int(LEVELS[level]), int(LEVELS[level + 1]) - 1
+    differ = (100 - percent) * (top + top * 100 // percent) // (100 + percent)
+    spare = 2
+    while spare < 2 + differ // 4:
+        m = differ + 1 + spare
+        mean = m * (1 - 1 / m) ** low
+        spread = max(0.0, m * (m - 1) * (1 - 2 / m) ** low + mean - mean * mean) ** 0.5
+        if spare >= mean + 3 * spread:
+            break
+        spare += 1
     return differ + 1 + spare, spare
 
 
-def part_keys(tokens: np.ndarray) -> np.ndarray:
+def part_keys(tokens: np.ndarray, percent: int = 90) -> np.ndarray:
     """The join keys of a set of distinct token hashes."""
     n = len(tokens)
     level = int(np.searchsorted(LEVELS, n, side="right")) - 1
-    out = [_keys_at(tokens, level)]
-    if level and 9 * n <= 10 * (int(LEVELS[level]) - 1):
-        out.append(_keys_at(tokens, level - 1))
+    out = [_keys_at(tokens, level, percent)]
+    while level and percent * n <= 100 * (int(LEVELS[level]) - 1):
+        level -= 1
+        out.append(_keys_at(tokens, level, percent))
     return np.concatenate(out)
 
 
-def _keys_at(tokens: np.ndarray, level: int) -> np.ndarray:
-    m, spare = parts_of_level(level)
+def _keys_at(tokens: np.ndarray, level: int, percent: int) -> np.ndarray:
+    m, spare = parts_of_level(level, percent)
     spread = kernels.mix(tokens + _U(0xA5A5A5A5))
     part = ((spread >> _U(32)) * _U(m)) >> _U(32)
     order = np.argsort(part, kind="stable")
@@ -98,20 +113,20 @@ def _keys_at(tokens: np.ndarray, level: int) -> np.ndarray:
     return keys
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketches(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     """doc_id, n, fa, fb (fingerprint of the set) and keys."""
     for batch in batches:
         raw, offsets = kernels.text_buffers(batch.column("text"))
         ids = batch.column("doc_id")
         for a, b in kernels.pieces(offsets):
-            tokens, at = kernels.shingles(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            tokens, at = kernels.shingles(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
             n, fa, fb, keys = [], [], [], []
             for k in range(b - a):
                 own = np.unique(tokens[at[k] : at[k + 1]])
                 n.append(len(own))
                 fa.append(kernels.mix(own).sum(dtype=np.uint64))
                 fb.append(kernels.mix(own + _U(0x51ED270B)).sum(dtype=np.uint64))
-                keys.append(part_keys(own) if len(own) else own)
+                keys.append(part_keys(own, percent) if len(own) else own)
             sizes = np.array([len(x) for x in keys])
             flat = np.concatenate(keys).view(np.int64) if len(keys) else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(
@@ -129,12 +144,12 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """fa and the sorted token hashes of a text as bytes."""
     for batch in batches:
         raw, offsets = kernels.text_buffers(batch.column("text"))
         for a, b in kernels.pieces(offsets):
-            tokens, at = kernels.shingles(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            tokens, at = kernels.shingles(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
             own = [np.unique(tokens[at[k] : at[k + 1]]) for k in range(b - a)]
             fa = np.array([kernels.mix(x).sum(dtype=np.uint64) for x in own], np.uint64)
             yield pa.RecordBatch.from_arrays(
@@ -166,28 +181,28 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 8192
     return out
 
 
-def _reach(sets: list[np.ndarray], union: np.ndarray) -> np.ndarray:
-    """Which sets have 9/10 of their tokens in a union: only those can link into its group."""
+def _reach(sets: list[np.ndarray], union: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets have ``percent`` of their tokens in a union: only those can link into its group."""
     inside = np.array([np.isin(x, union, assume_unique=True).sum() for x in sets])
     sizes = np.array([len(x) for x in sets])
-    return 10 * inside >= 9 * sizes
+    return 100 * inside >= percent * sizes
 
 
-def _group_links(ids: list[np.ndarray], sets: list[list[np.ndarray]]) -> list[tuple[int, int]]:
+def _group_links(ids: list[np.ndarray], sets: list[list[np.ndarray]], percent: int) -> list[tuple[int, int]]:
     """Links that span the connected parts of one group (one side) or of two (links across)."""
     own = len(sets) == 1
     left, right = sets[0], sets[-1]
-    opened_left = np.flatnonzero(_reach(left, np.unique(np.concatenate(right)))) if not own else np.arange(len(left))
+    opened_left = np.flatnonzero(_reach(left, np.unique(np.concatenate(right)), percent)) if not own else np.arange(len(left))
     if not len(opened_left):
         return []
     left = [left[i] for i in opened_left]
-    opened_right = np.flatnonzero(_reach(right, np.unique(np.concatenate(left)))) if not own else np.arange(len(right))
+    opened_right = np.flatnonzero(_reach(right, np.unique(np.concatenate(left)), percent)) if not own else np.arange(len(right))
     if not len(opened_right):
         return []
     right = [right[i] for i in opened_right]
     both = _overlaps(left, right).astype(np.int64)
     total = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :]
-    linked = 100 * both >= 90 * (total - both)
+    linked = 100 * both >= percent * (total - both)
     names = np.concatenate([ids[0][opened_left], ids[-1][opened_right]])
     leader = np.arange(len(names))
 
@@ -209,7 +224,7 @@ def _group_links(ids: list[np.ndarray], sets: list[list[np.ndarray]]) -> list[tu
     return found
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Links (a, b) of each pair of groups; rows come sorted by the pair."""
     for group in kernels.stream_groups(batches, ["ga", "gb"]):
         side = group.column("side").to_numpy()
@@ -219,17 +234,17 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = [np.flatnonzero(side == s) for s in ([0] if one else [0, 1])]
         if any(len(c) == 0 for c in chosen):
             continue
-        links = _group_links([names[c] for c in chosen], [[tokens[i] for i in c] for c in chosen])
+        links = _group_links([names[c] for c in chosen], [[tokens[i] for i in c] for c in chosen], percent)
         if links:
             a, b = zip(*links, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _links(work: DataFrame, sets: DataFrame) -> DataFrame:
+def _links(work: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Compare the sides (ga, gb, side, fa) of each pair and write the links found."""
     parts = int(work.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = work.join(sets, "fa").repartition(4 * parts, "ga", "gb").sortWithinPartitions("ga", "gb")
-    return scratch(dealt.select("ga", "gb", "side", "fa", "tokens").mapInArrow(_compare, "a long, b long"), "near-links")
+    return scratch(dealt.select("ga", "gb", "side", "fa", "tokens").mapInArrow(lambda batches: _compare(batches, percent), "a long, b long"), "near-links")
 
 
 def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -244,7 +259,7 @@ def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def near_labels(docs: DataFrame, sketches: DataFrame, group: int = GROUP) -> DataFrame:
+def near_labels(docs: DataFrame, sketches: DataFrame, group: int = GROUP, size: int = 3, percent: int = 90) -> DataFrame:
     """fa, label: the component of every fingerprint that shares a key with another one.
 
     Three rounds, each over what the ones before left apart.  First every group
@@ -257,16 +272,21 @@ def near_labels(docs: DataFrame, sketches: DataFrame, group: int = GROUP) -> Dat
     """
     spark = docs.sparkSession
     keyed = sketches.filter("n > 0").select(F.explode("keys").alias("key"), "fa")
-    shared = (
-        keyed.groupBy("key")
-        .agg(F.min("fa").alias("low"), F.max("fa").alias("high"), F.count("*").alias("c"))
-        .filter("low < high")
-        .select("key", "c")
-    )
-    shared = scratch(shared, "near-keys")
-    free_shuffles(spark)
-    hits = scratch(keyed.join(shared, "key").distinct(), "near-hits")
-    free_shuffles(spark)
+    # A lower threshold has more keys; by passes over parts of them no shuffle holds them all.
+    passes, found = -(-(100 - percent) // 10), []
+    for k in range(passes):
+        some = keyed.filter(F.pmod("key", F.lit(passes)) == k)
+        shared = (
+            some.groupBy("key")
+            .agg(F.min("fa").alias("low"), F.max("fa").alias("high"), F.count("*").alias("c"))
+            .filter("low < high")
+            .select("key", "c")
+        )
+        shared = scratch(shared, "near-keys")
+        free_shuffles(spark)
+        found.append(scratch(some.join(shared, "key").distinct(), "near-hits"))
+        free_shuffles(spark)
+    hits = reduce(DataFrame.unionByName, found)
     best = hits.groupBy("fa").agg(F.max(F.struct("c", "key")).alias("best")).select("fa", F.col("best.key").alias("home"))
     sizes = best.groupBy("home").agg(F.count("*").alias("members"))
     parts = F.ceil(F.col("members") / group)
@@ -280,11 +300,11 @@ def near_labels(docs: DataFrame, sketches: DataFrame, group: int = GROUP) -> Dat
     if chosen.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text")
-    sets = texts.mapInArrow(_sets, "fa long, tokens binary").join(members.select("fa"), "fa", "left_semi").dropDuplicates(["fa"])
+    sets = texts.mapInArrow(lambda batches: _sets(batches, size), "fa long, tokens binary").join(members.select("fa"), "fa", "left_semi").dropDuplicates(["fa"])
     sets = scratch(sets, "near-sets")
 
     within = members.select(F.col("g").alias("ga"), F.col("g").alias("gb"), F.lit(0).alias("side"), "fa")
-    labels = _merge(members.select("fa", "g", F.col("fa").alias("label")), _links(within, sets))
+    labels = _merge(members.select("fa", "g", F.col("fa").alias("label")), _links(within, sets, percent))
 
     met = scratch(hits.join(members, "fa").select("key", "fa", "g"), "near-met")
     spots = met.select("key", "g").distinct()
@@ -294,7 +314,7 @@ def near_labels(docs: DataFrame, sketches: DataFrame, group: int = GROUP) -> Dat
     champions = members.withColumn("place", place).filter(F.col("place") <= CHAMPIONS).select("g", "fa")
     ends = spokes.select("ga", "gb", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("ga").alias("g")), F.struct(F.lit(1).alias("side"), F.col("gb").alias("g")))).alias("e"))
     work = ends.select("ga", "gb", "e.side", "e.g").join(champions, "g").select("ga", "gb", "side", "fa")
-    labels = _merge(labels, _links(work, sets))
+    labels = _merge(labels, _links(work, sets, percent))
 
     sized = labels.join(labels.groupBy("label").agg(F.count("*").alias("size")), "label")
     ranked = met.join(sized.select("fa", F.struct("size", "label").alias("rank")), "fa")
@@ -309,18 +329,19 @@ def near_labels(docs: DataFrame, sketches: DataFrame, group: int = GROUP) -> Dat
     asking = counted.select(F.col("h").alias("ga"), F.xxhash64("h", F.pmod(F.xxhash64("fa"), blocks)).alias("gb"), F.lit(1).alias("side"), "fa")
     asked = asking.select("ga", "gb").distinct().join(members.select(F.col("g").alias("ga"), "fa"), "ga")
     work = asking.unionByName(asked.select("ga", "gb", F.lit(0).alias("side"), "fa"))
-    return _merge(labels, _links(work, sets)).select("fa", "label")
+    return _merge(labels, _links(work, sets, percent)).select("fa", "label")
 
 
-def near_components(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def near_components(docs: DataFrame, group: int = GROUP, size: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document; ``percent`` of ``size``-word shingles links."""
     sketches = scratch(
         docs.select("doc_id", "text").mapInArrow(
-            _sketches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, fa long, fb long, keys array<long>"
+            lambda batches: _sketches(batches, size, percent),
+            f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, fa long, fb long, keys array<long>",
         ),
         "near-sketches",
     )
-    labels = near_labels(docs, sketches, group)
+    labels = near_labels(docs, sketches, group, size, percent)
     free_shuffles(docs.sparkSession)
     labelled = (
         sketches.select("doc_id", "n", "fa")
@@ -336,12 +357,12 @@ def near_components(docs: DataFrame, group: int = GROUP) -> DataFrame:
     )
 
 
-def keep_one_of_each(docs: DataFrame, group: int = GROUP) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, group: int = GROUP, size: int = 3, percent: int = 90) -> DataFrame:
     """The document with the smallest id of every component, columns as given.
 
     Documents without an id stay unless a document with one is in their component.
     """
-    near = near_components(docs, group)
+    near = near_components(docs, group, size, percent)
     kept = near.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept")), "left_semi")
 
