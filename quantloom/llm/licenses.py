@@ -1,8 +1,9 @@
 r"""License scan: base phrases and ordered signature rules.
 
-A rule is a regular expression with a keyword that any match must contain, a
-label, a priority and a confidence.  Only texts with a root keyword are looked
-at, and there only the rules whose keyword occurs.  Detections overlap; one
+A rule is a regular expression with a root and a keyword that any match must
+contain, a label, a priority and a confidence.  Only texts with the root of some
+rule are looked at, and there only the rules whose root and keyword occur.  Few
+roots serve all rules, so they are looked for once a text.  Detections overlap; one
 that lies within a detection of better priority (or of the same priority and
 longer) is suppressed, so "gnu general public license" does not add to "gnu
 lesser general public license".
@@ -27,8 +28,6 @@ from quantloom.llm.common import let, lower_ascii
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Base phrases of the contract.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: A text without any of these has neither a base phrase's rare word nor a rule's keyword.
-ROOTS = ("licen", "spdx", "all rights reserved", "public domain")
 
 #: label, spdx id, names, page.
 LICENSES = (
@@ -84,8 +83,8 @@ def _loose(name: str) -> str:
     return r"[\s,-]+".join(re.escape(part) for part in re.split(r"[ -]", name))
 
 
-def signature_rules() -> list[tuple[int, str, str, str, float]]:
-    """(priority, label, keyword, pattern, confidence); 1 is the best priority.
+def signature_rules() -> list[tuple[int, str, str, str, str, float]]:
+    """(priority, label, root, keyword, pattern, confidence); 1 is the best priority.
 
     Made from the fixed names: an SPDX tag, a ``license:`` field, a page, a
     grant ("licensed under ..."), and the name next to the word license.
@@ -93,17 +92,17 @@ def signature_rules() -> list[tuple[int, str, str, str, float]]:
     rules = []
     for label, spdx, names, page in LICENSES:
         tag = re.escape(spdx) + r"(?:-only|-or-later|\+)?(?![\w.-])"
-        rules.append((1, label, "spdx", r"spdx-license-identifier:\s*" + tag, 0.99))
-        rules.append((1, label, "licen", r"\blicen[sc]e\"?\s*[:=]\s*[\"']?" + tag, 0.9))
-        rules.append((1, label, page.split("/")[0], r"https?://(?:www\.)?" + re.escape(page) + r"(?![\w])", 0.95))
+        rules.append((1, label, "spdx", "spdx", r"spdx-license-identifier:\s*" + tag, 0.99))
+        rules.append((1, label, "licen", "licen", r"\blicen[sc]e\"?\s*[:=]\s*[\"']?" + tag, 0.9))
+        rules.append((1, label, "://", page.split("/")[0], r"https?://(?:www\.)?" + re.escape(page) + r"(?![\w])", 0.95))
         for name in names:
-            rules.append((2, label, name.split(" ")[0].split("-")[0], _GRANT + _loose(name) + r"(?![\w])", 0.9))
+            rules.append((2, label, " under ", name.split(" ")[0].split("-")[0], _GRANT + _loose(name) + r"(?![\w])", 0.9))
             if "licen" in name:
-                rules.append((3, label, name.split(" ")[0], r"\b" + _loose(name) + r"(?![\w])", 0.7))
+                rules.append((3, label, "licen", name.split(" ")[0], r"\b" + _loose(name) + r"(?![\w])", 0.7))
             else:
-                rules.append((3, label, name.split(" ")[0].split("-")[0], r"\b" + _loose(name) + r"(?:[\s-]+v?\d[\d.]*)?[\s-]+(?:style\s+)?licen[sc]ed?\b", 0.7))
-    rules.append((3, "proprietary", "all rights reserved", r"\ball rights reserved\b", 0.4))
-    rules.append((3, "public-domain", "public domain", r"\b(?:dedicated|released|placed|put)(?: \w+){0,2} (?:to|into|in) the public domain\b", 0.8))
+                rules.append((3, label, "licen", name.split(" ")[0].split("-")[0], r"\b" + _loose(name) + r"(?:[\s-]+v?\d[\d.]*)?[\s-]+(?:style\s+)?licen[sc]ed?\b", 0.7))
+    rules.append((3, "proprietary", "all rights reserved", "all rights reserved", r"\ball rights reserved\b", 0.4))
+    rules.append((3, "public-domain", "public domain", "public domain", r"\b(?:dedicated|released|placed|put)(?: \w+){0,2} (?:to|into|in) the public domain\b", 0.8))
     return rules
 
 
@@ -190,22 +189,22 @@ def scan_licenses(docs: DataFrame, rules=None) -> DataFrame:
             F.struct(
                 F.lit(p).alias("priority"),
                 F.lit(label).alias("label"),
+                F.lit(root).alias("root"),
                 F.lit(keyword).alias("keyword"),
                 F.lit(pattern).alias("pattern"),
                 F.lit(confidence).alias("confidence"),
             )
-            for p, label, keyword, pattern, confidence in rules
+            for p, label, root, keyword, pattern, confidence in rules
         ]
     )
     low = F.col("low")
-    rooted = F.lit(False)
-    for root in ROOTS:
-        rooted = rooted | F.contains(low, F.lit(root))
+    roots = sorted({root for _, _, root, *_ in rules})
+    held = F.filter(F.array(*[F.when(F.contains(low, F.lit(root)), F.lit(root)) for root in roots]), lambda x: x.isNotNull())
     base_gate = F.contains(low, F.lit("license")) | (F.contains(low, F.lit("cc")) & F.contains(low, F.lit("nc")))
     no_places = F.array().cast("array<int>")
     frame = docs.select("doc_id", lower_ascii(F.coalesce(F.col("text"), F.lit(""))).alias("low"))
     frame = frame.withColumn("words", F.filter(F.split("low", SEPARATOR), lambda w: w != "")).withColumn(
-        "rooted", rooted
+        "roots", held
     )
     for phrase, label in BASE:
         gate = base_gate & F.contains(low, F.lit(phrase.split(" ")[-2]))
@@ -213,14 +212,14 @@ def scan_licenses(docs: DataFrame, rules=None) -> DataFrame:
             f"at_{label}", F.when(gate, _base_places(F.col("words"), phrase)).otherwise(no_places)
         )
     none = F.struct(F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("best"))
-    fired = F.filter(table, lambda r: F.contains(low, r["keyword"]))
+    fired = F.filter(table, lambda r: F.array_contains(F.col("roots"), r["root"]) & F.contains(low, r["keyword"]))
     verdict = _verdict(F.flatten(F.transform(fired, lambda r: _spans(low, r))))
     places = [F.col(f"at_{label}") for _, label in BASE]
     base_labels = F.filter(
         F.array(*[F.when(F.size(f"at_{label}") > 0, F.lit(label)) for _, label in BASE]), lambda x: x.isNotNull()
     )
     return (
-        frame.withColumn("verdict", F.when(F.col("rooted"), verdict).otherwise(none))
+        frame.withColumn("verdict", F.when(F.size("roots") > 0, verdict).otherwise(none))
         .withColumn("places", F.concat(*places))
         .withColumn("base_labels", base_labels)
         .select(

@@ -276,6 +276,27 @@ def test_licenses(spark, empty):
     assert len(licenses.signature_rules()) > 200
 
 
+def test_licenses_without_the_word_license(spark):
+    want = {
+        "Released under the GNU GPL version 3": "gpl-3",
+        "distributed under CC BY-SA": "cc-by-sa",
+        "It is published under the terms of the GPLv2.": "gpl-2",
+        "available under MPL 2.0": "mpl-2",
+        "see https://creativecommons.org/publicdomain/zero/1.0/": "cc0",
+        "http://www.mozilla.org/MPL/2.0/": "mpl-2",
+        "https://www.eclipse.org/legal/epl-2.0/": "epl-2",
+        "https://scripts.sil.org/OFL": "ofl",
+        "http://www.wtfpl.net/": "wtfpl",
+        "Dedicated to the public domain": "public-domain",
+        "All rights reserved.": "proprietary",
+    }
+    assert not any("licen" in text.lower() for text in want)
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    out = {r.doc_id: r for r in licenses.scan_licenses(df).collect()}
+    assert [out[i].labels for i in range(len(want))] == [[label] for label in want.values()]
+    assert all(r.score > 0 for r in out.values())
+
+
 def test_secrets(spark, docs, rows, empty):
     rng = random.Random(3)
     code = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
