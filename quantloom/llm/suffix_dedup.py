@@ -14,21 +14,23 @@ Transform.  Within a collection, round j inserts one symbol of every stretch,
 from its end: the suffix of length j is placed by the rank of its first symbol
 in the transform so far, and the common prefix with its neighbours is one more
 than the least common prefix between the places its tail and theirs hold.  The
-transform, the common prefixes and the suffixes' origins are arrays that each
-round rewrites in one sequential merge; they take the place of the method's
-external files, since a collection is bounded.  Runs of suffixes with common
+transform and the common prefixes are arrays that each round rewrites in one
+sequential merge; they take the place of the method's external files, since a
+collection is bounded.  Runs of suffixes with common
 prefixes of LENGTH or more are the occurrences of one string; the smallest
 doc_id of a run decides.
 
 Stretches that agree with no other one around their minimizer are left out of
 the transform; a window they share with nobody needs no sorting.
 
-Minimizers that occur in more than ``HOT`` documents are not built as one
+Equal stretches are merged first, after a comparison of their bytes, so a passage
+in a million documents is one string of its collection.  Minimizers with more
+than ``HOT`` stretches after a first merge inside each task are not built as one
 collection: their windows are grouped one by one, by content.
 
 Defined results.  Null text has no bytes.  A null doc_id matches nothing and
 loses nothing.  Rows with equal doc_id do not remove from each other.  Repeated
-rows each get a row.  Texts shorter than LENGTH lose nothing.  Columns beside
+rows each get a row.  Texts may hold any bytes, valid UTF-8 or not.  Texts shorter than LENGTH lose nothing.  Columns beside
 doc_id and text are ignored.
 
 Scale.  Exact copies are settled by hash first.  Minimizers are about one per 18
@@ -52,45 +54,64 @@ from quantloom.llm.common import drop_scratch, free_shuffles, scratch
 
 LENGTH = 50
 GRAM = 16
+_FIRST, _SECOND, _THIRD = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 HOT = 20_000
-#: Minimizers above that bound are at most 1 / HOT of all; up to this many they are broadcast.
+#: Minimizers above that bound are at most one per HOT stretches; up to this many they are broadcast.
 BROADCAST_HOT = 200_000
 #: Stretches in one collection, besides those of its last minimizer.
-COLLECTION = 16_000
+COLLECTION = 4_000
 #: Ids of exact copies up to this many are broadcast; beyond, a shuffled join.
 BROADCAST_IDS = 500_000
 _DOCS = "doc_id long, mark int, text string"
 
 
-def stretches(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
+def gram_hashes(raw: np.ndarray) -> np.ndarray:
+    """Hash of the GRAM = 16 bytes from every place of a buffer on: two words of eight bytes, mixed."""
+    n = len(raw) - GRAM + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    words = np.empty(n + 8, np.uint64)
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    for k in range(8):
+        shown = words[k::8]
+        shown[:] = padded[k : k + 8 * len(shown)].view("<u8")
+    out = words[:n] * _FIRST
+    out ^= words[8:] * _SECOND
+    out ^= out >> np.uint64(32)
+    out *= _THIRD
+    out ^= out >> np.uint64(29)
+    return out
+
+
+def stretches(raw: np.ndarray, offsets: np.ndarray):
     """Text index, first byte, windows and minimizer of every stretch of the texts in a buffer."""
     none = np.zeros(0, np.int64)
-    if len(raw) < length:
+    if len(raw) < LENGTH:
         return none, none, none, np.zeros(0, np.uint64)
-    sums = kernels.rolling_sums(raw.astype(np.uint64))
-    starts = np.arange(len(raw) - gram + 1)
-    least = kernels.range_hash(sums, starts, starts + gram)
-    width, have = length - gram + 1, 1
+    least, width, have = gram_hashes(raw), LENGTH - GRAM + 1, 1
     while have < width:
         step = min(have, width - have)
-        least = np.minimum(least[: len(least) - step], least[step:])
+        least = np.minimum(least[:-step], least[step:])
         have += step
-    lengths = np.diff(offsets)
-    owner = np.repeat(np.arange(len(lengths)), lengths)[: len(least)]
-    at = np.flatnonzero(np.arange(len(least)) + length <= offsets[1:][owner])
-    if not len(at):
-        return none, none, none, np.zeros(0, np.uint64)
-    value, owner = least[at], owner[at]
-    new = np.ones(len(at), bool)
-    new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)
-    head = np.flatnonzero(new)
-    run = np.diff(np.append(head, len(at)))
+    # A window must end in its text: the last LENGTH - 1 places of each text start none.
+    steps = np.zeros(len(least) + 1, np.int8)
+    stop = offsets[1:][np.diff(offsets) > 0]
+    begin = np.maximum(offsets[:-1][np.diff(offsets) > 0], stop - LENGTH + 1)
+    steps[begin[begin < len(least)]] += 1
+    steps[stop[stop < len(least)]] -= 1
+    inside = np.cumsum(steps[:-1], dtype=np.int8) == 0
+    edge = np.ones(len(least) + 1, bool)
+    edge[1:-1] = (least[1:] != least[:-1]) | (inside[1:] != inside[:-1])
+    edge = np.flatnonzero(edge)
+    keep = inside[edge[:-1]]
+    head, run = edge[:-1][keep], np.diff(edge)[keep]
     # A minimizer that repeats within a text makes long runs; these are cut.
     cuts = -(-run // width)
     place = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
     head = np.repeat(head, cuts) + place * width
     run = np.minimum(np.repeat(run, cuts) - place * width, width)
-    return owner[head], at[head], run, value[head]
+    return np.searchsorted(offsets, head, side="right") - 1, head, run, least[head]
 
 
 def _minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,6 +133,16 @@ def _minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _must_agree(data: np.ndarray, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> None:
+    """Stop where two strings with one hash differ; they are merged by it."""
+    alike = np.array_equal(size_a, size_b)
+    if alike:
+        step = np.arange(size_a.sum()) - np.repeat(np.cumsum(size_a) - size_a, size_a)
+        alike = np.array_equal(data[np.repeat(a, size_a) + step], data[np.repeat(b, size_a) + step])
+    if not alike:
+        raise ValueError("two different stretches have the same hash and minimizer")
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The stretches of a text whose minimizer is in its list ``anchors``."""
     for batch in batches:
@@ -139,6 +170,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new = np.ones(len(order), bool)
             new[1:] = (value[order][1:] != value[order][:-1]) | (sid[order][1:] != sid[order][:-1])
             lead = order[new]
+            led = lead[np.cumsum(new) - 1]
+            _must_agree(piece, start[order[~new]], start[led[~new]], (end - start)[order[~new]], (end - start)[led[~new]])
             count = np.zeros(len(owner), np.int64)
             count[lead] = np.diff(np.append(np.flatnonzero(new), len(order)))
             size = np.where(count > 0, end - start, 0)
@@ -168,80 +201,81 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _least_between(table: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Minimum over [low, high] from a table of minima over powers of two."""
-    level = np.frexp((high - low + 1).astype(np.float64))[1] - 1
-    out = np.empty(len(low), np.uint8)
-    for p in np.unique(level):
-        own = level == p
-        row = table[p]
-        out[own] = np.minimum(row[low[own]], row[high[own] - (1 << int(p)) + 1])
-    return out
+def _least_between(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Minimum over [low, high] for many ranges, from minima over powers of two."""
+    if not len(low):
+        return np.zeros(0, np.uint8)
+    level = np.frexp((high - low + 1).astype(np.float32))[1].astype(np.int64) - 1
+    n = len(values)
+    table = np.empty((int(level.max()) + 1, n), np.uint8)
+    table[0] = values
+    for k in range(1, len(table)):
+        half, width = 1 << (k - 1), n + 1 - (1 << k)
+        np.minimum(table[k - 1, :width], table[k - 1, half : half + width], out=table[k, :width])
+    flat, base = table.ravel(), level * n
+    return np.minimum(flat[base + low], flat[base + high + 1 - (1 << level)])
 
 
 def column_transform(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Origins (string, start) in suffix order and common prefixes with the suffix before (at most 255).
 
-    Built in as many rounds as the longest string has symbols.  Symbols are
-    shifted by one in the transform, 0 standing for a string's start.
+    Built in as many rounds as the longest string has symbols, the strings being
+    shorter than 255.  The transform is held by symbol: for each symbol, in
+    order, the places where it stands, which are the places of the tails of the
+    suffixes that it begins.  So an entry is symbol and tail's place in one
+    number, and the entry's own rank is the suffix's.  The origins are read off
+    the finished transform, by walking every string back from its end.
     """
     n = len(offsets) - 1
     lengths = np.diff(offsets)
-    if len(data) and data.max() == 255:
-        raise ValueError("strings must be UTF-8 or of symbols below 255")
-    symbols = data + np.uint8(1)
-    # Suffixes of length 0, in the order of the strings; the transform holds each string's last symbol.
-    active = np.flatnonzero(lengths > 0)
-    transform = np.zeros(n, np.uint8)
-    transform[active] = symbols[offsets[active + 1] - 1]
-    common = np.zeros(n, np.uint8)
-    origin = np.arange(n, dtype=np.int64) << 20
-    # The string whose last inserted symbol a place holds, where there is one.
-    inserter = np.full(n, -1, np.int32)
-    inserter[active] = active
-    for length in range(1, int(lengths.max(initial=0)) + 1):
-        order = np.argsort(transform, kind="stable")
-        ended = int(np.count_nonzero(transform == 0))
-        writer = inserter[order]
-        writer[:ended] = -1
-        fresh_rank = np.flatnonzero(writer >= 0)
-        strings = writer[fresh_rank]
-        to = n + fresh_rank - ended
-        total = n + len(order) - ended
-        fresh = np.zeros(total, bool)
-        fresh[to] = True
-        old = ~fresh
-        table = [common]
-        while len(table[-1]) > (1 << (len(table) - 1)):
-            step = 1 << (len(table) - 1)
-            table.append(np.minimum(table[-1][:-step], table[-1][step:]))
-        grown = np.zeros(total, np.uint8)
-        grown[old] = common
+    longest = int(lengths.max(initial=0))
+    # Symbols are numbered in order, so that any bytes will do.
+    known = np.flatnonzero(np.bincount(data, minlength=1))
+    number = np.zeros(256, np.int64)
+    number[known] = np.arange(len(known))
+    kind, bits = (np.uint32, 24) if n + len(data) < 1 << 24 else (np.int64, 48)
+    shift, low_bits = kind(bits), kind((1 << bits) - 1)
+    entries, common = np.zeros(0, kind), np.zeros(n, np.uint8)
+    # Suffixes of length 0 come first, in the order of the strings.
+    at = who = np.flatnonzero(lengths > 0)
+    for length in range(1, longest + 1):
+        symbol = number[data[offsets[who + 1] - length]]
+        order = np.argsort(symbol, kind="stable")
+        at, who = at[order], who[order]
+        fresh = ((symbol[order] << bits) + at).astype(kind)
+        smaller = np.searchsorted(entries, fresh)
+        to = smaller + np.arange(len(fresh))
+        old = np.ones(len(entries) + len(fresh), bool)
+        old[to] = False
+        merged = np.empty(len(old), kind)
+        merged[old], merged[to] = entries, fresh
         # A new suffix and the one after it get new common prefixes with their predecessors.
-        mark = fresh.copy()
-        mark[to[to + 1 < total] + 1] = True
-        touched = np.flatnonzero(mark)
-        here = touched - n + ended
-        same = np.zeros(len(here), bool)
-        later = here > ended
-        same[later] = transform[order[here[later]]] == transform[order[here[later] - 1]]
-        value = np.zeros(len(here), np.uint8)
-        value[same] = _least_between(table, order[here[same] - 1] + 1, order[here[same]]) + np.uint8(1)
-        grown[touched] = value
-        left = lengths[strings] > length
-        shown = np.zeros(len(strings), np.uint8)
-        shown[left] = symbols[offsets[strings[left] + 1] - 1 - length]
-        merged = np.empty(total, np.uint8)
-        merged[old] = transform
-        merged[to] = shown
-        origins = np.empty(total, np.int64)
-        origins[old] = origin
-        origins[to] = (strings.astype(np.int64) << 20) + length
-        inserter = np.full(total, -1, np.int32)
-        inserter[to[left]] = strings[left]
-        transform, common, origin = merged, grown, origins
-    owner = origin >> 20
-    return owner, lengths[owner] - (origin & 0xFFFFF), common
+        after = to + 1
+        after = after[np.append(after[:-1] < to[1:], after[-1] < len(merged))]
+        touched = np.concatenate([to[to > 0], after])
+        here, before = merged[touched], merged[touched - 1]
+        same = (here >> shift) == (before >> shift)
+        low, high = (before[same] & low_bits).astype(np.int64) + 1, (here[same] & low_bits).astype(np.int64)
+        value = np.zeros(len(touched), np.uint8)
+        value[same] = _least_between(common, low, high) + np.uint8(1)
+        grown = np.zeros(n + len(merged), np.uint8)
+        grown[n:][old] = common[n:]
+        grown[n + touched] = value
+        # Places move up by the new suffixes before them.
+        moved = np.zeros(n + len(entries), kind)
+        np.subtract(np.flatnonzero(old), np.arange(len(entries)), out=moved[n:], casting="unsafe")
+        merged += moved.take((merged & low_bits).astype(np.int64), mode="clip")
+        left = lengths[who] > length
+        entries, common, at, who = merged, grown, n + to[left], who[left]
+    head = np.zeros(n + len(entries), np.int64)
+    head[entries & low_bits] = np.arange(n, n + len(entries))
+    owner, start = np.empty(len(head), np.int64), np.empty(len(head), np.int64)
+    at = who = np.arange(n)
+    for length in range(longest + 1):
+        owner[at], start[at] = who, lengths[who] - length
+        left = lengths[who] > length
+        at, who = head[at[left]], who[left]
+    return owner, start, common
 
 
 def may_share(anchors: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -254,9 +288,10 @@ def may_share(anchors: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.
     n = len(anchors)
     reach = (LENGTH - GRAM) // 2
     sums = kernels.rolling_sums(data.astype(np.uint64))
-    owner = np.repeat(np.arange(n), np.diff(offsets))
-    at = np.flatnonzero(np.arange(len(data)) + GRAM <= offsets[1:][owner])
-    at = at[kernels.range_hash(sums, at, at + GRAM) == anchors[owner[at]]]
+    owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
+    grams = gram_hashes(data)
+    at = np.flatnonzero(grams == anchors[owner[: len(grams)]])
+    at = at[at + GRAM <= offsets[1:][owner[at]]]
     held = np.bincount(owner[at], minlength=n)
     group = np.cumsum(np.concatenate([[0], anchors[1:] != anchors[:-1]]))
     open_ = (np.bincount(group, weights=held != 1) > 0)[group]
@@ -296,6 +331,10 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(order), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (sid[1:] != sid[:-1])
         count = np.add.reduceat(table.column("count").to_numpy()[order], np.flatnonzero(new))
+        data, offsets = kernels.text_buffers(table.column("bytes"))
+        led, size = order[new][np.cumsum(new) - 1][~new], np.diff(offsets)
+        more = order[~new]
+        _must_agree(data, offsets[more], offsets[led], size[more], size[led])
         table = table.take(pa.array(order[new]))
         data, offsets = kernels.text_buffers(table.column("bytes"))
         docs = table.column("doc_id").to_numpy()
@@ -429,17 +468,11 @@ def repeated_ranges(docs: DataFrame, marked: bool, hashed: DataFrame, hot: int =
     texts = _text_rows(docs, marked).filter("doc_id is not null").join(later, ["doc_id", "mark"], "left_anti")
 
     seen = scratch(texts.mapInArrow(_minimizers, "doc_id long, anchor long"), "minimizers")
-    shared = seen.groupBy("anchor").agg(
-        F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("docs")
-    )
-    shared = scratch(shared.filter("low < high").select("anchor", "docs"), "shared-minimizers")
-    heavy = shared.filter(F.col("docs") > hot).select("anchor")
-    hot_count = heavy.count()
-    if hot_count <= BROADCAST_HOT:
-        heavy = F.broadcast(heavy)
+    shared = seen.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    shared = scratch(shared.filter("low < high").select("anchor"), "shared-minimizers")
     free_shuffles(spark)
-    found_in = scratch(seen.join(shared.select("anchor"), "anchor"), "marked-minimizers")
-    drop_scratch(seen)
+    found_in = scratch(seen.join(shared, "anchor"), "marked-minimizers")
+    drop_scratch(seen, shared)
     free_shuffles(spark)
 
     # Texts that share a doc_id share a list; minimizers that a text lacks do nothing there.
@@ -452,6 +485,11 @@ def repeated_ranges(docs: DataFrame, marked: bool, hashed: DataFrame, hot: int =
     free_shuffles(spark)
 
     distinct = found.filter("bytes is not null").select("anchor", "sid", "doc_id", "count", "bytes")
+    heavy = scratch(distinct.groupBy("anchor").count().filter(F.col("count") > hot).select("anchor"), "hot-minimizers")
+    hot_count = heavy.count()
+    free_shuffles(spark)
+    if hot_count <= BROADCAST_HOT:
+        heavy = F.broadcast(heavy)
     calm = distinct.join(heavy, "anchor", "left_anti") if hot_count else distinct
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     judged = (
@@ -477,7 +515,7 @@ def repeated_ranges(docs: DataFrame, marked: bool, hashed: DataFrame, hot: int =
         )
     )
     removed = scratch(removed, "removed-ranges")
-    drop_scratch(found, judged, shared)
+    drop_scratch(found, judged, heavy)
     free_shuffles(spark)
     return removed.unionByName(copies)
 
