@@ -16,42 +16,81 @@ NON_ALNUM = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: A table of at most this many keys is broadcast; a larger one is joined by a shuffle.
+BROADCAST_KEYS = 500_000
 _OWN: dict[str, str] = {}
+_MADE: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where neither that setting nor a checkpoint folder is there (tests in
-    one process) a folder is made, one per application.
+    Where neither that setting nor a checkpoint folder is there, one is made in
+    local mode (tests in one process); on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         found = _OWN.get(app) or _OWN.setdefault(app, f"file://{tempfile.mkdtemp(prefix='quantloom-')}")
     return found
 
 
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
 def scratch(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     This cuts the lineage with a copy that survives lost executors, and later
-    readers see only the columns they need.
+    readers see only the columns they need.  What is left of the application's
+    tables goes when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quantloom/{tag}-{uuid.uuid4().hex}"
+    home = f"{shared_dir(spark)}/quantloom-{spark.sparkContext.applicationId}"
+    files, folder = _folder(spark, home)
+    files.deleteOnExit(folder)
+    path = f"{home}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    schema = df.schema
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    if _MADE:
+        _MADE[-1].append(table)
+    return table
 
 
 def drop_scratch(*tables: DataFrame) -> None:
     """Delete scratch tables that no later step reads."""
     for table in tables:
-        spark = table.sparkSession
         for file in table.inputFiles()[:1]:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            files, path = _folder(table.sparkSession, file)
+            files.delete(path.getParent(), True)
+
+
+def settled(make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """The result of ``make`` as a scratch table; the scratch tables made on the way are deleted."""
+    _MADE.append([])
+    try:
+        made = _MADE[-1]
+        out = scratch(make(), tag)
+    finally:
+        _MADE.pop()
+    drop_scratch(*made[:-1])
+    if _MADE:
+        _MADE[-1].append(out)
+    return out
+
+
+def small(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """``keys``, a written table, marked for broadcast if it has at most ``most`` rows."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
+def packed(docs: DataFrame) -> Column:
+    """The whole row as one struct column, so that no name of the input can clash with a helper's."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -92,6 +131,49 @@ def count_words(text: Column, separator: str = SPACE) -> Column:
     ).cast("long")
 
 
+_CHUNK = 256
+PLACES = "array<struct<start:int,end:int,value:string>>"
+
+
+def placed_matches(text: Column, pattern: Column, group: int = 0) -> Column:
+    """All leftmost matches of ``pattern`` as structs (start, end, value of the group), in code points.
+
+    Starts are running sums of the lengths of the pieces between matches.  They
+    are built in chunks, so that a text with very many matches costs no more
+    than chunk times matches.
+    """
+    whole = F.regexp_extract_all(text, pattern, F.lit(0))
+    value = F.regexp_extract_all(text, pattern, F.lit(group))
+
+    def place(steps):
+        chunks = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / _CHUNK).cast("int")),
+            lambda c: F.slice(steps, c * _CHUNK + 1, F.lit(_CHUNK)),
+        )
+
+        def one(a, s):
+            start = a["at"] + s["gap"]
+            found = F.struct(start.alias("start"), (start + s["long"]).alias("end"), s["value"].alias("value"))
+            return F.struct((start + s["long"]).alias("at"), F.array_append(a["out"], found).alias("out"))
+
+        def chunk(a, steps_of):
+            inner = F.aggregate(steps_of, F.struct(a["at"].alias("at"), F.array().cast(PLACES).alias("out")), one)
+            return let(inner, lambda r: F.struct(r["at"].alias("at"), F.array_append(a["out"], r["out"]).alias("out")))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{PLACES}>").alias("out"))
+        return F.flatten(F.aggregate(chunks, start, chunk, lambda a: a["out"]))
+
+    steps = F.filter(
+        F.zip_with(
+            F.zip_with(F.call_function("split", text, pattern), whole, lambda g, m: F.struct(g.alias("gap"), m.alias("hit"))),
+            value,
+            lambda s, v: F.struct(F.length(s["gap"]).alias("gap"), F.length(s["hit"]).alias("long"), v.alias("value")),
+        ),
+        lambda s: s["long"].isNotNull(),
+    )
+    return let(steps, lambda s: F.when(F.size(s) > 0, place(s)).otherwise(F.array().cast(PLACES)))
+
+
 def bucket_of(key: Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo ``modulus``; a null key is in no bucket."""
     return F.pmod(F.crc32(key.cast("string")), F.lit(modulus))

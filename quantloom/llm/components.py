@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import scratch
+from quantloom.llm.common import scratch, settled
 
 #: No table of fewer than 2^64 nodes needs more: the trees left at least halve
 #: in two levels, and the depth of a tree halves in every jump.
@@ -13,9 +13,12 @@ MOST_LEVELS, MOST_JUMPS = 130, 66
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, label (the smallest node reachable) for every node of ``links`` (a, b).
+    """node, label (the smallest node reachable) for every node of ``links`` (a, b)."""
+    return settled(lambda: _components(links), "components")
 
-    In each level every node hooks to its smallest neighbour if that is smaller,
+
+def _components(links: DataFrame) -> DataFrame:
+    """In each level every node hooks to its smallest neighbour if that is smaller,
     the trees shrink to their roots by pointer jumping, and the links between
     different roots are the next level's.  A root without smaller neighbours
     that nothing hooks to has one in the next level.  So the levels grow with
