@@ -11,7 +11,8 @@ ordered last.  A document of size 0 takes 0 words.  The shuffle is the md5 of
 doc_id, so reruns agree; rows with the same doc_id are ordered by size, and
 equal rows are interchangeable.  A null doc_id shuffles as empty text.  An empty
 table gives an empty result.  Columns beside doc_id, text and source are ignored
-by :func:`mix` and carried along by :func:`mixed_documents`.
+by :func:`mix` and carried along by :func:`mixed_documents`, where columns named
+``copy`` and ``finish`` are replaced by its own.
 
 Scale.  Words are counted in one pass over the texts; all later steps read a
 narrow table.  Running sums never bring a source into one task: they are taken
@@ -26,7 +27,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import count_words, scratch
+from quantloom.llm.common import count_words, packed, scratch
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -76,7 +77,7 @@ def _digits(rows: int) -> int:
 def _queued(sizes: DataFrame, targets: DataFrame, digits: int) -> DataFrame:
     """Each document with ``upto``: its source's tokens in shuffled order up to and including it."""
     sizes = sizes.withColumn("bucket", F.substring("shuffle", 1, digits))
-    inside = Window.partitionBy("source", "bucket").orderBy("shuffle", "doc_id", "size")
+    inside = Window.partitionBy("source", "bucket").orderBy("shuffle", "doc_id", "size", "mark")
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = (
         sizes.groupBy("source", "bucket")
@@ -137,13 +138,17 @@ def _cut(queued: DataFrame, total: int, budget: float, repeat: int, digits: int)
     return copies.filter(F.col("slice") < end["slice"]).agg(F.max("place").alias("place")).collect()[0]["place"]
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, budget=BUDGET, repeat=REPEAT) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, times and first_finish of every document."""
+def mix(docs: DataFrame, weights=WEIGHTS, budget=BUDGET, repeat=REPEAT, mark: str | None = None) -> DataFrame:
+    """doc_id, source, mark, size, source_size, target, taken, times and first_finish of every document.
+
+    ``mark`` names a column that tells rows with equal doc_id apart.
+    """
     sizes = docs.select(
         "doc_id",
         "source",
         count_words(F.col("text")).alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("shuffle"),
+        (F.col(mark) if mark else F.lit(0).cast("long")).alias("mark"),
     )
     sizes = scratch(sizes, "mix-sizes")
     seen = sizes.agg(F.count("*").alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("total")).collect()[0]
@@ -167,35 +172,43 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget=BUDGET, repeat=REPEAT) -> DataF
         queued.withColumn("times", times)
         .withColumn("first_finish", _finish(F.lit(0)))
         .withColumn("taken", (F.col("size") * F.col("times")).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "taken", "times", "first_finish")
+        .select("doc_id", "source", "mark", "size", "source_size", "target", "taken", "times", "first_finish")
     )
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, budget=BUDGET, repeat=REPEAT) -> DataFrame:
-    """The mixed corpus: one row per copy taken, range-sorted by finish time, with ``copy`` and ``finish``."""
+    """The mixed corpus: one row per copy taken, range-sorted by finish time, with ``copy`` and ``finish``.
+
+    Rows are told apart by doc_id, source and a hash of the whole row.  Of equal
+    rows one carries the text, and each has its own copies in the plan.
+    """
+    hashed = [c for c, t in docs.dtypes if "map<" not in t]
+    mark = F.xxhash64(*[F.col(f"`{c}`") for c in hashed], *[F.col(f"`{c}`").isNull() for c in hashed])
+    rows = docs.select(packed(docs).alias("row"), "doc_id", "source", "text", mark.alias("mark"))
+    counted = scratch(mix(rows, weights, budget, repeat, "mark").filter("times > 0"), "mix-plan")
     plan = (
-        mix(docs, weights, budget, repeat)
-        .filter("times > 0")
-        .select(
-            F.col("doc_id").alias("m_doc"),
-            F.col("source").alias("m_source"),
-            F.col("size").alias("m_size"),
+        counted.select(
+            F.col("doc_id").alias("p_doc"),
+            F.col("source").alias("p_source"),
+            F.col("mark").alias("p_mark"),
             F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("copy"),
             "first_finish",
             (F.col("source_size") / F.col("target")).alias("lap"),
         )
         .withColumn("finish", F.col("first_finish") + F.col("copy") * F.col("lap"))
-        .dropDuplicates(["m_doc", "m_source", "m_size", "copy"])
         .drop("first_finish", "lap")
     )
-    joined = docs.withColumn("m_count", count_words(F.col("text"))).join(
-        plan,
-        docs["doc_id"].eqNullSafe(F.col("m_doc"))
-        & docs["source"].eqNullSafe(F.col("m_source"))
-        & (F.col("m_count") == F.col("m_size")),
+    rows = rows.drop("text")
+    if not counted.groupBy("doc_id", "source", "mark").count().filter("count > 1").isEmpty():
+        rows = rows.groupBy("doc_id", "source", "mark").agg(F.first("row").alias("row"))
+    same = F.col("doc_id").eqNullSafe(F.col("p_doc")) & F.col("source").eqNullSafe(F.col("p_source")) & (F.col("mark") == F.col("p_mark"))
+    kept = [f"row.`{c}`" for c in docs.columns if c not in ("copy", "finish")]
+    return (
+        rows.join(plan, same)
+        .repartitionByRange(F.col("finish"), F.col("doc_id"))
+        .sortWithinPartitions("finish", "doc_id", "copy")
+        .select(*kept, "copy", "finish")
     )
-    kept = joined.drop("m_doc", "m_source", "m_size", "m_count")
-    return kept.repartitionByRange(F.col("finish"), F.col("doc_id")).sortWithinPartitions("finish", "doc_id", "copy")
 
 
 def op10_mix(spark, sf_dir: str) -> DataFrame:
