@@ -8,7 +8,7 @@ the place where the window would start, which must lie within the document
 (positional and length bounds), and the words there are compared exactly.
 
 Defined results.  Null texts have no words.  Items without words never occur.
-Equal rows (same doc_id and text) give one row.  A null doc_id is kept.  A null
+Repeated rows each get a row.  A null doc_id is kept.  A null
 item_id is ignored.  Columns beside doc_id and text, item_id and text are
 ignored.  Without documents the result is empty; without items nothing is hit.
 
@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import let, lower_ascii, scratch
+from quantloom.llm.common import let, lower_ascii, packed, scratch, small
 
 WINDOW = 10
 SHINGLE = 3
@@ -146,6 +146,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     hits = reduce(DataFrame.unionByName, found)
     by_doc = hits.groupBy("doc_id", "mark").agg(
         F.max("n_words").alias("n_words"),
+        F.count("n_words").alias("rows"),
         F.array_sort(F.collect_set("span")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
@@ -158,15 +159,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         ),
         lambda a: a["n"].cast("long"),
     )
-    return by_doc.select("doc_id", "mark", "n_words", covered.alias("n_hit"), "items", "spans")
+    out = by_doc.select("doc_id", "mark", "n_words", covered.alias("n_hit"), "items", "spans", "rows")
+    return out.withColumn("rows", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).drop("rows")
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without any window of the benchmark, columns as given."""
-    hit = decontaminate(docs, items, window).filter("n_hit > 0").select(F.col("doc_id").alias("hit_id"), F.col("mark").alias("hit_mark"))
-    return docs.join(
-        hit, docs["doc_id"].eqNullSafe(F.col("hit_id")) & (F.xxhash64(docs["text"]) == F.col("hit_mark")), "left_anti"
-    )
+    """The documents without any window of the benchmark, columns as given.
+
+    The texts are shuffled only if more documents are hit than may be broadcast.
+    """
+    found = decontaminate(docs.select("doc_id", "text"), items, window).filter("n_hit > 0")
+    hit = scratch(found.select(F.col("doc_id").alias("hit_doc"), F.col("mark").alias("hit_mark")).distinct(), "bench-hits")
+    rows = docs.select(packed(docs).alias("row"), "doc_id", F.xxhash64("text").alias("mark"))
+    same = F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("mark") == F.col("hit_mark"))
+    return rows.join(small(hit), same, "left_anti").select("row.*")
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
