@@ -2,21 +2,24 @@ r"""Secret scan: fixed patterns, and character Markov models for the rest.
 
 Base: assignments, access keys and long hexadecimal runs, each found leftmost
 and non-overlapping in code points.  Method: two first-order Markov models over
-characters, of random strings and of ordinary identifiers.  Their training
-samples are labelled by the base patterns (values found are random strings) and
-by the words of a bounded sample of documents (``IDENTIFIER_DOCS`` at most).
-Other runs of 20 or more token characters with a letter and a digit that touch
-no base span are secrets if the mean log-likelihood ratio per character pair
-exceeds ``threshold``.
+characters, of random strings and of ordinary identifiers.  The training samples
+carry labels by rule: the values that the base patterns find are random strings,
+identifiers of 4 to 15 characters that are no access key or hexadecimal run are
+ordinary, over all documents, each word weighed by how often it occurs.
+Candidates are what base spans leave of runs of ``SHORTEST`` or more token
+characters, letters alone too, but not numbers.  A candidate is a secret if its log-likelihood
+ratio, summed over pairs of neighbours, exceeds ``threshold`` per pair and
+``evidence`` in all, so a short one must be the more distinct.
 
 Defined results.  Null text is empty: no spans.  Rows with the same doc_id and
-text give a row each in :func:`scan_secrets`; :func:`redact` treats them alike.
-With no base match anywhere there are no random strings to learn from, and the
-method adds nothing.  Columns beside doc_id and text are ignored by the scan and
-kept by :func:`redact`.
-
-Scale.  The texts are read once, into a table of matches; models are 66 x 66
-tables of counts.  No shuffle of texts in the scan.
+text give a row each.  With no base match anywhere there are no random strings to
+learn from, and the method adds nothing.  Columns beside doc_id and text are
+ignored by the scan and kept by :func:`redact`; n_chars, if there, follows the
+text.
+
+Scale.  The scan reads the texts once into a table of matches, :func:`redact`
+again to replace spans in place; neither shuffles texts.  Training shuffles
+distinct words with their counts; the models are 66 x 66 tables.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import SPACE, let, scratch
+from quantloom.llm.common import PLACES, SPACE, let, packed, placed_matches, scratch
 
 ASSIGN = (
     r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -37,81 +40,61 @@ KINDS = (
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+SHORTEST = 16
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}"
+IDENTIFIER = rf"^[A-Za-z][A-Za-z0-9_-]{{3,{SHORTEST - 2}}}$"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_="
 OTHER = len(ALPHABET)
-IDENTIFIER_DOCS = 2000
 THRESHOLD = 0.25
-_CHUNK = 256
-_PLACES = "array<struct<start:int,end:int,value:string>>"
+EVIDENCE = 8.0
 
 
-def _placed(text: Column, pattern: str, group: int, least: int) -> Column:
-    """Matches as structs (start, end, value) whose value has ``least`` characters.
+def _base_columns(text: Column) -> dict[str, Column]:
+    """The placed matches of each base kind, behind cheap necessary conditions."""
+    gates = {
+        "assign": F.rlike(text, F.lit(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]")),
+        "access": F.contains(text, F.lit("AKIA")),
+        "hex": F.rlike(text, F.lit(r"[0-9a-f]{24}")),
+    }
+    return {
+        kind: F.when(
+            gates[kind], F.filter(placed_matches(text, F.lit(pattern), group), lambda s: F.length(s["value"]) >= least)
+        ).otherwise(F.array().cast(PLACES))
+        for kind, pattern, group, least in KINDS
+    }
 
-    Starts are running sums of the lengths of the pieces between matches.  They
-    are built in chunks, so that a text with very many matches costs no more
-    than chunk times matches.
-    """
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
-    def place(steps):
-        chunks = F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / _CHUNK).cast("int")),
-            lambda c: F.slice(steps, c * _CHUNK + 1, F.lit(_CHUNK)),
-        )
+def _left_over(run: Column, base: Column) -> Column:
+    """The parts of a run that no base span covers, of ``SHORTEST`` characters or more."""
 
-        def one(a, s):
-            start = a["at"] + s["gap"]
-            found = F.struct(start.alias("start"), (start + s["long"]).alias("end"), s["value"].alias("value"))
-            return F.struct((start + s["long"]).alias("at"), F.array_append(a["out"], found).alias("out"))
+    def part(start, end):
+        value = F.substring(run["value"], start - run["start"] + 1, end - start)
+        return F.struct(start.alias("start"), end.alias("end"), value.alias("value"))
 
-        def chunk(a, steps_of):
-            inner = F.aggregate(steps_of, F.struct(a["at"].alias("at"), F.array().cast(_PLACES).alias("out")), one)
-            return let(inner, lambda r: F.struct(r["at"].alias("at"), F.array_append(a["out"], r["out"]).alias("out")))
+    def step(a, b):
+        free = F.when(b["start"] - a["at"] >= SHORTEST, F.array_append(a["out"], part(a["at"], b["start"]))).otherwise(a["out"])
+        return F.struct(F.greatest(a["at"], b["end"]).alias("at"), free.alias("out"))
 
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_PLACES}>").alias("out"))
-        placed = F.flatten(F.aggregate(chunks, start, chunk, lambda a: a["out"]))
-        return F.filter(placed, lambda s: F.length(s["value"]) >= least)
+    def last(a):
+        return F.when(run["end"] - a["at"] >= SHORTEST, F.array_append(a["out"], part(a["at"], run["end"]))).otherwise(a["out"])
 
-    steps = F.filter(
-        F.zip_with(
-            F.zip_with(F.split(text, pattern), whole, lambda g, m: F.struct(g.alias("gap"), m.alias("hit"))),
-            value,
-            lambda s, v: F.struct(F.length(s["gap"]).alias("gap"), F.length(s["hit"]).alias("long"), v.alias("value")),
-        ),
-        lambda s: s["long"].isNotNull(),
-    )
-    return let(steps, lambda s: F.when(F.size(s) > 0, place(s)).otherwise(F.array().cast(_PLACES)))
+    touching = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    begin = F.struct(run["start"].alias("at"), F.array().cast(PLACES).alias("out"))
+    return F.when(F.size(touching) == 0, F.array(run)).otherwise(F.aggregate(F.array_sort(touching), begin, step, last))
 
 
-def find_candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, mark, one array of placed matches per base kind, and the other candidates."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    nothing = F.array().cast(_PLACES)
-    # Cheap necessary conditions, so that most texts never reach the extraction.
-    gates = {
-        "assign": F.rlike("text", F.lit(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]")),
-        "access": F.contains("text", F.lit("AKIA")),
-        "hex": F.rlike("text", F.lit(r"[0-9a-f]{24}")),
-    }
-    frame = docs.select("doc_id", F.xxhash64("text").alias("mark"), text.alias("text"))
-    for kind, pattern, group, least in KINDS:
-        found = F.when(gates[kind], _placed(F.col("text"), pattern, group, least)).otherwise(nothing)
-        frame = frame.withColumn(kind, found)
-    loose = F.when(
-        F.rlike("text", F.lit(r"[A-Za-z0-9+/_=-]{20}")), _placed(F.col("text"), CANDIDATE, 0, 20)
-    ).otherwise(nothing)
-    frame = frame.withColumn("loose", loose)
+def with_candidates(frame: DataFrame) -> DataFrame:
+    """``frame`` (with a column text, never null) and its base matches by kind, and ``loose``: the candidates."""
+    frame = frame.withColumns(_base_columns(F.col("text")))
+    runs = F.when(F.rlike("text", F.lit(CANDIDATE)), placed_matches(F.col("text"), F.lit(CANDIDATE))).otherwise(F.array().cast(PLACES))
     base = F.concat("assign", "access", "hex")
-    mixed = F.filter(
-        "loose",
-        lambda s: F.rlike(s["value"], F.lit("[0-9]"))
-        & F.rlike(s["value"], F.lit("[A-Za-z]"))
-        & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
-    )
-    return frame.withColumn("loose", mixed).drop("text")
+    parts = F.flatten(F.transform(runs, lambda r: _left_over(r, base)))
+    return frame.withColumn("loose", F.filter(parts, lambda s: F.rlike(s["value"], F.lit("[A-Za-z]"))))
+
+
+def find_candidates(docs: DataFrame) -> DataFrame:
+    """doc_id, one array of placed matches per base kind, and the other candidates."""
+    return with_candidates(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).drop("text")
 
 
 def _code(character: Column) -> Column:
@@ -132,27 +115,29 @@ def _pairs(value: Column) -> Column:
     )
 
 
-def train_ratio(docs: DataFrame, found: DataFrame, identifier_docs: int = IDENTIFIER_DOCS) -> list[float] | None:
+def train_ratio(docs: DataFrame, found: DataFrame) -> list[float] | None:
     """log P(b | a, random) - log P(b | a, ordinary) for every pair of characters, add-one smoothed.
 
-    The result has (alphabet + 1) squared entries whatever the input.
+    ``found`` has the base matches of ``docs``.  The result has (alphabet + 1)
+    squared entries whatever the input.
     """
     n = OTHER + 1
     random = found.select(F.explode(F.concat("assign", "access", "hex")).alias("s")).select(
-        F.lit(1).alias("secret"), F.col("s.value").alias("value")
+        F.lit(1).alias("secret"), F.col("s.value").alias("value"), F.lit(1).cast("long").alias("times")
     )
-    chosen = docs.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(identifier_docs)
     ordinary = (
-        docs.join(F.broadcast(chosen), "doc_id", "left_semi")
-        .select(F.explode(F.split(F.coalesce("text", F.lit("")), SPACE)).alias("value"))
-        .filter(F.rlike("value", F.lit(r"^[A-Za-z][A-Za-z_-]{3,}$")))
-        .select(F.lit(0).alias("secret"), "value")
+        docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), SPACE)).alias("value"))
+        .filter(F.rlike("value", F.lit(IDENTIFIER)))
+        .groupBy("value")
+        .agg(F.count("*").alias("times"))
+        # An identifier may be written in capitals as well.
+        .select(F.lit(0).alias("secret"), F.explode(F.array_distinct(F.array("value", F.upper("value")))).alias("value"), "times")
     )
     counts = (
         random.unionByName(ordinary)
-        .select("secret", F.explode(_pairs(F.col("value"))).alias("pair"))
+        .select("secret", "times", F.explode(_pairs(F.col("value"))).alias("pair"))
         .groupBy("secret", "pair")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("times").alias("n"))
         .collect()
     )
     tables = [[1.0] * (n * n), [1.0] * (n * n)]
@@ -170,20 +155,18 @@ def train_ratio(docs: DataFrame, found: DataFrame, identifier_docs: int = IDENTI
     return ratio
 
 
-def scan_secrets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, mark, spans: array of (start, end, kind), ordered by start and kind."""
-    found = scratch(find_candidates(docs), "secret-candidates")
-    ratio = train_ratio(docs, found)
+def _all_spans(ratio: list[float] | None, threshold: float, evidence: float) -> Column:
+    """Base and guessed spans (start, place of the kind, end, kind) in order, over the columns of the candidates."""
     if ratio is None:
-        guessed = F.array().cast(_PLACES)
+        guessed = F.array().cast(PLACES)
     else:
         table = F.array(*[F.lit(round(x, 6)) for x in ratio])
 
-        def score(pairs: Column) -> Column:
+        def distinct(pairs: Column) -> Column:
             total = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + F.element_at(table, p + 1))
-            return total / F.size(pairs)
+            return let(total, lambda t: (t > threshold * F.size(pairs)) & (t > evidence))
 
-        guessed = F.filter("loose", lambda s: let(_pairs(s["value"]), score) > threshold)
+        guessed = F.filter("loose", lambda s: let(_pairs(s["value"]), distinct))
     kinds = [("assign", F.col("assign")), ("access", F.col("access")), ("hex", F.col("hex")), ("markov", guessed)]
 
     def tagged(k: int, name: str, column: Column) -> Column:
@@ -194,30 +177,29 @@ def scan_secrets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             ),
         )
 
-    spans = F.concat(*[tagged(k, name, column) for k, (name, column) in enumerate(kinds)])
+    return F.array_sort(F.concat(*[tagged(k, name, column) for k, (name, column) in enumerate(kinds)]))
+
+
+def scan_secrets(docs: DataFrame, threshold: float = THRESHOLD, evidence: float = EVIDENCE) -> DataFrame:
+    """doc_id, counts per base kind, and spans: array of (start, end, kind), ordered by start and kind."""
+    found = scratch(find_candidates(docs), "secret-candidates")
     return found.select(
         "doc_id",
-        "mark",
         *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
-        F.array_sort(spans).alias("spans"),
+        _all_spans(train_ratio(docs, found), threshold, evidence).alias("spans"),
     )
 
 
-def redact(docs: DataFrame, replacement: str = "[secret]", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents with every span replaced; n_chars, if there, follows the text."""
-    spans = (
-        scan_secrets(docs, threshold)
-        .filter(F.size("spans") > 0)
-        .select(F.col("doc_id").alias("_s_doc"), F.col("mark").alias("_s_mark"), F.col("spans").alias("_s_spans"))
-        .dropDuplicates(["_s_doc", "_s_mark"])
-    )
-    joined = docs.join(
-        spans, docs["doc_id"].eqNullSafe(F.col("_s_doc")) & (F.xxhash64(docs["text"]) == F.col("_s_mark")), "left"
-    )
+def redact(docs: DataFrame, replacement: str = "[secret]", threshold: float = THRESHOLD, evidence: float = EVIDENCE) -> DataFrame:
+    """The documents with every span replaced, in one projection; n_chars, if there, follows the text."""
+    base = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    ratio = train_ratio(docs, base.select(*[c.alias(k) for k, c in _base_columns(F.col("text")).items()]))
+    frame = docs.select(packed(docs).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    frame = with_candidates(frame).select("row", "text", _all_spans(ratio, threshold, evidence).alias("spans"))
     text = F.col("text")
     # From the left, each span contributes the text since the last one's end; overlapping spans merge.
     body = F.aggregate(
-        "_s_spans",
+        "spans",
         F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")),
         lambda a, s: F.struct(
             F.greatest(a["at"], s["end"]).alias("at"),
@@ -233,12 +215,13 @@ def redact(docs: DataFrame, replacement: str = "[secret]", threshold: float = TH
         ),
         lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, a["at"] + 1, F.lit(2**31 - 1))),
     )
-    clean = F.when(F.col("_s_spans").isNotNull(), body).otherwise(text)
-    out = joined.withColumn("text", clean)
+    clean = F.when(F.size("spans") > 0, body).otherwise(F.col("row")["text"])
+    out = frame.select("row", clean.alias("clean"))
+    row = F.col("row").withField("text", F.col("clean"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(kind)))
-    return out.select(*docs.columns)
+        row = row.withField("n_chars", F.when(F.col("row")["n_chars"].isNotNull(), F.length("clean").cast(kind)))
+    return out.select(row.alias("row")).select("row.*")
 
 
 def _joined(spans: Column) -> Column:
