@@ -1,132 +1,53 @@
 r"""License scan: base phrases and ordered signature rules.
 
-A rule is a regular expression with a root and a keyword that any match must
-contain, a label, a priority and a confidence.  Only texts with the root of some
-rule are looked at, and there only the rules whose root and keyword occur.  Few
-roots serve all rules, so they are looked for once a text.  Detections overlap; one
-that lies within a detection of better priority (or of the same priority and
-longer) is suppressed, so "gnu general public license" does not add to "gnu
-lesser general public license".
+A rule (:mod:`license_rules`) is a regular expression with a keyword that any
+match must contain, a label, a priority and a confidence.  Keywords are looked for
+once a text; of the rules only those whose keyword occurs are tried.  Detections
+overlap; one that lies within a detection of better priority (or of the same
+priority and longer) is suppressed, so "gnu general public license" does not add
+to "gnu lesser general public license".
 
 Base: places where a phrase's words stand consecutively; its labels always stay.
 
 Defined results.  Null text is empty: no words, no labels, score 0.  Every row
 gives a row, repeated ones too.  Columns beside doc_id and text are ignored.
 
+Matches of a rule do not overlap each other.  Texts of any length and any number
+of matches are treated whole, at a cost that grows with both.
+
 Scale.  One projection over the texts; no shuffle, no Python.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import let, lower_ascii
+from quantloom.llm.common import let, lower_ascii, placed_matches
+from quantloom.llm.license_rules import BY_LICENSE
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Base phrases of the contract.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: label, spdx id, names, page.
-LICENSES = (
-    ("mit", "mit", ("mit",), "opensource.org/licenses/mit"),
-    ("apache-2", "apache-2.0", ("apache license version 2.0", "apache license 2.0", "apache 2.0"), "apache.org/licenses/license-2.0"),
-    ("apache-1.1", "apache-1.1", ("apache software license version 1.1",), "apache.org/licenses/license-1.1"),
-    ("bsd-2", "bsd-2-clause", ("bsd 2-clause", "simplified bsd", "freebsd"), "opensource.org/licenses/bsd-2-clause"),
-    ("bsd-3", "bsd-3-clause", ("bsd 3-clause", "new bsd", "modified bsd"), "opensource.org/licenses/bsd-3-clause"),
-    ("bsd-4", "bsd-4-clause", ("bsd 4-clause", "original bsd"), "directory.fsf.org/wiki/license:bsd-4-clause"),
-    ("0bsd", "0bsd", ("zero-clause bsd", "bsd zero clause"), "opensource.org/licenses/0bsd"),
-    ("bsd", "bsd", ("bsd",), "opensource.org/licenses/bsd-license"),
-    ("gpl-1", "gpl-1.0", ("gnu general public license version 1",), "gnu.org/licenses/gpl-1.0"),
-    ("gpl-2", "gpl-2.0", ("gnu general public license version 2", "gnu gpl version 2", "gpl v2", "gplv2"), "gnu.org/licenses/gpl-2.0"),
-    ("gpl-3", "gpl-3.0", ("gnu general public license version 3", "gnu gpl version 3", "gpl v3", "gplv3"), "gnu.org/licenses/gpl-3.0"),
-    ("gpl", "gpl", ("gnu general public license", "gnu gpl", "gpl"), "gnu.org/licenses/gpl"),
-    ("lgpl-2.1", "lgpl-2.1", ("gnu lesser general public license version 2.1", "lgpl v2.1", "lgplv2.1"), "gnu.org/licenses/lgpl-2.1"),
-    ("lgpl-3", "lgpl-3.0", ("gnu lesser general public license version 3", "lgpl v3", "lgplv3"), "gnu.org/licenses/lgpl-3.0"),
-    ("lgpl", "lgpl", ("gnu lesser general public license", "gnu library general public license", "lgpl"), "gnu.org/licenses/lgpl"),
-    ("agpl-3", "agpl-3.0", ("gnu affero general public license version 3", "agpl v3", "agplv3"), "gnu.org/licenses/agpl-3.0"),
-    ("agpl", "agpl", ("gnu affero general public license", "affero general public license", "agpl"), "gnu.org/licenses/agpl"),
-    ("gfdl", "gfdl-1.3", ("gnu free documentation license",), "gnu.org/licenses/fdl"),
-    ("mpl-1.1", "mpl-1.1", ("mozilla public license version 1.1", "mpl 1.1"), "mozilla.org/mpl/1.1"),
-    ("mpl-2", "mpl-2.0", ("mozilla public license version 2.0", "mozilla public license 2.0", "mpl 2.0"), "mozilla.org/mpl/2.0"),
-    ("epl-1", "epl-1.0", ("eclipse public license version 1.0", "epl 1.0"), "eclipse.org/legal/epl-v10"),
-    ("epl-2", "epl-2.0", ("eclipse public license version 2.0", "epl 2.0"), "eclipse.org/legal/epl-2.0"),
-    ("eupl", "eupl-1.2", ("european union public licence", "eupl"), "joinup.ec.europa.eu/page/eupl-text-11-12"),
-    ("cddl", "cddl-1.0", ("common development and distribution license", "cddl"), "opensource.org/licenses/cddl-1.0"),
-    ("artistic-2", "artistic-2.0", ("artistic license 2.0", "perl artistic license"), "opensource.org/licenses/artistic-2.0"),
-    ("boost", "bsl-1.0", ("boost software license",), "boost.org/license_1_0"),
-    ("isc", "isc", ("isc",), "opensource.org/licenses/isc"),
-    ("zlib", "zlib", ("zlib", "zlib/libpng"), "zlib.net/zlib_license"),
-    ("unlicense", "unlicense", ("the unlicense", "unlicense"), "unlicense.org"),
-    ("wtfpl", "wtfpl", ("wtfpl",), "wtfpl.net"),
-    ("ofl", "ofl-1.1", ("sil open font license", "open font license"), "scripts.sil.org/ofl"),
-    ("odbl", "odbl-1.0", ("open database license", "odbl"), "opendatacommons.org/licenses/odbl"),
-    ("odc-by", "odc-by-1.0", ("open data commons attribution license", "odc-by"), "opendatacommons.org/licenses/by"),
-    ("pddl", "pddl-1.0", ("public domain dedication and license", "pddl"), "opendatacommons.org/licenses/pddl"),
-    ("cc0", "cc0-1.0", ("cc0", "creative commons zero"), "creativecommons.org/publicdomain/zero"),
-    ("cc-by", "cc-by-4.0", ("cc by", "creative commons attribution"), "creativecommons.org/licenses/by/"),
-    ("cc-by-sa", "cc-by-sa-4.0", ("cc by-sa", "creative commons attribution-sharealike"), "creativecommons.org/licenses/by-sa"),
-    ("cc-by-nc", "cc-by-nc-4.0", ("cc by-nc", "creative commons attribution-noncommercial"), "creativecommons.org/licenses/by-nc/"),
-    ("cc-by-nd", "cc-by-nd-4.0", ("cc by-nd", "creative commons attribution-noderivatives"), "creativecommons.org/licenses/by-nd"),
-    ("cc-by-nc-sa", "cc-by-nc-sa-4.0", ("cc by-nc-sa", "creative commons attribution-noncommercial-sharealike"), "creativecommons.org/licenses/by-nc-sa"),
-    ("cc-by-nc-nd", "cc-by-nc-nd-4.0", ("cc by-nc-nd", "creative commons attribution-noncommercial-noderivatives"), "creativecommons.org/licenses/by-nc-nd"),
-    ("openrail", "openrail", ("openrail-m", "openrail", "responsible ai license"), "licenses.ai"),
-    ("llama", "llama", ("llama community license", "llama 2 community license"), "llama.meta.com/license"),
-)
-_GRANT = r"\b(?:licensed|released|distributed|published|available|provided|covered|redistributed)(?: \w+){0,2} under (?:the )?(?:terms of (?:the )?)?(?:conditions of (?:the )?)?"
-
-
-def _loose(name: str) -> str:
-    """A name as a pattern: any run of blanks, commas and hyphens between its parts."""
-    return r"[\s,-]+".join(re.escape(part) for part in re.split(r"[ -]", name))
-
-
-def signature_rules() -> list[tuple[int, str, str, str, str, float]]:
-    """(priority, label, root, keyword, pattern, confidence); 1 is the best priority.
-
-    Made from the fixed names: an SPDX tag, a ``license:`` field, a page, a
-    grant ("licensed under ..."), and the name next to the word license.
-    """
-    rules = []
-    for label, spdx, names, page in LICENSES:
-        tag = re.escape(spdx) + r"(?:-only|-or-later|\+)?(?![\w.-])"
-        rules.append((1, label, "spdx", "spdx", r"spdx-license-identifier:\s*" + tag, 0.99))
-        rules.append((1, label, "licen", "licen", r"\blicen[sc]e\"?\s*[:=]\s*[\"']?" + tag, 0.9))
-        rules.append((1, label, "://", page.split("/")[0], r"https?://(?:www\.)?" + re.escape(page) + r"(?![\w])", 0.95))
-        for name in names:
-            rules.append((2, label, " under ", name.split(" ")[0].split("-")[0], _GRANT + _loose(name) + r"(?![\w])", 0.9))
-            if "licen" in name:
-                rules.append((3, label, "licen", name.split(" ")[0], r"\b" + _loose(name) + r"(?![\w])", 0.7))
-            else:
-                rules.append((3, label, "licen", name.split(" ")[0].split("-")[0], r"\b" + _loose(name) + r"(?:[\s-]+v?\d[\d.]*)?[\s-]+(?:style\s+)?licen[sc]ed?\b", 0.7))
-    rules.append((3, "proprietary", "all rights reserved", "all rights reserved", r"\ball rights reserved\b", 0.4))
-    rules.append((3, "public-domain", "public domain", "public domain", r"\b(?:dedicated|released|placed|put)(?: \w+){0,2} (?:to|into|in) the public domain\b", 0.8))
-    return rules
+#: A blank in a rule.
+BLANK = r"[\s,-]+"
+
+
+def signature_rules() -> list[tuple[int, str, str, str, float]]:
+    """(priority, label, keyword, pattern, confidence); 1 is the best priority."""
+    return [
+        # "x ?y" allows for nothing between the parts, too.
+        (priority, label, keyword, pattern.replace(" ?", r"[\s,-]*").replace(" ", BLANK), confidence)
+        for label, rules in BY_LICENSE.items()
+        for priority, keyword, pattern, confidence in rules
+    ]
 
 
 def _spans(text: Column, rule: Column) -> Column:
     """All matches of a rule as structs of start, end, priority, label and confidence."""
-    found = F.regexp_extract_all(text, rule["pattern"], F.lit(0))
-    pieces = F.call_function("split", text, rule["pattern"])
-    steps = F.zip_with(pieces, found, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("long")))
-    matched = F.filter(steps, lambda s: s["long"].isNotNull())
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    placed = F.aggregate(
-        matched,
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda a, s: F.struct(
-            (a["at"] + s["gap"] + s["long"]).alias("at"),
-            F.concat(
-                a["spans"],
-                F.array(F.struct((a["at"] + s["gap"]).alias("start"), (a["at"] + s["gap"] + s["long"]).alias("end"))),
-            ).alias("spans"),
-        ),
-        lambda a: a["spans"],
-    )
     return F.transform(
-        placed,
+        placed_matches(text, rule["pattern"]),
         lambda s: F.struct(
             s["start"].alias("start"),
             (-s["end"]).alias("minus_end"),
@@ -189,22 +110,21 @@ def scan_licenses(docs: DataFrame, rules=None) -> DataFrame:
             F.struct(
                 F.lit(p).alias("priority"),
                 F.lit(label).alias("label"),
-                F.lit(root).alias("root"),
                 F.lit(keyword).alias("keyword"),
                 F.lit(pattern).alias("pattern"),
                 F.lit(confidence).alias("confidence"),
             )
-            for p, label, root, keyword, pattern, confidence in rules
+            for p, label, keyword, pattern, confidence in rules
         ]
     )
     low = F.col("low")
-    roots = sorted({root for _, _, root, *_ in rules})
-    held = F.filter(F.array(*[F.when(F.contains(low, F.lit(root)), F.lit(root)) for root in roots]), lambda x: x.isNotNull())
+    keywords = sorted({keyword for _, _, keyword, *_ in rules})
+    held = F.filter(F.array(*[F.when(F.contains(low, F.lit(k)), F.lit(k)) for k in keywords]), lambda x: x.isNotNull())
     base_gate = F.contains(low, F.lit("license")) | (F.contains(low, F.lit("cc")) & F.contains(low, F.lit("nc")))
     no_places = F.array().cast("array<int>")
     frame = docs.select("doc_id", lower_ascii(F.coalesce(F.col("text"), F.lit(""))).alias("low"))
     frame = frame.withColumn("words", F.filter(F.split("low", SEPARATOR), lambda w: w != "")).withColumn(
-        "roots", held
+        "keywords", held
     )
     for phrase, label in BASE:
         gate = base_gate & F.contains(low, F.lit(phrase.split(" ")[-2]))
@@ -212,14 +132,14 @@ def scan_licenses(docs: DataFrame, rules=None) -> DataFrame:
             f"at_{label}", F.when(gate, _base_places(F.col("words"), phrase)).otherwise(no_places)
         )
     none = F.struct(F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("best"))
-    fired = F.filter(table, lambda r: F.array_contains(F.col("roots"), r["root"]) & F.contains(low, r["keyword"]))
+    fired = F.filter(table, lambda r: F.array_contains("keywords", r["keyword"]))
     verdict = _verdict(F.flatten(F.transform(fired, lambda r: _spans(low, r))))
     places = [F.col(f"at_{label}") for _, label in BASE]
     base_labels = F.filter(
         F.array(*[F.when(F.size(f"at_{label}") > 0, F.lit(label)) for _, label in BASE]), lambda x: x.isNotNull()
     )
     return (
-        frame.withColumn("verdict", F.when(F.size("roots") > 0, verdict).otherwise(none))
+        frame.withColumn("verdict", F.when(F.size("keywords") > 0, verdict).otherwise(none))
         .withColumn("places", F.concat(*places))
         .withColumn("base_labels", base_labels)
         .select(
