@@ -4,27 +4,32 @@ A language is a distribution over hashed letter trigrams.  A text is a mixture
 of languages: its letters are cut into windows of ``WINDOW`` trigrams, each
 written in one language, and expectation-maximisation estimates the languages'
 proportions.  The set of languages is chosen by penalised likelihood: the k most
-likely languages, k = 1 .. ``MOST``, are fitted again, and each language beyond
-the first must raise the log-likelihood by more than the penalty.  The
+likely languages, k = 1, 2, ..., are fitted again, and each language beyond the
+first must raise the log-likelihood by more than the penalty.  A text goes on as
+long as its next language has half a window or more in the mixture of all.  The
 prediction is the language with the largest proportion, the score its share.
 
 Learning uses text and non-null lang of documents whose crc32(doc_id as text)
 mod 4 is not 2, of each language at most about ``SAMPLE_DOCS`` documents, taken
-by a hash of doc_id.  lang, source and doc_id are never inputs of a prediction.
+by a hash of doc_id, and of the ``LANGUAGES`` languages with most documents.  lang, source and doc_id are never inputs of a prediction.
 
 Defined results.  Null text and text without a letter give ``und`` and score 0,
 as does everything if nothing could be learned.  Ties go to the language that
 sorts first.  A null doc_id is not held out and not learned from.  Repeated rows
 each get a row.  Columns beside doc_id, text and lang are ignored.
 
-Scale.  Learning returns languages x ``BUCKETS`` counts, whatever the corpus.
-Prediction is one pass over the texts, with the model broadcast (4 bytes per
-bucket and language), and no shuffle.
+Scale.  Learning counts documents per language, then reads the sample only: the
+shares are literals of its filter, so no text is shuffled.  It returns languages
+x ``BUCKETS`` counts (4 bytes each in the model: 128 KB a language, 64 MB at
+most), whatever the corpus.  Prediction is one pass over the texts, with the
+model broadcast, and no shuffle; a task holds the likelihoods of ``PIECE`` letters
+at a time, however long a text is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +40,7 @@ from quantloom.llm.common import bucket_of
 
 BUCKETS = 1 << 15
 WINDOW = 48
-MOST = 4
+LANGUAGES = 512
 SAMPLE_DOCS = 1500
 #: Log-likelihood that a further language must add, besides half the log of the windows.
 PENALTY = 12.0
@@ -98,15 +103,17 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def learn_languages(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
+def learn_languages(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
     """Languages in order, and log P(trigram | language) as an array of BUCKETS x languages."""
     usable = docs.select("doc_id", "text", "lang").filter(
         (bucket_of(F.col("doc_id"), HELD_OUT) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
-    share = usable.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.count("*")).alias("share"))
+    seen = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    share = F.lit(0.0)
+    for n, named in groupby(seen, key=lambda r: r["n"]):
+        share = F.when(F.col("lang").isin([r["lang"] for r in named]), F.lit(min(1.0, sample_docs / n))).otherwise(share)
     place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) / 1_000_000
-    sample = usable.join(share, "lang").filter(place < F.col("share")).select("lang", "text")
-    counts = sample.mapInArrow(_count_grams, "lang string, gram long, n long")
+    counts = usable.filter(place < share).select("lang", "text").mapInArrow(_count_grams, "lang string, gram long, n long")
     rows = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(rows["lang"].unique().tolist())
     table = np.full((BUCKETS, len(langs)), 0.5)
@@ -131,7 +138,19 @@ def _mixture(like: np.ndarray, first: np.ndarray, owner: np.ndarray, allowed: np
     return share, np.add.reduceat(np.log(np.maximum(total, 1e-300)) + top[:, 0], first)
 
 
-def predict(texts: list[str | None], model: np.ndarray, most: int = MOST, penalty: float = PENALTY):
+def _window_likelihoods(model: np.ndarray, grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Log-likelihood of each window under each language; a piece of the letters at a time."""
+    ends = np.append(starts[1:], len(grams))
+    out = np.empty((len(starts), model.shape[1]))
+    step = max(1, PIECE // (WINDOW * max(1, model.shape[1] // 8)))
+    for a in range(0, len(starts), step):
+        own = slice(a, min(a + step, len(starts)))
+        low = starts[own][0]
+        out[own] = np.add.reduceat(model[grams[low : ends[own][-1]]], starts[own] - low, axis=0)
+    return out
+
+
+def predict(texts: list[str | None], model: np.ndarray, penalty: float = PENALTY):
     """Index of the predicted language (-1: none), its share, and all shares, of every text."""
     n, languages = len(texts), model.shape[1]
     best, score, shares = np.full(n, -1), np.zeros(n), np.zeros((n, languages))
@@ -144,27 +163,28 @@ def predict(texts: list[str | None], model: np.ndarray, most: int = MOST, penalt
     first = np.concatenate([[0], np.cumsum(cuts)[:-1]])
     owner = np.repeat(np.arange(len(there)), cuts)
     starts = bounds[there][owner] + (np.arange(len(owner)) - first[owner]) * WINDOW
-    like = np.add.reduceat(model[grams], starts, axis=0).astype(float)
-    order = np.argsort(-np.add.reduceat(like, first, axis=0), axis=1, kind="stable")
+    like = _window_likelihoods(model, grams, starts)
     whole, _ = _mixture(like, first, owner, np.ones((len(there), languages)))
-    # The likeliest single language first, then the others by their share of the full mixture.
+    # The likeliest single language first, then sets by their share of the full mixture.
     rank = np.argsort(-whole, axis=1, kind="stable")
-    chosen = chosen_like = None
-    for k in range(1, min(most, languages) + 1):
-        allowed = np.zeros((len(there), languages))
-        rows = np.arange(len(there))
-        if k == 1:
-            allowed[rows, order[:, 0]] = 1
-        else:
-            for place in range(k):
-                allowed[rows, rank[:, place]] = 1
-        share, value = _mixture(like, first, owner, allowed)
-        value = value - (k - 1) * (penalty + 0.5 * np.log(cuts))
-        if chosen is None:
-            chosen, chosen_like = share, value
-        else:
-            better = value > chosen_like
-            chosen[better], chosen_like[better] = share[better], value[better]
+    chosen = np.zeros((len(there), languages))
+    chosen[np.arange(len(there)), np.argmax(np.add.reduceat(like, first, axis=0), axis=1)] = 1
+    chosen, chosen_like = _mixture(like, first, owner, chosen)
+    going = np.arange(len(there))
+    for k in range(2, languages + 1):
+        going = going[whole[going, rank[going, k - 1]] * cuts[going] >= 0.5]
+        if not len(going):
+            break
+        spot = np.full(len(there), -1)
+        spot[going] = np.arange(len(going))
+        rows = np.flatnonzero(spot[owner] >= 0)
+        allowed = np.zeros((len(going), languages))
+        np.put_along_axis(allowed, rank[going, :k], 1.0, axis=1)
+        own_first = np.concatenate([[0], np.cumsum(cuts[going])[:-1]])
+        share, value = _mixture(like[rows], own_first, spot[owner[rows]], allowed)
+        value = value - (k - 1) * (penalty + 0.5 * np.log(cuts[going]))
+        better = value > chosen_like[going]
+        chosen[going[better]], chosen_like[going[better]] = share[better], value[better]
     best[there] = np.argmax(chosen, axis=1)
     score[there] = chosen.max(axis=1)
     shares[there] = chosen
