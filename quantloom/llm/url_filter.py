@@ -9,7 +9,8 @@ Canonical form: host without a leading ``www.``, ``m.`` or ``blog.`` label, path
 without a trailing slash, no scheme, query or fragment.
 
 Defined results.  A null url, or one without ``://``, has empty host and path,
-matches no rule, is never listed and is allowed.  Null entries of the list are
+matches no rule, is never listed and is allowed.  Of fitting rules of the same
+length the last in order of its text wins.  Null entries of the list are
 ignored; repeated ones count once.  Repeated pages each get a row.  Columns
 beside page_id and url are ignored.  Empty tables give empty results.
 """
@@ -112,7 +113,7 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: Sequence = RULES) ->
     """page_id, host, path, rule, verdict and listed of every page.  ``listed`` has a column url."""
     host, path = url_parts(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn(
-        "canonical", canonical_url(F.col("host"), F.col("path"))
+        "canonical", F.when(F.col("host") != "", canonical_url(F.col("host"), F.col("path")))
     )
     list_host, list_path = url_parts(F.col("url"))
     blocked = listed.select(canonical_url(list_host, list_path).alias("canonical"))
@@ -127,14 +128,18 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: Sequence = RULES) ->
     )
 
 
-#: Host labels whose pages make up the block list of the query.
-LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+#: Fixed words of the categories that the query's block list is made of.
+LISTED_WORDS = (
+    "ads", "adserver", "adult", "bet", "bets", "betting", "casino", "clickbait", "escort", "gambling", "jackpot",
+    "lottery", "malware", "payday", "phishing", "pills", "poker", "porn", "roulette", "scam", "sex", "slots", "spam",
+    "tracker", "tracking", "viagra", "warez", "xxx",
+)
 
 
-def blocked_urls(pages: DataFrame, labels: Sequence[str] = LISTED_LABELS) -> DataFrame:
-    """The block list: every URL seen on a host with one of the labels."""
+def blocked_urls(pages: DataFrame, words: Sequence[str] = LISTED_WORDS) -> DataFrame:
+    """A block list: every URL seen on a host that has one of the words between dots and hyphens."""
     host, _ = url_parts(F.col("url"))
-    named = F.arrays_overlap(F.split(host, r"\."), F.array(*[F.lit(x) for x in labels]))
+    named = F.arrays_overlap(F.split(host, r"[.-]"), F.array(*[F.lit(x) for x in words]))
     return pages.select("url").filter(named).distinct()
 
 
@@ -150,8 +155,8 @@ WITH p AS (
 q AS (SELECT page_id, path, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM p),
 c AS (
   SELECT *, regexp_replace(host, '^(?:www|m|blog)\.', '') || regexp_replace(path, '/+$', '') AS canonical,
-         list_has_any(string_split(host, '.'),
-                      ['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) AS seed FROM q),
+         list_has_any(string_split_regex(host, '[.-]'),
+                      ['ads', 'adserver', 'adult', 'bet', 'bets', 'betting', 'casino', 'clickbait', 'escort', 'gambling', 'jackpot', 'lottery', 'malware', 'payday', 'phishing', 'pills', 'poker', 'porn', 'roulette', 'scam', 'sex', 'slots', 'spam', 'tracker', 'tracking', 'viagra', 'warez', 'xxx']) AS seed FROM q),
 r AS (SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
                             ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) AS t(v, rh, rp)),
 f AS (
