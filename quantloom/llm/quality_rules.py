@@ -11,7 +11,8 @@ documents is taken, the laxest of equals; without any bad one the rule is off.
 
 Defined results.  Null text has no words and fails the base rule.  Documents
 without a label (or with a null one) take no part in choosing cutoffs; with no
-labels at all every rule is off.  A null lang is a stratum of its own.  Rows
+labels at all every rule is off.  A null lang is a stratum of its own
+(named ''; others are named = and the lang).  Rows
 that repeat a labelled doc_id count as often as they occur.  Columns beside
 doc_id, text and lang (doc_id, quality of labels) are ignored.
 
@@ -80,7 +81,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     )
     counted = base.select(
         "doc_id",
-        F.coalesce("lang", F.lit("")).alias("lang"),
+        "lang",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -96,7 +97,7 @@ def statistics(docs: DataFrame) -> DataFrame:
 
     return counted.select(
         "*",
-        F.col("lang").alias("stratum"),
+        F.when(F.col("lang").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), "lang")).alias("stratum"),
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
         per("n_symbols", "n_words").alias("symbol_ratio"),
         per("n_bangs", "n_words").alias("bang_ratio"),

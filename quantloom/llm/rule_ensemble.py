@@ -10,7 +10,8 @@ doc_id, and only those outside the held-out fifth (crc32(doc_id as text) mod 5
 = 0).  Language, source, doc_id and labels are never inputs of a score.
 
 Defined results.  Null text counts as empty.  Labels other than 0 and 1 and
-labels of unknown documents are ignored.  Without both classes among the fitting
+labels of unknown documents are ignored; of rows with one doc_id the one with the
+smallest statistics is fitted.  Without both classes among the fitting
 rows the score is the share of label 1 (1/2 without any label).  A null doc_id
 is not held out and never used for fitting.  Repeated rows each get a row.
 Columns beside doc_id and text (doc_id, quality of labels) are ignored.
@@ -206,7 +207,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees=40, depth=3, rate=0.2, least=1
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Statistics and labels of the fitting rows: at most ``sample_rows``, in order of a hash of doc_id."""
+    """Statistics and labels of the fitting rows: at most ``sample_rows`` ids, the first by a hash of doc_id, one row each."""
     chosen = (
         labels.filter("quality in (0, 1) and doc_id is not null")
         .filter(bucket_of(F.col("doc_id"), HELD_OUT) != 0)
@@ -216,7 +217,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
         .limit(sample_rows)
     )
     found = with_statistics(docs.join(F.broadcast(chosen), "doc_id"), "doc_id", "quality")
-    rows = found.limit(2 * sample_rows).toPandas().sort_values(["doc_id", *STATISTICS], kind="stable")
+    one = found.groupBy("doc_id", "quality").agg(F.min(F.struct(*STATISTICS)).alias("s")).select("doc_id", "quality", "s.*")
+    rows = one.toPandas().sort_values("doc_id", kind="stable")
     return rows[list(STATISTICS)].to_numpy(float), rows["quality"].to_numpy(float)
 
 
