@@ -5,7 +5,16 @@ written as Parquet and read again as the next stage's docs.  All but the last
 return the columns of ``documents``; the last adds ``copy`` and ``finish``.
 
 The quality classifier is fitted from labelled rows, which SQL cannot express,
-so there is no ORACLE_SQL; the stages are tested against brute-force versions.
+so there is no ORACLE_SQL; ``tests/llm`` holds :func:`run` against a brute-force
+version of all stages behind the classifier.
+
+Defined results.  A null or empty text is scored as it is; if kept, it stays in
+every stage and has no share in the mix (size 0, no copies).  Rows with a null
+doc_id are documents like others.  Of equal texts the smallest doc_id stays, of
+equal rows one; ties of the mix are settled by the shuffle, doc_id and size.
+Other columns are carried along, whatever their names; only ``copy`` and
+``finish`` are replaced by the last stage.  Empty tables give empty results.
+Texts of any length are processed whole.
 """
 
 from __future__ import annotations
@@ -13,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quantloom.llm import decontaminate, jaccard_groups, mixing, rule_ensemble, secret_scan
-from quantloom.llm.common import scratch
+from quantloom.llm.common import drop_scratch, settled
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +64,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    source = docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = scratch(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        kept = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if docs is not source:
+            drop_scratch(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -14,10 +14,11 @@ with more empty parts than spare ones gives keys for those too.  So no linked
 pair is missed (64-bit hashes stand for shingles).
 
 Groups.  Sets join the group of the key they share with most others, split into
-groups of at most ``GROUP`` members.  For two groups that share a key, the
-overlap of a set with the union of the other group's tokens bounds its overlap
-with each member; only groups whose bound reaches p % of the set are opened and
-compared exactly.  Each comparison returns links that span what it found
+groups of at most ``GROUP`` members and about ``GROUP_TOKENS`` tokens.  The union
+of each group's tokens is stored as a table.  A set that shares a key with another
+group meets that union first: their overlap bounds its overlap with each member,
+and only groups whose bound reaches p % of the set are opened, that is, have their
+members joined and compared exactly.  Each comparison returns links that span what it found
 connected, not all pairs, and groups are only compared as far as their members
 are not connected yet (:func:`near_labels`), so that a large family of near
 copies costs little more than its size.
@@ -26,10 +27,13 @@ Defined results.  Texts without words and null texts have no shingles, and a
 component of their own.  Documents with equal sets are copies, linked without
 comparison.  Repeated rows each get a row.  With a null doc_id the component is
 the smallest other id, or null.  Columns beside doc_id and text are ignored.
+:func:`keep_one_of_each` keeps the row with the smallest doc_id of a component,
+nulls last, then by a hash of the text; of equal rows one stays.  Rows without
+shingles all stay.
 
 Scale.  The texts are read once for sizes, fingerprints and keys (about n/6 keys
 for n shingles at 90 %, n/2 at 80 %, dealt in two passes then), and once more, only the candidates', for their sets.  A task
-holds the sets of two groups at a time.
+holds a union and a block of queries, or the sets of two groups, at a time.
 """
 
 from __future__ import annotations
@@ -43,14 +47,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm import kernels
-from quantloom.llm.common import free_shuffles, scratch
+from quantloom.llm.common import drop_scratch, free_shuffles, packed, scratch, settled, small
 from quantloom.llm.components import components
 
 GROUP = 256
 #: Members that stand for a group in the second round.
 CHAMPIONS = 16
-#: Candidates' ids up to this many are broadcast to pick their texts; beyond, a shuffled join.
-BROADCAST_IDS = 500_000
+GROUP_TOKENS = 2_000_000
 _U = np.uint64
 
 
@@ -114,7 +117,7 @@ def _keys_at(tokens: np.ndarray, level: int, percent: int) -> np.ndarray:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, n, fa, fb (fingerprint of the set) and keys."""
+    """doc_id, mark, n, fa, fb (fingerprint of the set) and keys."""
     for batch in batches:
         raw, offsets = kernels.text_buffers(batch.column("text"))
         ids = batch.column("doc_id")
@@ -135,12 +138,13 @@ def _sketches(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Ite
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.slice(a, b - a),
+                    batch.column("mark").slice(a, b - a),
                     pa.array(np.array(n, np.int64)),
                     pa.array(np.array(fa, np.uint64).view(np.int64)),
                     pa.array(np.array(fb, np.uint64).view(np.int64)),
                     lists,
                 ],
-                names=["doc_id", "n", "fa", "fb", "keys"],
+                names=["doc_id", "mark", "n", "fa", "fb", "keys"],
             )
 
 
@@ -240,6 +244,25 @@ def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """g and the union of its members' tokens; rows come sorted by g."""
+    for group in kernels.stream_groups(batches, ["g"]):
+        tokens = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in group.column("tokens").to_pylist()]))
+        yield pa.RecordBatch.from_arrays([group.column("g").combine_chunks()[:1], pa.array([tokens.tobytes()], pa.binary())], names=["g", "tokens"])
+
+
+def _bound(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The asking sets (side 1) of each ga, gb that have ``percent`` of their tokens in its union (side 0)."""
+    for group in kernels.stream_groups(batches, ["ga", "gb"]):
+        side = group.column("side").to_numpy()
+        tokens = [np.frombuffer(x, np.uint64) for x in group.column("tokens").to_pylist()]
+        union, asking = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(union) or not len(asking):
+            continue
+        take = pa.array(asking[_reach([tokens[i] for i in asking], tokens[union[0]], percent)])
+        yield pa.RecordBatch.from_arrays([group.column(c).combine_chunks().take(take) for c in ("ga", "gb", "fa")], names=["ga", "gb", "fa"])
+
+
 def _links(work: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Compare the sides (ga, gb, side, fa) of each pair and write the links found."""
     parts = int(work.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -247,6 +270,19 @@ def _links(work: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return scratch(dealt.select("ga", "gb", "side", "fa", "tokens").mapInArrow(lambda batches: _compare(batches, percent), "a long, b long"), "near-links")
 
 
+def _ask(asks: DataFrame, members: DataFrame, sets: DataFrame, unions: DataFrame, percent: int) -> DataFrame:
+    """Links of asking sets (ga, gb, fa) to ``members`` (g, fa) of the groups ga whose unions they reach."""
+    parts = int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asking = asks.join(sets, "fa").select("ga", "gb", F.lit(1).alias("side"), "fa", "tokens")
+    asked = asks.select("ga", "gb").distinct().join(unions.withColumnRenamed("g", "ga"), "ga")
+    dealt = asking.unionByName(asked.select("ga", "gb", F.lit(0).alias("side"), F.lit(None).cast("long").alias("fa"), "tokens"))
+    dealt = dealt.repartition(4 * parts, "ga", "gb").sortWithinPartitions("ga", "gb")
+    opened = scratch(dealt.mapInArrow(lambda batches: _bound(batches, percent), "ga long, gb long, fa long"), "near-opened")
+    theirs = opened.select("ga", "gb").distinct().join(members.select(F.col("g").alias("ga"), "fa"), "ga")
+    work = opened.select("ga", "gb", F.lit(1).alias("side"), "fa").unionByName(theirs.select("ga", "gb", F.lit(0).alias("side"), "fa"))
+    return _links(work, sets, percent)
+
+
 def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (fa, g, label) after the links join their components."""
     ends = labels.select("fa", "label")
@@ -288,20 +324,24 @@ def near_labels(docs: DataFrame, sketches: DataFrame, group: int = GROUP, size:
         free_shuffles(spark)
     hits = reduce(DataFrame.unionByName, found)
     best = hits.groupBy("fa").agg(F.max(F.struct("c", "key")).alias("best")).select("fa", F.col("best.key").alias("home"))
-    sizes = best.groupBy("home").agg(F.count("*").alias("members"))
-    parts = F.ceil(F.col("members") / group)
+    # One text stands for each fingerprint; it is told by doc_id and mark, so that rows without an id serve too.
+    picked = best.join(sketches.select("fa", "n", "doc_id", "mark"), "fa").groupBy("fa", "home").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "mark")).alias("pick"), F.max("n").alias("n")
+    )
+    picked = scratch(picked, "near-picks")
+    sizes = picked.groupBy("home").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"))
+    parts = F.ceil(F.greatest(F.col("members") / group, F.col("tokens") / GROUP_TOKENS))
     members = scratch(
-        best.join(sizes, "home").select("fa", F.xxhash64("home", F.pmod(F.xxhash64("fa"), parts)).alias("g")), "near-members"
+        picked.join(sizes, "home").select("fa", F.xxhash64("home", F.pmod(F.xxhash64("fa"), parts)).alias("g")), "near-members"
     )
-
-    chosen = members.select("fa").join(sketches.select("fa", "doc_id"), "fa").groupBy("fa").agg(F.min("doc_id").alias("pick"))
-    chosen = scratch(chosen, "near-picks")
-    ids = chosen.select(F.col("pick").alias("doc_id")).distinct()
-    if chosen.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text")
+    rows = picked.select(F.col("pick.doc_id").alias("pick_doc"), F.col("pick.mark").alias("pick_mark")).distinct()
+    rows = small(scratch(rows, "near-rows"))
+    same = F.col("doc_id").eqNullSafe(F.col("pick_doc")) & (F.col("mark") == F.col("pick_mark"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").join(rows, same, "left_semi").select("text")
     sets = texts.mapInArrow(lambda batches: _sets(batches, size), "fa long, tokens binary").join(members.select("fa"), "fa", "left_semi").dropDuplicates(["fa"])
     sets = scratch(sets, "near-sets")
+    shuffled = members.join(sets, "fa").select("g", "tokens").repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "g")
+    unions = scratch(shuffled.sortWithinPartitions("g").mapInArrow(_unite, "g long, tokens binary"), "near-unions")
 
     within = members.select(F.col("g").alias("ga"), F.col("g").alias("gb"), F.lit(0).alias("side"), "fa")
     labels = _merge(members.select("fa", "g", F.col("fa").alias("label")), _links(within, sets, percent))
@@ -312,9 +352,8 @@ def near_labels(docs: DataFrame, sketches: DataFrame, group: int = GROUP, size:
     spokes = spots.join(centres, "key").filter("g <> ga").select("ga", F.col("g").alias("gb")).distinct()
     place = F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("fa"), "fa"))
     champions = members.withColumn("place", place).filter(F.col("place") <= CHAMPIONS).select("g", "fa")
-    ends = spokes.select("ga", "gb", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("ga").alias("g")), F.struct(F.lit(1).alias("side"), F.col("gb").alias("g")))).alias("e"))
-    work = ends.select("ga", "gb", "e.side", "e.g").join(champions, "g").select("ga", "gb", "side", "fa")
-    labels = _merge(labels, _links(work, sets, percent))
+    asks = spokes.join(champions.withColumnRenamed("g", "gb"), "gb").select("ga", "gb", "fa")
+    labels = _merge(labels, _ask(asks, champions, sets, unions, percent))
 
     sized = labels.join(labels.groupBy("label").agg(F.count("*").alias("size")), "label")
     ranked = met.join(sized.select("fa", F.struct("size", "label").alias("rank")), "fa")
@@ -324,31 +363,38 @@ def near_labels(docs: DataFrame, sketches: DataFrame, group: int = GROUP, size:
     best_there = ranked.groupBy("key", F.col("g").alias("h")).agg(F.max("rank").alias("there"))
     asks = behind.join(best_there, (behind["key"] == best_there["key"]) & (F.col("rank") < F.col("there")) & (F.col("g") != F.col("h")))
     asks = scratch(asks.select("h", "fa").distinct(), "near-asks")
-    blocks = F.ceil(F.col("n") / group)
-    counted = asks.join(asks.groupBy("h").agg(F.count("*").alias("n")), "h")
-    asking = counted.select(F.col("h").alias("ga"), F.xxhash64("h", F.pmod(F.xxhash64("fa"), blocks)).alias("gb"), F.lit(1).alias("side"), "fa")
-    asked = asking.select("ga", "gb").distinct().join(members.select(F.col("g").alias("ga"), "fa"), "ga")
-    work = asking.unionByName(asked.select("ga", "gb", F.lit(0).alias("side"), "fa"))
-    return _merge(labels, _links(work, sets, percent)).select("fa", "label")
+    # Groups that many ask are dealt in blocks; only those need a count beside the rows.
+    many = scratch(asks.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > group), "near-asked")
+    block = F.when(F.col("n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("fa"), F.ceil(F.col("n") / group)))
+    asks = asks.join(small(many), "h", "left").select(F.col("h").alias("ga"), F.xxhash64("h", block).alias("gb"), "fa")
+    return _merge(labels, _ask(asks, members, sets, unions, percent)).select("fa", "label")
 
 
-def near_components(docs: DataFrame, group: int = GROUP, size: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document; ``percent`` of ``size``-word shingles links."""
+def _labelled(docs: DataFrame, group: int, size: int, percent: int) -> DataFrame:
+    """doc_id, mark (hash of the text), n, label (null without shingles) of every row."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
     sketches = scratch(
-        docs.select("doc_id", "text").mapInArrow(
+        docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(
             lambda batches: _sketches(batches, size, percent),
-            f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, fa long, fb long, keys array<long>",
+            f"doc_id {kind}, mark long, n long, fa long, fb long, keys array<long>",
         ),
         "near-sketches",
     )
-    labels = near_labels(docs, sketches, group, size, percent)
+    labels = settled(lambda: near_labels(docs, sketches, group, size, percent), "near-labels")
     free_shuffles(docs.sparkSession)
     labelled = (
-        sketches.select("doc_id", "n", "fa")
+        sketches.select("doc_id", "mark", "n", "fa")
         .join(labels, "fa", "left")
-        .select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "fa")).alias("label"))
+        .select("doc_id", "mark", "n", F.when(F.col("n") > 0, F.coalesce("label", "fa")).alias("label"))
     )
     labelled = scratch(labelled, "near-labelled")
+    drop_scratch(sketches, labels)
+    return labelled
+
+
+def near_components(docs: DataFrame, group: int = GROUP, size: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document; ``percent`` of ``size``-word shingles links."""
+    labelled = _labelled(docs, group, size, percent)
     least = labelled.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     return labelled.join(least, "label", "left").select(
         "doc_id",
@@ -358,13 +404,29 @@ def near_components(docs: DataFrame, group: int = GROUP, size: int = 3, percent:
 
 
 def keep_one_of_each(docs: DataFrame, group: int = GROUP, size: int = 3, percent: int = 90) -> DataFrame:
-    """The document with the smallest id of every component, columns as given.
+    """One document of every component, columns as given.
 
-    Documents without an id stay unless a document with one is in their component.
+    The texts are shuffled only if more rows go than may be broadcast.
     """
-    near = near_components(docs, group, size, percent)
-    kept = near.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept")), "left_semi")
+    labelled = _labelled(docs.select("doc_id", "text"), group, size, percent).filter("label is not null")
+    rank = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "mark")
+    keys = labelled.groupBy("label", "doc_id", "mark").agg(F.count("*").alias("times"))
+    first = labelled.groupBy("label").agg(F.min(rank).alias("first"))
+    keys = keys.join(first, "label").select("doc_id", "mark", "times", (rank == F.col("first")).alias("stays"))
+    keys = scratch(keys, "near-keys")
+    rows = docs.select(packed(docs).alias("row"), "doc_id", F.xxhash64("text").alias("mark"))
+
+    def matching(table: DataFrame, how: str) -> DataFrame:
+        other = table.select(F.col("doc_id").alias("k_doc"), F.col("mark").alias("k_mark"))
+        same = F.col("doc_id").eqNullSafe(F.col("k_doc")) & (F.col("mark") == F.col("k_mark"))
+        return rows.join(small(other), same, how)
+
+    once = matching(keys.filter("not stays or times > 1"), "left_anti")
+    twice = keys.filter("stays and times > 1")
+    if twice.isEmpty():
+        return once.select("row.*")
+    merged = matching(twice, "left_semi").groupBy("doc_id", "mark").agg(F.first("row").alias("row"))
+    return once.select("row").unionByName(merged.select("row")).select("row.*")
 
 
 def op5_near(spark, sf_dir: str) -> DataFrame:
