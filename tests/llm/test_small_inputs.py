@@ -13,6 +13,7 @@ from quantloom.llm import secret_scan, suffix_dedup, url_filter
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+CLASHING = ("words", "size", "h1", "label", "spans", "mark", "kept", "hit_doc", "hit_mark", "row", "m_doc", "finish", "copy", "k_doc", "p_mark", "quality")
 WORDS = [f"w{i}" for i in range(400)]
 
 
@@ -48,7 +49,7 @@ def rows():
 @pytest.fixture(scope="module")
 def docs(spark, rows):
     # Extra columns with names that operators might use inside.
-    return spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("x") for c in ("words", "size", "h1", "label", "spans", "mark")})
+    return spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("x") for c in CLASHING})
 
 
 @pytest.fixture(scope="module")
@@ -273,7 +274,7 @@ def test_licenses(spark, empty):
     assert by[5].labels == ["bsd-3"]
     assert by[6].n_words == 0 and by[6].labels == [] and by[6].score == 0
     assert licenses.scan_licenses(empty).count() == 0
-    assert len(licenses.signature_rules()) > 200
+    assert len(licenses.signature_rules()) >= 200
 
 
 def test_licenses_without_the_word_license(spark):
