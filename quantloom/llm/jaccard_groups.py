@@ -11,11 +11,12 @@ join key that nothing but equal parts shares.  Sizes come in levels with a fixed
 m each; a set whose partners reach down into lower levels also gives the keys of
 those.  Parts without tokens give no key; m has spare parts for them, and a set
 with more empty parts than spare ones gives keys for those too.  So no linked
-pair is missed (64-bit hashes stand for shingles).
+pair is missed (64-bit hashes stand for shingles).  Near copies share very many
+keys; of keys with the same sets one is kept.
 
 Groups.  Sets join the group of the key they share with most others, split into
 groups of at most ``GROUP`` members and about ``GROUP_TOKENS`` tokens.  The union
-of each group's tokens is stored as a table.  A set that shares a key with another
+of the tokens of each group that shares a key with another one is stored in a table.  A set that shares a key with another
 group meets that union first: their overlap bounds its overlap with each member,
 and only groups whose bound reaches p % of the set are opened, that is, have their
 members joined and compared exactly.  Each comparison returns links that span what it found
@@ -32,7 +33,8 @@ nulls last, then by a hash of the text; of equal rows one stays.  Rows without
 shingles all stay.
 
 Scale.  The texts are read once for sizes, fingerprints and keys (about n/6 keys
-for n shingles at 90 %, n/2 at 80 %, dealt in two passes then), and once more, only the candidates', for their sets.  A task
+for n shingles at 90 %, n/2 at 80 %, dealt in two passes then), and once more, only
+the candidates', for their sets.  Within a task copies give their keys once.  A task
 holds a union and a block of queries, or the sets of two groups, at a time.
 """
 
@@ -47,13 +49,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm import kernels
-from quantloom.llm.common import drop_scratch, free_shuffles, packed, scratch, settled, small
+from quantloom.llm.common import BROADCAST_KEYS, drop_scratch, free_shuffles, packed, scratch, settled, small
 from quantloom.llm.components import components
 
 GROUP = 256
 #: Members that stand for a group in the second round.
 CHAMPIONS = 16
 GROUP_TOKENS = 2_000_000
+#: Fingerprints that a task remembers; copies beyond give their keys again, which changes nothing.
+SEEN = 200_000
 _U = np.uint64
 
 
@@ -117,19 +121,22 @@ def _keys_at(tokens: np.ndarray, level: int, percent: int) -> np.ndarray:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, mark, n, fa, fb (fingerprint of the set) and keys."""
+    """doc_id, mark, n, fa (fingerprint of the set) and keys, where the task has not given those of an equal set."""
+    seen: set[int] = set()
     for batch in batches:
         raw, offsets = kernels.text_buffers(batch.column("text"))
         ids = batch.column("doc_id")
         for a, b in kernels.pieces(offsets):
             tokens, at = kernels.shingles(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
-            n, fa, fb, keys = [], [], [], []
+            n, fa, keys = [], [], []
             for k in range(b - a):
                 own = np.unique(tokens[at[k] : at[k + 1]])
                 n.append(len(own))
                 fa.append(kernels.mix(own).sum(dtype=np.uint64))
-                fb.append(kernels.mix(own + _U(0x51ED270B)).sum(dtype=np.uint64))
-                keys.append(part_keys(own, percent) if len(own) else own)
+                new = len(own) and int(fa[-1]) not in seen
+                keys.append(part_keys(own, percent) if new else own[:0])
+                if len(seen) < SEEN:
+                    seen.add(int(fa[-1]))
             sizes = np.array([len(x) for x in keys])
             flat = np.concatenate(keys).view(np.int64) if len(keys) else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(
@@ -141,10 +148,9 @@ def _sketches(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Ite
                     batch.column("mark").slice(a, b - a),
                     pa.array(np.array(n, np.int64)),
                     pa.array(np.array(fa, np.uint64).view(np.int64)),
-                    pa.array(np.array(fb, np.uint64).view(np.int64)),
                     lists,
                 ],
-                names=["doc_id", "mark", "n", "fa", "fb", "keys"],
+                names=["doc_id", "mark", "n", "fa", "keys"],
             )
 
 
@@ -266,14 +272,16 @@ def _bound(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
 def _links(work: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Compare the sides (ga, gb, side, fa) of each pair and write the links found."""
     parts = int(work.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = work.join(sets, "fa").repartition(4 * parts, "ga", "gb").sortWithinPartitions("ga", "gb")
+    work = scratch(work.select("ga", "gb", "side", "fa"), "near-work")
+    dealt = sets.join(small(work), "fa").repartition(4 * parts, "ga", "gb").sortWithinPartitions("ga", "gb")
     return scratch(dealt.select("ga", "gb", "side", "fa", "tokens").mapInArrow(lambda batches: _compare(batches, percent), "a long, b long"), "near-links")
 
 
 def _ask(asks: DataFrame, members: DataFrame, sets: DataFrame, unions: DataFrame, percent: int) -> DataFrame:
     """Links of asking sets (ga, gb, fa) to ``members`` (g, fa) of the groups ga whose unions they reach."""
     parts = int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asking = asks.join(sets, "fa").select("ga", "gb", F.lit(1).alias("side"), "fa", "tokens")
+    asks = scratch(asks.select("ga", "gb", "fa"), "near-asks")
+    asking = sets.join(small(asks), "fa").select("ga", "gb", F.lit(1).alias("side"), "fa", "tokens")
     asked = asks.select("ga", "gb").distinct().join(unions.withColumnRenamed("g", "ga"), "ga")
     dealt = asking.unionByName(asked.select("ga", "gb", F.lit(0).alias("side"), F.lit(None).cast("long").alias("fa"), "tokens"))
     dealt = dealt.repartition(4 * parts, "ga", "gb").sortWithinPartitions("ga", "gb")
@@ -295,7 +303,30 @@ def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def near_labels(docs: DataFrame, sketches: DataFrame, group: int = GROUP, size: int = 3, percent: int = 90) -> DataFrame:
+def shared_keys(sketches: DataFrame, percent: int) -> DataFrame:
+    """key, fa, c: the keys that c > 1 sets have, one key for all keys of the same sets."""
+    spark = sketches.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = sketches.select(F.explode("keys").alias("key"), "fa")
+    # A lower threshold has more keys; by passes over parts of them no shuffle holds them all.
+    passes, found = -(-(100 - percent) // 10), []
+    for k in range(passes):
+        some = keyed.filter(F.pmod("key", F.lit(passes)) == k)
+        # Both aggregations run on the one exchange by key.
+        sets_of = some.repartition(4 * parts, "key").groupBy("key", "fa").agg(F.count("*").alias("rows")).groupBy("key")
+        sets_of = sets_of.agg(
+            F.count("*").alias("c"), F.min("fa").alias("low"), F.max("fa").alias("high"), F.bit_xor(F.xxhash64("fa")).alias("all")
+        ).filter("c > 1")
+        kept = sets_of.groupBy("c", "low", "high", "all").agg(F.min("key").alias("key")).select("key", "c")
+        found.append(scratch(kept, "near-keys"))
+        free_shuffles(spark)
+    # Keys kept in different passes may have the same sets, which is only work done twice.
+    kept = reduce(DataFrame.unionByName, found)
+    kept = F.broadcast(kept) if sum(t.count() for t in found) <= BROADCAST_KEYS else kept
+    return scratch(keyed.join(kept, "key").distinct(), "near-hits")
+
+
+def near_labels(docs: DataFrame, sketches: DataFrame, hits: DataFrame, group: int = GROUP, size: int = 3, percent: int = 90) -> DataFrame:
     """fa, label: the component of every fingerprint that shares a key with another one.
 
     Three rounds, each over what the ones before left apart.  First every group
@@ -307,22 +338,6 @@ def near_labels(docs: DataFrame, sketches: DataFrame, group: int = GROUP, size:
     the one of the smaller asks the group of the other.
     """
     spark = docs.sparkSession
-    keyed = sketches.filter("n > 0").select(F.explode("keys").alias("key"), "fa")
-    # A lower threshold has more keys; by passes over parts of them no shuffle holds them all.
-    passes, found = -(-(100 - percent) // 10), []
-    for k in range(passes):
-        some = keyed.filter(F.pmod("key", F.lit(passes)) == k)
-        shared = (
-            some.groupBy("key")
-            .agg(F.min("fa").alias("low"), F.max("fa").alias("high"), F.count("*").alias("c"))
-            .filter("low < high")
-            .select("key", "c")
-        )
-        shared = scratch(shared, "near-keys")
-        free_shuffles(spark)
-        found.append(scratch(some.join(shared, "key").distinct(), "near-hits"))
-        free_shuffles(spark)
-    hits = reduce(DataFrame.unionByName, found)
     best = hits.groupBy("fa").agg(F.max(F.struct("c", "key")).alias("best")).select("fa", F.col("best.key").alias("home"))
     # One text stands for each fingerprint; it is told by doc_id and mark, so that rows without an id serve too.
     picked = best.join(sketches.select("fa", "n", "doc_id", "mark"), "fa").groupBy("fa", "home").agg(
@@ -338,10 +353,10 @@ def near_labels(docs: DataFrame, sketches: DataFrame, group: int = GROUP, size:
     rows = small(scratch(rows, "near-rows"))
     same = F.col("doc_id").eqNullSafe(F.col("pick_doc")) & (F.col("mark") == F.col("pick_mark"))
     texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").join(rows, same, "left_semi").select("text")
-    sets = texts.mapInArrow(lambda batches: _sets(batches, size), "fa long, tokens binary").join(members.select("fa"), "fa", "left_semi").dropDuplicates(["fa"])
-    sets = scratch(sets, "near-sets")
-    shuffled = members.join(sets, "fa").select("g", "tokens").repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "g")
-    unions = scratch(shuffled.sortWithinPartitions("g").mapInArrow(_unite, "g long, tokens binary"), "near-unions")
+    sets = scratch(texts.mapInArrow(lambda batches: _sets(batches, size), "fa long, tokens binary"), "near-sets")
+    if sets.count() > picked.count():
+        # Repeated rows bring equal sets.
+        sets = scratch(sets.dropDuplicates(["fa"]), "near-sets")
 
     within = members.select(F.col("g").alias("ga"), F.col("g").alias("gb"), F.lit(0).alias("side"), "fa")
     labels = _merge(members.select("fa", "g", F.col("fa").alias("label")), _links(within, sets, percent))
@@ -349,7 +364,12 @@ def near_labels(docs: DataFrame, sketches: DataFrame, group: int = GROUP, size:
     met = scratch(hits.join(members, "fa").select("key", "fa", "g"), "near-met")
     spots = met.select("key", "g").distinct()
     centres = spots.groupBy("key").agg(F.min("g").alias("ga"))
-    spokes = spots.join(centres, "key").filter("g <> ga").select("ga", F.col("g").alias("gb")).distinct()
+    spokes = scratch(spots.join(centres, "key").filter("g <> ga").select("ga", F.col("g").alias("gb")).distinct(), "near-spokes")
+    meeting = spokes.select(F.explode(F.array("ga", "gb")).alias("g")).distinct()
+    theirs = small(scratch(members.join(meeting, "g", "left_semi"), "near-meeting"))
+    dealt = sets.join(theirs, "fa").select("g", "tokens").repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "g")
+    unions = scratch(dealt.sortWithinPartitions("g").mapInArrow(_unite, "g long, tokens binary"), "near-unions")
+    free_shuffles(spark)
     place = F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("fa"), "fa"))
     champions = members.withColumn("place", place).filter(F.col("place") <= CHAMPIONS).select("g", "fa")
     asks = spokes.join(champions.withColumnRenamed("g", "gb"), "gb").select("ga", "gb", "fa")
@@ -376,19 +396,23 @@ def _labelled(docs: DataFrame, group: int, size: int, percent: int) -> DataFrame
     sketches = scratch(
         docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(
             lambda batches: _sketches(batches, size, percent),
-            f"doc_id {kind}, mark long, n long, fa long, fb long, keys array<long>",
+            f"doc_id {kind}, mark long, n long, fa long, keys array<long>",
         ),
         "near-sketches",
     )
-    labels = settled(lambda: near_labels(docs, sketches, group, size, percent), "near-labels")
+    hits = settled(lambda: shared_keys(sketches, percent), "near-hits")
+    narrow = scratch(sketches.drop("keys"), "near-sizes")
+    drop_scratch(sketches)
+    free_shuffles(docs.sparkSession)
+    labels = settled(lambda: near_labels(docs, narrow, hits, group, size, percent), "near-labels")
+    drop_scratch(hits)
     free_shuffles(docs.sparkSession)
     labelled = (
-        sketches.select("doc_id", "mark", "n", "fa")
-        .join(labels, "fa", "left")
+        narrow.join(labels, "fa", "left")
         .select("doc_id", "mark", "n", F.when(F.col("n") > 0, F.coalesce("label", "fa")).alias("label"))
     )
     labelled = scratch(labelled, "near-labelled")
-    drop_scratch(sketches, labels)
+    drop_scratch(narrow, labels)
     return labelled
 
 
