@@ -56,6 +56,8 @@ GROUP = 256
 #: Members that stand for a group in the second round.
 CHAMPIONS = 16
 GROUP_TOKENS = 2_000_000
+#: Sets that ask for one group in a block.
+ASKING = 4096
 #: Fingerprints that a task remembers; copies beyond give their keys again, which changes nothing.
 SEEN = 200_000
 _U = np.uint64
@@ -258,15 +260,18 @@ def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bound(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """The asking sets (side 1) of each ga, gb that have ``percent`` of their tokens in its union (side 0)."""
-    for group in kernels.stream_groups(batches, ["ga", "gb"]):
-        side = group.column("side").to_numpy()
-        tokens = [np.frombuffer(x, np.uint64) for x in group.column("tokens").to_pylist()]
-        union, asking = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(union) or not len(asking):
-            continue
-        take = pa.array(asking[_reach([tokens[i] for i in asking], tokens[union[0]], percent)])
-        yield pa.RecordBatch.from_arrays([group.column(c).combine_chunks().take(take) for c in ("ga", "gb", "fa")], names=["ga", "gb", "fa"])
+    """The asking rows (side 1) of each ga, block that have ``percent`` of their tokens in its union (side 0, which comes first)."""
+    held = union = None
+    for batch in batches:
+        ga, block, side = (batch.column(c).to_numpy() for c in ("ga", "block", "side"))
+        tokens, opened = batch.column("tokens"), []
+        for i in range(batch.num_rows):
+            own = np.frombuffer(tokens[i].as_buffer(), np.uint64)
+            if side[i] == 0:
+                held, union = (ga[i], block[i]), own.copy()
+            elif held == (ga[i], block[i]) and _reach([own], union, percent)[0]:
+                opened.append(i)
+        yield batch.select(["ga", "gb", "fa"]).take(pa.array(opened, pa.int64()))
 
 
 def _links(work: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -281,11 +286,17 @@ def _ask(asks: DataFrame, members: DataFrame, sets: DataFrame, unions: DataFrame
     """Links of asking sets (ga, gb, fa) to ``members`` (g, fa) of the groups ga whose unions they reach."""
     parts = int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asks = scratch(asks.select("ga", "gb", "fa"), "near-asks")
-    asking = sets.join(small(asks), "fa").select("ga", "gb", F.lit(1).alias("side"), "fa", "tokens")
-    asked = asks.select("ga", "gb").distinct().join(unions.withColumnRenamed("g", "ga"), "ga")
-    dealt = asking.unionByName(asked.select("ga", "gb", F.lit(0).alias("side"), F.lit(None).cast("long").alias("fa"), "tokens"))
-    dealt = dealt.repartition(4 * parts, "ga", "gb").sortWithinPartitions("ga", "gb")
+    # A union goes once to each block of those that ask; only groups that many ask have several.
+    many = scratch(asks.groupBy("ga").agg(F.count("*").alias("n")).filter(F.col("n") > ASKING), "near-asked")
+    block = F.when(F.col("n").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("fa"), F.ceil(F.col("n") / ASKING)))
+    asks = scratch(asks.join(small(many), "ga", "left").select("ga", block.alias("block"), "gb", "fa"), "near-asks")
+    asking = sets.join(small(asks), "fa").select("ga", "block", F.lit(1).alias("side"), "gb", "fa", "tokens")
+    none = F.lit(None).cast("long")
+    asked = asks.select("ga", "block").distinct().join(unions.withColumnRenamed("g", "ga"), "ga")
+    dealt = asking.unionByName(asked.select("ga", "block", F.lit(0).alias("side"), none.alias("gb"), none.alias("fa"), "tokens"))
+    dealt = dealt.repartition(4 * parts, "ga", "block").sortWithinPartitions("ga", "block", "side")
     opened = scratch(dealt.mapInArrow(lambda batches: _bound(batches, percent), "ga long, gb long, fa long"), "near-opened")
+    free_shuffles(asks.sparkSession)
     theirs = opened.select("ga", "gb").distinct().join(members.select(F.col("g").alias("ga"), "fa"), "ga")
     work = opened.select("ga", "gb", F.lit(1).alias("side"), "fa").unionByName(theirs.select("ga", "gb", F.lit(0).alias("side"), "fa"))
     return _links(work, sets, percent)
