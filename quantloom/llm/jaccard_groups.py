@@ -58,6 +58,8 @@ CHAMPIONS = 16
 GROUP_TOKENS = 2_000_000
 #: Sets that ask for one group in a block.
 ASKING = 4096
+#: Passes over the asking sets, so that no shuffle holds them all.
+ASK_PASSES = 4
 #: Fingerprints that a task remembers; copies beyond give their keys again, which changes nothing.
 SEEN = 200_000
 _U = np.uint64
@@ -279,7 +281,9 @@ def _links(work: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     parts = int(work.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     work = scratch(work.select("ga", "gb", "side", "fa"), "near-work")
     dealt = sets.join(small(work), "fa").repartition(4 * parts, "ga", "gb").sortWithinPartitions("ga", "gb")
-    return scratch(dealt.select("ga", "gb", "side", "fa", "tokens").mapInArrow(lambda batches: _compare(batches, percent), "a long, b long"), "near-links")
+    links = scratch(dealt.select("ga", "gb", "side", "fa", "tokens").mapInArrow(lambda batches: _compare(batches, percent), "a long, b long"), "near-links")
+    free_shuffles(links.sparkSession)
+    return links
 
 
 def _ask(asks: DataFrame, members: DataFrame, sets: DataFrame, unions: DataFrame, percent: int) -> DataFrame:
@@ -290,13 +294,17 @@ def _ask(asks: DataFrame, members: DataFrame, sets: DataFrame, unions: DataFrame
     many = scratch(asks.groupBy("ga").agg(F.count("*").alias("n")).filter(F.col("n") > ASKING), "near-asked")
     block = F.when(F.col("n").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("fa"), F.ceil(F.col("n") / ASKING)))
     asks = scratch(asks.join(small(many), "ga", "left").select("ga", block.alias("block"), "gb", "fa"), "near-asks")
-    asking = sets.join(small(asks), "fa").select("ga", "block", F.lit(1).alias("side"), "gb", "fa", "tokens")
-    none = F.lit(None).cast("long")
-    asked = asks.select("ga", "block").distinct().join(unions.withColumnRenamed("g", "ga"), "ga")
-    dealt = asking.unionByName(asked.select("ga", "block", F.lit(0).alias("side"), none.alias("gb"), none.alias("fa"), "tokens"))
-    dealt = dealt.repartition(4 * parts, "ga", "block").sortWithinPartitions("ga", "block", "side")
-    opened = scratch(dealt.mapInArrow(lambda batches: _bound(batches, percent), "ga long, gb long, fa long"), "near-opened")
-    free_shuffles(asks.sparkSession)
+    opened = []
+    for k in range(ASK_PASSES):
+        some = scratch(asks.filter(F.pmod(F.xxhash64("ga"), F.lit(ASK_PASSES)) == k), "near-asks")
+        asking = sets.join(small(some), "fa").select("ga", "block", F.lit(1).alias("side"), "gb", "fa", "tokens")
+        none = F.lit(None).cast("long")
+        asked = some.select("ga", "block").distinct().join(unions.withColumnRenamed("g", "ga"), "ga")
+        dealt = asking.unionByName(asked.select("ga", "block", F.lit(0).alias("side"), none.alias("gb"), none.alias("fa"), "tokens"))
+        dealt = dealt.repartition(4 * parts, "ga", "block").sortWithinPartitions("ga", "block", "side")
+        opened.append(scratch(dealt.mapInArrow(lambda batches: _bound(batches, percent), "ga long, gb long, fa long"), "near-opened"))
+        free_shuffles(asks.sparkSession)
+    opened = scratch(reduce(DataFrame.unionByName, opened), "near-opened")
     theirs = opened.select("ga", "gb").distinct().join(members.select(F.col("g").alias("ga"), "fa"), "ga")
     work = opened.select("ga", "gb", F.lit(1).alias("side"), "fa").unionByName(theirs.select("ga", "gb", F.lit(0).alias("side"), "fa"))
     return _links(work, sets, percent)
