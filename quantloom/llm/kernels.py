@@ -9,6 +9,8 @@ import pyarrow as pa
 
 #: Texts are worked on in pieces of about this many bytes, so that temporaries stay small.
 PIECE_BYTES = 1 << 20
+#: Bytes whose words are hashed at a time.
+CHUNK_BYTES = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
@@ -85,19 +87,25 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, size: int = 3) -> tuple[np.nd
     """Hashes of word shingles (A-Z lower-cased, words between blanks) and each text's bounds in them.
 
     A text with fewer words than ``size``, but some, has one shingle of them all.
+    Words are hashed ``CHUNK_BYTES`` at a time, so that a very long text needs
+    little more memory than its own bytes and a number per word.
     """
     n = len(offsets) - 1
-    lengths = np.diff(offsets)
-    owner = np.repeat(np.arange(n), lengths)
-    padded = np.full(len(raw) + n + 1, 0x20, np.uint8)
-    padded[np.arange(len(raw)) + owner + 1] = raw
-    word = ~_SPACE[padded]
-    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
-    start, end = edge[0::2], edge[1::2]
-    text_at = offsets[:-1] + np.arange(n) + 1
-    first = np.searchsorted(start, text_at)
-    bounds = np.append(first, len(start))
-    hashes = range_hash(rolling_sums(_LOWER[padded]), start, end)
+    word = ~_SPACE[raw]
+    cut = np.zeros(len(raw) + 1, bool)
+    cut[offsets] = True
+    begins, ends = word.copy(), word.copy()
+    begins[1:] &= ~word[:-1] | cut[1:-1]
+    ends[:-1] &= ~word[1:] | cut[1:-1]
+    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    del word, cut, begins, ends
+    bounds = np.searchsorted(start, offsets)
+    hashes, at = np.empty(len(start), np.uint64), 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(end, start[at] + CHUNK_BYTES, side="right")))
+        sums = rolling_sums(_LOWER[raw[start[at] : end[to - 1]]])
+        hashes[at:to] = range_hash(sums, start[at:to] - start[at], end[at:to] - start[at])
+        at = to
     counts = np.diff(bounds)
     total = len(hashes)
     if total == 0:
