@@ -32,7 +32,7 @@ LEGS = {
 def _segments(dates: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every date of a key with ``seg``, the rebalance it belongs to, and ``ending``, the one that it ends."""
     schedule = targets.select(*keys, "date").distinct().withColumn("own", F.col("date"))
-    grid = targets.select(*keys).distinct().crossJoin(F.broadcast(dates.select("date"))) if keys else dates.select("date")
+    grid = targets.select(*keys).distinct().crossJoin(dates.select("date")) if keys else dates.select("date")
     staged = grid.join(schedule, [*keys, "date"], "left")
     spec = ordered(keys)
     return staged.withColumns(
@@ -87,7 +87,7 @@ def target_weight_backtest(
 def daily_results(holdings, returns, targets, return_column, cost_bps=10.0, keys: Sequence[str] = ()) -> DataFrame:
     """Fold holdings to one row per date; dates before the first rebalance are flat."""
     dates = usable_dates(returns, return_column).select("date")
-    grid = targets.select(*keys).distinct().crossJoin(F.broadcast(dates)) if keys else dates
+    grid = targets.select(*keys).distinct().crossJoin(dates) if keys else dates
     schedule = targets.select(*keys, "date").distinct().withColumn("is_rebalance", F.lit(True))
     w, r = F.col("weight"), F.coalesce("asset_return", F.lit(0.0))
     sums = holdings.groupBy(*keys, "date").agg(

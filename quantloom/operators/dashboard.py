@@ -30,7 +30,9 @@ def within(df: DataFrame, start: dt.date | str | None = None, end: dt.date | str
 def labelled(df: DataFrame, column: str, labels: Sequence[str] | None) -> DataFrame:
     """Rows with one of the labels, in their order by ``_place``; None keeps all, in order of label."""
     if labels is None:
-        return df.withColumn("_place", F.dense_rank().over(Window.orderBy(column)))
+        known = df.select(column).distinct()
+        places = known.select(F.col(column).alias("_label"), F.dense_rank().over(Window.orderBy(column)).alias("_place"))
+        return df.join(places, F.col(column).eqNullSafe(F.col("_label")), "left").drop("_label")
     wanted = require_labels(labels, column)
     known = {r[0] for r in df.select(column).filter(F.col(column).isin(wanted)).distinct().collect()}
     if set(wanted) - known:
@@ -158,5 +160,5 @@ def with_proxies(metadata: DataFrame, proxies: Mapping[str, str]) -> DataFrame:
         return metadata
     pairs = F.create_map(*[F.lit(x) for kv in proxies.items() for x in kv])
     other = metadata.select(F.col("dataset").alias("_of"), F.col("latest_date").alias("_date"))
-    joined = metadata.withColumn("_proxy", F.try_element_at(pairs, F.col("dataset"))).join(F.broadcast(other), F.col("_proxy") == F.col("_of"), "left")
+    joined = metadata.withColumn("_proxy", F.try_element_at(pairs, F.col("dataset"))).join(other, F.col("_proxy") == F.col("_of"), "left")
     return joined.withColumn("latest_date", F.coalesce("latest_date", "_date")).drop("_proxy", "_of", "_date")

@@ -99,7 +99,7 @@ def inverse_volatility_allocations(
         .filter(F.col("_n") == count)
         .select("date", "sleeve", "value", F.lit(False).alias("asked"))
     )
-    asked = rebalances.select("date").distinct().crossJoin(F.broadcast(sleeves.select("sleeve").distinct()))
+    asked = rebalances.select("date").distinct().crossJoin(sleeves.select("sleeve").distinct())
     timeline = joint.unionByName(asked.select("date", "sleeve", F.lit(None).cast("double").alias("value"), F.lit(True).alias("asked")))
     # A question sorts before the same date's return, so only earlier returns count.
     order = Window.partitionBy("sleeve").orderBy("date", F.desc("asked"))

@@ -7,6 +7,7 @@ in which an engine sums does not show.
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from quantloom.operators import attribution, backtest, costs, cross_section, das
 from quantloom.operators import portfolio, quality, regression, risk, validation
 from quantloom.plans import workflow
 from quantloom.sources import panel as sources
+from quantloom.sources.shared import once
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -277,16 +279,33 @@ CTES: dict[str, tuple[str, str]] = {
 
 
 # --- Spark frames shared by queries -------------------------------------------------
+# Each is written once an application and read by all queries that need it.
+
+
+def shared(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    def table(spark: SparkSession, sf_dir: str, *choice) -> DataFrame:
+        name = "-".join([make.__name__, *map(str, choice)])
+        return once(spark, sf_dir, name, lambda: make(spark, sf_dir, *choice))
+
+    return table
+
+
+@shared
+def _prices(spark, sf_dir):
+    return sources.security_panel(spark, sf_dir)
+
 
 
 def _returns(spark, sf_dir):
-    return features.return_features(sources.security_panel(spark, sf_dir))
+    return features.return_features(_prices(spark, sf_dir))
 
 
+@shared
 def _processed(spark, sf_dir):
     return cross_section.process_factors(features.add_raw_factors(_returns(spark, sf_dir)), FACTORS)
 
 
+@shared
 def _targets(spark, sf_dir, offsets: bool = False):
     panel = _processed(spark, sf_dir)
     parts = []
@@ -299,22 +318,27 @@ def _targets(spark, sf_dir, offsets: bool = False):
     return parts[0].unionByName(parts[1])
 
 
+@shared
 def _holdings(spark, sf_dir):
     return backtest.drifted_weights(_returns(spark, sf_dir), _targets(spark, sf_dir), "forward_ret_1d", ("portfolio",))
 
 
+@shared
 def _daily(spark, sf_dir):
     return backtest.target_weight_backtest(_returns(spark, sf_dir), _targets(spark, sf_dir), "forward_ret_1d", 10.0, ("portfolio",))
 
 
+@shared
 def _security(spark, sf_dir):
     return attribution.security_attribution(_holdings(spark, sf_dir), _returns(spark, sf_dir), "forward_ret_1d", 10.0)
 
 
+@shared
 def _market(spark, sf_dir, forward=False):
     return risk.market_returns(sources.market_series(spark, sf_dir), forward)
 
 
+@shared
 def _beta_detail(spark, sf_dir):
     betas = risk.add_stock_beta(_returns(spark, sf_dir), _market(spark, sf_dir))
     return risk.holdings_beta_detail(_holdings(spark, sf_dir), betas)
@@ -325,10 +349,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
+    importlib.import_module("quantloom.plans.further")
     return dict(_QUERIES)
 
 
 def oracle_sql():
+    importlib.import_module("quantloom.plans.further")
     return dict(_SQL)
 
 
@@ -360,7 +386,7 @@ def _(spark, d):
     "proc sector",
 )
 def _(spark, d):
-    panel = _processed(spark, d).join(F.broadcast(sources.sectors(spark, d)), "ticker", "left")
+    panel = _processed(spark, d).join(sources.sectors(spark, d), "ticker", "left")
     return cross_section.add_sector_neutral(panel, "mom_12_1m_z", "mom_12_1m_sector_neutral_z").select("date", "ticker", "sector", "mom_12_1m_sector_neutral_z")
 
 
@@ -529,6 +555,7 @@ CTES["health"] = (
 _HEALTH = ("q25_raw", "median_raw", "q75_raw", "iqr_raw", "signal_coverage", "daily_ic", "rolling_mean_ic_252", "rank_stability_1", "rank_stability_21", "dispersion_ratio")
 
 
+@shared
 def _signal_health(spark, d):
     return validation.signal_health(_processed(spark, d), HEALTH, "forward_ret_5d")
 
@@ -805,7 +832,7 @@ def _(spark, d):
 
 @entry("lagged_adv", f"SELECT date, ticker, {r('mean_21', 'lagged_adv_21')}, {r('median_21', 'lagged_median_dollar_volume_21')} FROM adv", "adv")
 def _(spark, d):
-    panel = costs.add_lagged_dollar_volume(sources.security_panel(spark, d), 21, output="lagged_adv_21")
+    panel = costs.add_lagged_dollar_volume(_prices(spark, d), 21, output="lagged_adv_21")
     return costs.add_lagged_dollar_volume(panel, 21, 10, "median").select("date", "ticker", "lagged_adv_21", "lagged_median_dollar_volume_21")
 
 
@@ -822,8 +849,9 @@ CTES["capacity"] = (
 )
 
 
+@shared
 def _trades(spark, d):
-    adv = costs.add_lagged_dollar_volume(sources.security_panel(spark, d), 21, output="lagged_adv_21").select("date", "ticker", "lagged_adv_21")
+    adv = costs.add_lagged_dollar_volume(_prices(spark, d), 21, output="lagged_adv_21").select("date", "ticker", "lagged_adv_21")
     frequency = F.when(F.col("portfolio") == "Momentum", BOOKS["Momentum"][1]).otherwise(BOOKS["Volatility"][1])
     return _holdings(spark, d).join(adv, ["date", "ticker"], "left").withColumns(
         {"absolute_trade_weight": F.abs("trade"), "rebalance_frequency": frequency, "rebalance_offset": F.lit(0)}
@@ -1002,6 +1030,7 @@ CTES["risk_state"] = (
 _RISK = ("wealth", "drawdown", "trailing_return_252", "rolling_sharpe_252", "annualised_volatility_126", "annualised_downside_deviation_126")
 
 
+@shared
 def _performance(spark, d):
     return monitoring.performance_risk(_daily(spark, d), _market(spark, d, True))
 
@@ -1011,7 +1040,18 @@ def _(spark, d):
     return _performance(spark, d).drop("maximum_drawdown_252").withColumn("drawdown_duration", F.col("drawdown_duration").cast("double"))
 
 
-@entry("rolling_drawdown")
+_NUMBERED = "(SELECT portfolio, date, ret, row_number() OVER (PARTITION BY portfolio ORDER BY date) AS k FROM risk)"
+#: Every full window on its own: wealth from 1 on, its running peak, and the deepest fall.
+_DRAWDOWN_SQL = (
+    "SELECT portfolio, date, " + r("CASE WHEN n >= 252 THEN dd END", "maximum_drawdown_252") + " FROM (SELECT portfolio, date, count(*) AS n, least(0, min(v / greatest(1, peak) - 1)) AS dd FROM ("
+    "SELECT *, max(v) OVER (PARTITION BY portfolio, date ORDER BY k ROWS UNBOUNDED PRECEDING) AS peak FROM ("
+    f"SELECT e.portfolio, e.date, j.k, product(1 + j.ret) OVER (PARTITION BY e.portfolio, e.date ORDER BY j.k ROWS UNBOUNDED PRECEDING) AS v FROM {_NUMBERED} e JOIN {_NUMBERED} j "
+    "ON j.portfolio = e.portfolio AND j.k BETWEEN e.k - 251 AND e.k AND j.ret IS NOT NULL)) GROUP BY portfolio, date "
+    f"UNION ALL SELECT portfolio, date, 0, 0 FROM {_NUMBERED} WHERE k = 1 AND ret IS NULL)"
+)
+
+
+@entry("rolling_drawdown", _DRAWDOWN_SQL, "risk")
 def _(spark, d):
     return _performance(spark, d).select("portfolio", "date", "maximum_drawdown_252")
 
@@ -1036,8 +1076,9 @@ CTES["impl_state"] = (
 _IMPL = ("turnover", "transaction_cost", "largest_trade_weight", "missing_return_weight", "bottleneck_capacity_1pct_usd", "fifth_percentile_capacity_1pct_usd", "median_capacity_1pct_usd", "turnover_63", "annualised_turnover_63", "transaction_cost_63", "largest_trade_weight_63", "minimum_trade_capacity_1pct_usd_63", "maximum_missing_return_weight_63")
 
 
+@shared
 def _implementation(spark, d):
-    return monitoring.implementation_state(_security(spark, d), sources.security_panel(spark, d))
+    return monitoring.implementation_state(_security(spark, d), _prices(spark, d))
 
 
 @entry("implementation_state", f"SELECT portfolio, date, trade_count, trade_days_63, {rs(*_IMPL)} FROM impl_state", "impl_state")
@@ -1047,7 +1088,7 @@ def _(spark, d):
 
 @entry("liquidity_coverage", f"SELECT portfolio, date, {rs('turnover')}, {r('covered', 'liquidity_covered_turnover')}, {r('CASE WHEN turnover > 1e-12 THEN covered / turnover ELSE 1 END', 'liquidity_coverage')} FROM implementation", "implementation")
 def _(spark, d):
-    return monitoring.liquidity_coverage(_security(spark, d), sources.security_panel(spark, d))
+    return monitoring.liquidity_coverage(_security(spark, d), _prices(spark, d))
 
 
 def _flags_sql(source: str, value: str, category: str, diagnostic: str, direction: str) -> str:
@@ -1100,7 +1141,7 @@ def _(spark, d):
     "panel",
 )
 def _(spark, d):
-    return quality.panel_summary(sources.security_panel(spark, d))
+    return quality.panel_summary(_prices(spark, d))
 
 
 @entry(
@@ -1109,22 +1150,22 @@ def _(spark, d):
     "panel",
 )
 def _(spark, d):
-    return quality.missing_dates(sources.security_panel(spark, d))
+    return quality.missing_dates(_prices(spark, d))
 
 
 @entry("missing_tickers", "SELECT date, count(DISTINCT ticker) AS available_tickers, (SELECT count(DISTINCT ticker) FROM panel) - count(DISTINCT ticker) AS missing_tickers FROM panel GROUP BY date", "panel")
 def _(spark, d):
-    return quality.missing_tickers(sources.security_panel(spark, d))
+    return quality.missing_tickers(_prices(spark, d))
 
 
 @entry("ticker_history", "SELECT ticker, min(date) AS first_date, max(date) AS last_date, count(*) AS observations, count(*) FILTER (WHERE adj_close IS NULL) AS null_adj_close, count(*) FILTER (WHERE volume IS NULL) AS null_volume FROM panel GROUP BY ticker", "panel")
 def _(spark, d):
-    return quality.ticker_history(sources.security_panel(spark, d))
+    return quality.ticker_history(_prices(spark, d))
 
 
 @entry("extreme_returns", f"SELECT date, ticker, {rs('adj_close', 'ret_1d')} FROM feat WHERE abs(ret_1d) >= 0.1", "feat")
 def _(spark, d):
-    return quality.extreme_returns(sources.security_panel(spark, d), 0.1).select("date", "ticker", "adj_close", "ret_1d")
+    return quality.extreme_returns(_prices(spark, d), 0.1).select("date", "ticker", "adj_close", "ret_1d")
 
 
 @entry(
@@ -1133,7 +1174,7 @@ def _(spark, d):
     "panel sector",
 )
 def _(spark, d):
-    return quality.sector_coverage(sources.security_panel(spark, d), sources.universe(spark, d))
+    return quality.sector_coverage(_prices(spark, d), sources.universe(spark, d))
 
 
 @entry(
@@ -1143,7 +1184,7 @@ def _(spark, d):
     "panel bench",
 )
 def _(spark, d):
-    return quality.calendar_alignment(sources.security_panel(spark, d), sources.market_series(spark, d))
+    return quality.calendar_alignment(_prices(spark, d), sources.market_series(spark, d))
 
 
 # --- dashboard tables and workflow ----------------------------------------------------
@@ -1192,8 +1233,9 @@ def _(spark, d):
     return days.withColumn("age", dashboard.business_days(F.col("day"), F.lit("2002-01-01").cast("date")))
 
 
+@shared
 def _factor_panel(spark, d):
-    panel = workflow.processed_panel(sources.security_panel(spark, d), sources.universe(spark, d))
+    panel = workflow.processed_panel(_prices(spark, d), sources.universe(spark, d))
     return workflow.factor_panel(panel, sources.market_series(spark, d))
 
 
@@ -1208,9 +1250,22 @@ def _(spark, d):
 
 @entry("strategy_targets")
 def _(spark, d):
-    return workflow.strategy_targets(workflow.kept(_factor_panel(spark, d))).select("portfolio", "date", "ticker", "weight")
+    return workflow.strategy_targets(_factor_panel(spark, d)).select("portfolio", "date", "ticker", "weight")
 
 
-@entry("accounting_residuals", "SELECT " + ", ".join(f"CAST(0 AS DOUBLE) AS residual_{k}" for k in ("gross_return", "net_return", "net_exposure", "gross_exposure", "transaction_cost")) + " FROM (SELECT count(*) FROM daily)", "daily")
+@entry(
+    "accounting_residuals",
+    "SELECT " + ", ".join(
+        r(f"max(abs({e}))", f"residual_{k}")
+        for k, e in (
+            ("gross_return", "gross_return - long_return - short_return"),
+            ("net_return", "net_return - gross_return + transaction_cost"),
+            ("net_exposure", "net_exposure - long_exposure + short_exposure"),
+            ("gross_exposure", "gross_exposure - long_exposure - short_exposure"),
+            ("transaction_cost", "transaction_cost - turnover * 0.001::DOUBLE"),
+        )
+    ) + " FROM daily",
+    "daily",
+)
 def _(spark, d):
     return workflow.accounting_residuals(_daily(spark, d))

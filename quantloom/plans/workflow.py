@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quantloom.operators import attribution, backtest, cross_section, features, monitoring, portfolio, risk, validation
 from quantloom.operators.contracts import largest_differences, require_unique, same_keys
+from quantloom.sources.shared import kept
 
 #: Fixed raw factor -> prefix of the factor panel.
 PANEL_FACTORS = {
@@ -43,17 +43,6 @@ STRATEGIES = (
 SLEEVES = {"Momentum": "mom_12_1m_z", "Volatility": "realised_vol_63_z"}
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """A table that several later steps read, written to the checkpoint folder and cut from its plan.
-
-    Only where the session names no such folder (tests in one process) one is made.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='quantloom-')}")
-    return df.checkpoint()
-
-
 def strategies_frame(spark) -> DataFrame:
     rows = [(s.name, s.allocation, s.frequency, s.offset, s.role) for s in STRATEGIES]
     return spark.createDataFrame(rows, "portfolio string, allocation string, rebalance_frequency int, rebalance_offset int, role string")

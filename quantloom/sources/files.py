@@ -86,6 +86,10 @@ def write_checked(df: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     target = fs_path(path)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(target, True)
+    # The old data stay until the new are in place.
+    old = fs_path(f"{path}.{uuid.uuid4().hex}.old")
+    had = fs.exists(target) and fs.rename(target, old)
     fs.rename(fs_path(aside), target)
+    if had:
+        fs.delete(old, True)
     return spark.read.schema(df.schema).parquet(path).agg(F.lit(path).alias("path"), F.count("*").alias("rows"))
