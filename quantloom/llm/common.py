@@ -5,7 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: A table of at most this many keys is broadcast; a larger one is joined by a shuffle.
 BROADCAST_KEYS = 500_000
+#: Bytes of an Arrow batch that a task hands to Python; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
 _OWN: dict[str, str] = {}
 _MADE: list[list[DataFrame]] = []
 
@@ -42,6 +45,22 @@ def _folder(spark: SparkSession, path: str):
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
 
 
+@contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of jobs that run within are bounded by ``BATCH_BYTES`` besides the session's rows.
+
+    Texts, token sets and unions differ in length by orders of magnitude, so a
+    bound of rows alone says nothing about a worker's memory.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def scratch(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
@@ -54,7 +73,8 @@ def scratch(df: DataFrame, tag: str) -> DataFrame:
     files, folder = _folder(spark, home)
     files.deleteOnExit(folder)
     path = f"{home}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with bounded_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     if _MADE:
         _MADE[-1].append(table)
