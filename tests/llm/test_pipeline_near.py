@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quantloom.llm import jaccard_groups
+from quantloom.llm import common, jaccard_groups
 
 
 def changed(words, places):
@@ -40,3 +42,22 @@ def test_part_keys_meet_at_lower_thresholds():
                     tried += 1
                     assert len(np.intersect1d(jaccard_groups.part_keys(x, percent), jaccard_groups.part_keys(y, percent)))
     assert tried > 300
+
+
+def test_written_steps_bound_arrow_batches_by_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = spark.range(0, 8000, 1, 1).select(F.repeat(F.lit("x"), F.when(F.col("id") == 7, 20_000_000).otherwise(5000)).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    for before in (None, "100000000"):
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        found = common.scratch(rows.mapInArrow(sizes, "n long, size long"), "sizes").collect()
+        assert spark.conf.get(name, None) == before
+        assert sum(r.n for r in found) == 8000
+        # A batch exceeds the bound by its last row at most.
+        assert all(r["size"] <= common.BATCH_BYTES + 21_000_000 for r in found)
+        assert sum(r["size"] > common.BATCH_BYTES + 10_000 for r in found) <= 1
+    spark.conf.unset(name)
