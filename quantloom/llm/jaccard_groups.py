@@ -58,8 +58,10 @@ CHAMPIONS = 16
 GROUP_TOKENS = 2_000_000
 #: Sets that ask for one group in a block.
 ASKING = 4096
-#: Passes over the asking sets, so that no shuffle holds them all.
+#: Passes over the asking sets at most, so that no shuffle holds them all; fewer where tasks would have less than ``TASK_BYTES``.
 ASK_PASSES = 4
+#: Bytes of token sets for which an exchange has a task of its own, between one and four times the session's partitions.
+TASK_BYTES = 1 << 20
 #: Fingerprints that a task remembers; copies beyond give their keys again, which changes nothing.
 SEEN = 200_000
 _U = np.uint64
@@ -276,38 +278,49 @@ def _bound(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         yield batch.select(["ga", "gb", "fa"]).take(pa.array(opened, pa.int64()))
 
 
-def _links(work: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _dealing(rows: DataFrame, sizes: DataFrame) -> tuple[int, int]:
+    """Tasks of an exchange that ships the set of each of ``rows`` (fa), and passes that keep it small.
+
+    Only the dealing depends on the bytes; what is compared does not.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shipped = 8 * (rows.select("fa").join(sizes, "fa").agg(F.sum("n")).first()[0] or 0)
+    tasks = min(max(-(-shipped // TASK_BYTES), parts), 4 * parts)
+    return tasks, min(max(-(-shipped // (TASK_BYTES * tasks)), 1), ASK_PASSES)
+
+
+def _links(work: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Compare the sides (ga, gb, side, fa) of each pair and write the links found."""
-    parts = int(work.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     work = scratch(work.select("ga", "gb", "side", "fa"), "near-work")
-    dealt = sets.join(small(work), "fa").repartition(4 * parts, "ga", "gb").sortWithinPartitions("ga", "gb")
+    tasks, _ = _dealing(work, sizes)
+    dealt = sets.join(small(work), "fa").repartition(tasks, "ga", "gb").sortWithinPartitions("ga", "gb")
     links = scratch(dealt.select("ga", "gb", "side", "fa", "tokens").mapInArrow(lambda batches: _compare(batches, percent), "a long, b long"), "near-links")
     free_shuffles(links.sparkSession)
     return links
 
 
-def _ask(asks: DataFrame, members: DataFrame, sets: DataFrame, unions: DataFrame, percent: int) -> DataFrame:
+def _ask(asks: DataFrame, members: DataFrame, sets: DataFrame, sizes: DataFrame, unions: DataFrame, percent: int) -> DataFrame:
     """Links of asking sets (ga, gb, fa) to ``members`` (g, fa) of the groups ga whose unions they reach."""
-    parts = int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asks = scratch(asks.select("ga", "gb", "fa"), "near-asks")
     # A union goes once to each block of those that ask; only groups that many ask have several.
     many = scratch(asks.groupBy("ga").agg(F.count("*").alias("n")).filter(F.col("n") > ASKING), "near-asked")
     block = F.when(F.col("n").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("fa"), F.ceil(F.col("n") / ASKING)))
     asks = scratch(asks.join(small(many), "ga", "left").select("ga", block.alias("block"), "gb", "fa"), "near-asks")
+    tasks, passes = _dealing(asks, sizes)
     opened = []
-    for k in range(ASK_PASSES):
-        some = scratch(asks.filter(F.pmod(F.xxhash64("ga"), F.lit(ASK_PASSES)) == k), "near-asks")
+    for k in range(passes):
+        some = scratch(asks.filter(F.pmod(F.xxhash64("ga", "block"), F.lit(passes)) == k), "near-asks") if passes > 1 else asks
         asking = sets.join(small(some), "fa").select("ga", "block", F.lit(1).alias("side"), "gb", "fa", "tokens")
         none = F.lit(None).cast("long")
         asked = some.select("ga", "block").distinct().join(unions.withColumnRenamed("g", "ga"), "ga")
         dealt = asking.unionByName(asked.select("ga", "block", F.lit(0).alias("side"), none.alias("gb"), none.alias("fa"), "tokens"))
-        dealt = dealt.repartition(4 * parts, "ga", "block").sortWithinPartitions("ga", "block", "side")
+        dealt = dealt.repartition(tasks, "ga", "block").sortWithinPartitions("ga", "block", "side")
         opened.append(scratch(dealt.mapInArrow(lambda batches: _bound(batches, percent), "ga long, gb long, fa long"), "near-opened"))
         free_shuffles(asks.sparkSession)
     opened = scratch(reduce(DataFrame.unionByName, opened), "near-opened")
     theirs = opened.select("ga", "gb").distinct().join(members.select(F.col("g").alias("ga"), "fa"), "ga")
     work = opened.select("ga", "gb", F.lit(1).alias("side"), "fa").unionByName(theirs.select("ga", "gb", F.lit(0).alias("side"), "fa"))
-    return _links(work, sets, percent)
+    return _links(work, sets, sizes, percent)
 
 
 def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -363,10 +376,10 @@ def near_labels(docs: DataFrame, sketches: DataFrame, hits: DataFrame, group: in
         F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "mark")).alias("pick"), F.max("n").alias("n")
     )
     picked = scratch(picked, "near-picks")
-    sizes = picked.groupBy("home").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"))
+    homes = picked.groupBy("home").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"))
     parts = F.ceil(F.greatest(F.col("members") / group, F.col("tokens") / GROUP_TOKENS))
     members = scratch(
-        picked.join(sizes, "home").select("fa", F.xxhash64("home", F.pmod(F.xxhash64("fa"), parts)).alias("g")), "near-members"
+        picked.join(homes, "home").select("fa", F.xxhash64("home", F.pmod(F.xxhash64("fa"), parts)).alias("g")), "near-members"
     )
     rows = picked.select(F.col("pick.doc_id").alias("pick_doc"), F.col("pick.mark").alias("pick_mark")).distinct()
     rows = small(scratch(rows, "near-rows"))
@@ -377,22 +390,24 @@ def near_labels(docs: DataFrame, sketches: DataFrame, hits: DataFrame, group: in
         # Repeated rows bring equal sets.
         sets = scratch(sets.dropDuplicates(["fa"]), "near-sets")
 
+    sizes = picked.select("fa", "n")
     within = members.select(F.col("g").alias("ga"), F.col("g").alias("gb"), F.lit(0).alias("side"), "fa")
-    labels = _merge(members.select("fa", "g", F.col("fa").alias("label")), _links(within, sets, percent))
+    labels = _merge(members.select("fa", "g", F.col("fa").alias("label")), _links(within, sets, sizes, percent))
 
     met = scratch(hits.join(members, "fa").select("key", "fa", "g"), "near-met")
     spots = met.select("key", "g").distinct()
     centres = spots.groupBy("key").agg(F.min("g").alias("ga"))
     spokes = scratch(spots.join(centres, "key").filter("g <> ga").select("ga", F.col("g").alias("gb")).distinct(), "near-spokes")
     meeting = spokes.select(F.explode(F.array("ga", "gb")).alias("g")).distinct()
-    theirs = small(scratch(members.join(meeting, "g", "left_semi"), "near-meeting"))
-    dealt = sets.join(theirs, "fa").select("g", "tokens").repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "g")
+    theirs = scratch(members.join(meeting, "g", "left_semi"), "near-meeting")
+    tasks, _ = _dealing(theirs, sizes)
+    dealt = sets.join(small(theirs), "fa").select("g", "tokens").repartition(tasks, "g")
     unions = scratch(dealt.sortWithinPartitions("g").mapInArrow(_unite, "g long, tokens binary"), "near-unions")
     free_shuffles(spark)
     place = F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("fa"), "fa"))
     champions = members.withColumn("place", place).filter(F.col("place") <= CHAMPIONS).select("g", "fa")
     asks = spokes.join(champions.withColumnRenamed("g", "gb"), "gb").select("ga", "gb", "fa")
-    labels = _merge(labels, _ask(asks, champions, sets, unions, percent))
+    labels = _merge(labels, _ask(asks, champions, sets, sizes, unions, percent))
 
     sized = labels.join(labels.groupBy("label").agg(F.count("*").alias("size")), "label")
     ranked = met.join(sized.select("fa", F.struct("size", "label").alias("rank")), "fa")
@@ -406,7 +421,7 @@ def near_labels(docs: DataFrame, sketches: DataFrame, hits: DataFrame, group: in
     many = scratch(asks.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > group), "near-asked")
     block = F.when(F.col("n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("fa"), F.ceil(F.col("n") / group)))
     asks = asks.join(small(many), "h", "left").select(F.col("h").alias("ga"), F.xxhash64("h", block).alias("gb"), "fa")
-    return _merge(labels, _ask(asks, members, sets, unions, percent)).select("fa", "label")
+    return _merge(labels, _ask(asks, members, sets, sizes, unions, percent)).select("fa", "label")
 
 
 def _labelled(docs: DataFrame, group: int, size: int, percent: int) -> DataFrame:

@@ -61,3 +61,26 @@ def test_written_steps_bound_arrow_batches_by_bytes(spark):
         assert all(r["size"] <= common.BATCH_BYTES + 21_000_000 for r in found)
         assert sum(r["size"] > common.BATCH_BYTES + 10_000 for r in found) <= 1
     spark.conf.unset(name)
+
+
+def test_dealing_changes_no_component(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = []
+    for family in range(12):
+        words = [f"w{rng.randrange(500)}" for _ in range(120)]
+        for _ in range(5):
+            words = list(words)
+            words[rng.randrange(len(words))] = f"x{rng.randrange(500)}"
+            rows.append((len(rows), " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    deal = jaccard_groups._dealing
+    monkeypatch.setattr(jaccard_groups, "_dealing", lambda *a: seen.append(deal(*a)) or seen[-1])
+    found = []
+    for task_bytes in (1 << 20, 64):
+        monkeypatch.setattr(jaccard_groups, "TASK_BYTES", task_bytes)
+        found.append(sorted(map(tuple, jaccard_groups.near_components(docs, group=2, size=3, percent=80).collect())))
+    assert found[0] == found[1]
+    assert len({r[2] for r in found[0]}) < len(rows)
+    passes = {p for _, p in seen}
+    assert {1, jaccard_groups.ASK_PASSES} <= passes
