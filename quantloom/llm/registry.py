@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quantloom.llm import decontaminate, jaccard_groups, language_mix, licenses, mixing, quality_rules, rule_ensemble, secret_scan, suffix_dedup, token_align, url_filter
+from quantloom.llm import decontaminate, jaccard_groups, language_mix, licenses, mixing, quality_rules, ring_shards, rule_ensemble, secret_scan, suffix_dedup, token_align, url_filter
 
 
 def queries():
@@ -19,6 +19,7 @@ def queries():
         "op9_urls": url_filter.op9_urls,
         "op10_mix": mixing.op10_mix,
         "op12_align": token_align.op12_align,
+        "op13_shards": ring_shards.op13_shards,
         "pipeline": corpus_pipeline.run,
     }
 
