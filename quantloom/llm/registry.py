@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quantloom.llm import decontaminate, jaccard_groups, language_mix, licenses, mixing, quality_rules, ring_shards, rule_ensemble, secret_scan, suffix_dedup, token_align, url_filter
+from quantloom.llm import decontaminate, jaccard_groups, language_mix, licenses, max_sketch, mixing, quality_rules, ring_shards, rule_ensemble, secret_scan, suffix_dedup, token_align, url_filter
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op8_secrets": secret_scan.op8_secrets,
         "op9_urls": url_filter.op9_urls,
         "op10_mix": mixing.op10_mix,
+        "op11_search": max_sketch.op11_search,
         "op12_align": token_align.op12_align,
         "op13_shards": ring_shards.op13_shards,
         "pipeline": corpus_pipeline.run,
@@ -30,4 +31,5 @@ def oracle_sql():
         "op5_near": jaccard_groups.OP5_SQL,
         "op9_urls": url_filter.OP9_SQL,
         "op10_mix": mixing.OP10_SQL,
+        "op11_search": max_sketch.OP11_SQL,
     }
