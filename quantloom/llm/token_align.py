@@ -33,6 +33,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,7 @@ LOOKUP_PAIRS = 1_000_000
 #: A single space between characters that are no white space.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 _FALLBACK = re.compile(r"<0x([0-9A-F]{2})>")
+_MARKS = (",", "|", ",", ";", "\n")
 _OPEN: dict[str, Aligner] = {}
 
 
@@ -83,7 +85,9 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=os.path.join(folder, FILE_B))
         byte = byte_alphabet()
-        self.bytes_a = {i: bytes(byte[c] for c in entry) for entry, i in self.a.get_vocab().items() if all(c in byte for c in entry)}
+        self.bytes_a = [b""] * self.a.get_vocab_size()
+        for entry, i in self.a.get_vocab().items():
+            self.bytes_a[i] = bytes(byte[c] for c in entry) if all(c in byte for c in entry) else b""
         self.bytes_b = []
         for i in range(len(self.b)):
             piece = self.b.id_to_piece(i)
@@ -91,6 +95,9 @@ class Aligner:
                 raise ValueError(f"{FILE_B}: piece {i} goes on behind a space, so texts cannot be cut there")
             code = _FALLBACK.fullmatch(piece)
             self.bytes_b.append(bytes([int(code[1], 16)]) if code else piece.replace("▁", " ").encode())
+        self.size_a, self.size_b = (np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b))
+        # An id as text before each mark that may follow it: within A, after A, within B, after a group, after a stretch.
+        self.names = [f"{i}{mark}" for i in range(max(len(self.bytes_a), len(self.bytes_b))) for mark in _MARKS]
         self.forget()
 
     def forget(self) -> None:
@@ -100,23 +107,24 @@ class Aligner:
         self.text: list[bytes | None] = []
         self.counts = np.zeros((0, 4), np.int64)
         self.at = np.zeros(1, np.int64)
-        self.pairs = self.times = np.zeros(0, np.int64)
+        self.pairs = np.zeros(0, np.int64)
 
     def encode(self, text: str) -> tuple[list[int], np.ndarray, list[int], np.ndarray] | None:
         """Ids and ends (bytes of space and text) of A and of B; None where a tokenizer's bytes differ from the text's."""
         raw = f" {text}".encode()
         a, b = self.a.encode(f" {text}", add_special_tokens=False), self.b.encode(text, return_type="proto")
-        ids_a, ids_b = a.ids, [p.id for p in b.pieces]
-        tokens_a, tokens_b = [self.bytes_a.get(i, b"") for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        if b"".join(tokens_a) != raw or b"".join(tokens_b) != raw:
+        ids_a, spans_b = a.ids, np.fromiter(chain.from_iterable([(p.id, p.begin, p.end) for p in b.pieces]), np.int64).reshape(-1, 3)
+        ids_b = spans_b[:, 0].tolist()
+        if b"".join([self.bytes_a[i] for i in ids_a]) != raw or b"".join([self.bytes_b[i] for i in ids_b]) != raw:
             return None
-        char = np.append(np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80), len(raw))
-        coarse_a = char[np.array(a.offsets, np.int64).reshape(-1, 2)]
+        coarse_a = np.fromiter(chain.from_iterable(a.offsets), np.int64).reshape(-1, 2)
+        if len(raw) != len(text) + 1:
+            char = np.append(np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80), len(raw))
+            coarse_a = char[coarse_a]
         # The space before the text is not in B's spans; it belongs to the first piece.
-        coarse_b = np.array([(p.begin, p.end) for p in b.pieces], np.int64).reshape(-1, 2) + 1
+        coarse_b = spans_b[:, 1:] + 1
         coarse_b[:1, 0] = 0
-        size_a, size_b = (np.array([len(t) for t in tokens], np.int64) for tokens in (tokens_a, tokens_b))
-        return ids_a, refined(*coarse_a.T, size_a), ids_b, refined(*coarse_b.T, size_b)
+        return ids_a, refined(*coarse_a.T, self.size_a[np.array(ids_a)]), ids_b, refined(*coarse_b.T, self.size_b[spans_b[:, 0]])
 
     def _learn(self, fresh: list[str]) -> list[tuple]:
         """Alignments of stretches, encoded together; halves where bytes differ or a cut is not one of the tokens."""
@@ -124,9 +132,12 @@ class Aligner:
         ends = np.cumsum([len(s.encode()) + 1 for s in fresh])
         if found is not None:
             ids_a, ends_a, ids_b, ends_b = found
-            both = np.intersect1d(ends_a, ends_b, assume_unique=True)
-            if np.isin(ends, both).all():
-                return [(fresh, ends, both, *found)]
+            # How many tokens end at each byte.
+            seen = np.zeros(int(ends[-1]) + 1, np.int8)
+            seen[ends_a] += 1
+            seen[ends_b] += 1
+            if (seen[ends] == 2).all():
+                return [(fresh, ends, seen, *found)]
         if len(fresh) == 1:
             return [(fresh, ends, None, None, None, None, None)]
         half = len(fresh) // 2
@@ -135,37 +146,36 @@ class Aligner:
     def learn(self, stretches: list[str]) -> None:
         """Align the stretches that are not known yet."""
         fresh = [s for s in dict.fromkeys(stretches) if s not in self.number]
-        for stretch in [s for s in fresh if "▁" in s]:
+        if "▁" in "".join(fresh):
             # B writes it as a space.
-            self.number[stretch] = -1
-        fresh = [s for s in fresh if s not in self.number]
-        counts, sizes, pairs, times = [self.counts], [np.diff(self.at)], [self.pairs], [self.times]
-        for some, ends, both, ids_a, ends_a, ids_b, ends_b in self._learn(fresh) if fresh else []:
+            self.number.update((s, -1) for s in fresh if "▁" in s)
+            fresh = [s for s in fresh if "▁" not in s]
+        counts, sizes, pairs = [self.counts], [np.diff(self.at)], [self.pairs]
+        for some, ends, seen, ids_a, ends_a, ids_b, ends_b in self._learn(fresh) if fresh else []:
             n = len(some)
             self.number.update(zip(some, range(len(self.text), len(self.text) + n), strict=True))
             self.held += int(ends[-1])
-            if both is None:
+            if seen is None:
                 self.text.append(None)
                 counts.append(np.zeros((1, 4), np.int64))
                 sizes.append(np.zeros(1, np.int64))
                 continue
+            both = np.flatnonzero(seen == 2)
             # Every end of a token closes an interval that one token of A and one of B cover: a link.
-            closed = np.union1d(ends_a, ends_b)
-            code = (np.array(ids_a, np.int64)[np.searchsorted(ends_a, closed)] << 32) | np.array(ids_b, np.int64)[np.searchsorted(ends_b, closed)]
+            closed = np.flatnonzero(seen)
             owner = np.searchsorted(ends, closed)
-            order = np.lexsort((code, owner))
-            code, owner = code[order], owner[order]
-            first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])]))
-            pairs.append(code[first])
-            times.append(np.diff(np.append(first, len(code))))
-            sizes.append(np.bincount(owner[first], minlength=n))
-            counts.append(np.stack([np.bincount(np.searchsorted(ends, e), minlength=n) for e in (ends_a, ends_b, both, closed)], axis=1))
-            name_a, name_b = [str(i) for i in ids_a], [str(i) for i in ids_b]
-            to_a, to_b = ((np.searchsorted(e, both) + 1).tolist() for e in (ends_a, ends_b))
-            text = [",".join(name_a[p:q]) + "|" + ",".join(name_b[r:s]) for p, q, r, s in zip([0, *to_a], to_a, [0, *to_b], to_b)]
-            last = [0, *(np.searchsorted(both, ends) + 1).tolist()]
-            self.text += [";".join(text[p:q]).encode() for p, q in zip(last, last[1:])]
-        self.counts, self.pairs, self.times = np.concatenate(counts), np.concatenate(pairs), np.concatenate(times)
+            pairs.append((np.array(ids_a, np.int64)[np.searchsorted(ends_a, closed)] << 32) | np.array(ids_b, np.int64)[np.searchsorted(ends_b, closed)])
+            sizes.append(np.bincount(owner, minlength=n))
+            counts.append(np.stack([np.bincount(np.searchsorted(ends, e), minlength=n) for e in (ends_a, ends_b, both)] + [sizes[-1]], axis=1))
+            group_a, group_b = np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)
+            mark_a = (ends_a == both[group_a]).astype(np.int64)
+            last = np.zeros(len(seen), bool)
+            last[ends] = True
+            mark_b = 2 + (ends_b == both[group_b]) + last[ends_b]
+            marked = np.concatenate([np.array(ids_a) * len(_MARKS) + mark_a, np.array(ids_b) * len(_MARKS) + mark_b])
+            order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+            self.text += "".join([self.names[k] for k in marked[order].tolist()]).encode().split(b"\n")[:-1]
+        self.counts, self.pairs = np.concatenate(counts), np.concatenate(pairs)
         self.at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
     def parts(self, text: str) -> Iterator[list[str]]:
@@ -198,10 +208,10 @@ class Aligner:
         for stretches in parts:
             if prepare:
                 self.prepare(stretches)
-            numbers = [self.number[s] for s in stretches]
+            numbers = list(map(self.number.__getitem__, stretches))
             if min(numbers) < 0:
                 return none
-            text = [self.text[k] for k in numbers]
+            text = list(map(self.text.__getitem__, numbers))
             if None in text:
                 return none
             sha.update((b";" if any_part else b"") + b";".join(text))
@@ -211,7 +221,7 @@ class Aligner:
             size = self.at[distinct + 1] - self.at[distinct]
             place = np.repeat(self.at[distinct] - np.cumsum(size) + size, size) + np.arange(size.sum())
             codes, inverse = np.unique(np.concatenate([pairs, self.pairs[place]]), return_inverse=True)
-            times = np.bincount(inverse, np.concatenate([times, self.times[place] * np.repeat(often, size)]), len(codes)).astype(np.int64)
+            times = np.bincount(inverse, np.concatenate([times, np.repeat(often, size)]), len(codes)).astype(np.int64)
             pairs = codes
         return (sums.tolist(), sha.hexdigest(), pairs, times) if any_part else none
 
