@@ -116,10 +116,14 @@ def filled_forward(calendar: DataFrame, series: DataFrame, on: str = "date", key
     return asof_join(exact.select(*[c for c in exact.columns if c not in values]).distinct(), known, on, keys, values, skip_null=True, span=span)
 
 
-def daily_risk_free(yields: DataFrame, rate: str, calendar: DataFrame, periods: int = 252) -> DataFrame:
-    """date, risk_free_rate: an annual percentage as a compounding daily rate, carried along the calendar."""
-    daily = F.pow(1 + F.col(rate) / 100.0, F.lit(1.0 / periods)) - 1
-    return filled_forward(calendar.select("date").distinct(), yields.select("date", daily.alias("risk_free_rate")))
+def daily_risk_free(yields: DataFrame, rate: str, calendar: DataFrame, periods: int = 252, outside: bool = False) -> DataFrame:
+    """date, risk_free_rate: an annual percentage as a compounding daily rate, carried along the calendar.
+
+    With ``outside`` yields on dates that the calendar lacks count as well.
+    """
+    daily = yields.select("date", (F.pow(1 + F.col(rate) / 100.0, F.lit(1.0 / periods)) - 1).alias("risk_free_rate"))
+    dates = calendar.select("date").distinct()
+    return asof_join(dates, daily, skip_null=True, span="year") if outside else filled_forward(dates, daily)
 
 
 def dated_allocations(allocations: DataFrame, rebalances: DataFrame, sleeves: Sequence[str], tolerance: float = 1e-12) -> DataFrame:

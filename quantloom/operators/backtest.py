@@ -12,12 +12,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.stats import TOLERANCE
 from quantloom.functions.windows import before, carried, ordered, upto
 from quantloom.operators import metrics
+from quantloom.operators.constraints import at_least, enforce, finite, once_in_order, present
 from quantloom.operators.portfolio import usable_dates
 from quantloom.operators.validation import in_periods
 
@@ -43,8 +44,25 @@ def _segments(dates: DataFrame, targets: DataFrame, keys: Sequence[str]) -> Data
     )
 
 
+def _sound(column: str) -> Column:
+    return finite(column) & at_least(column, -1.0)
+
+
+def _checked_targets(targets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    own = [*keys, "date", "ticker"]
+    return enforce(targets, {"a key is missing": present(*own), "a weight is missing or not finite": finite("weight", False)}, "targets", own)
+
+
 def drifted_weights(returns: DataFrame, targets: DataFrame, return_column: str, keys: Sequence[str] = ()) -> DataFrame:
-    """date, ticker, weight, pre_trade_weight, trade, asset_return of every held or traded name."""
+    """date, ticker, weight, pre_trade_weight, trade, asset_return of every held or traded name.
+
+    Weights that are missing or not finite, returns under -1, repeated keys on
+    either side and a book that is worth nothing stop the job.
+    """
+    return _drifted(returns, _checked_targets(targets, keys), return_column, keys)
+
+
+def _drifted(returns: DataFrame, targets: DataFrame, return_column: str, keys: Sequence[str]) -> DataFrame:
     dates = usable_dates(returns, return_column)
     marked = _segments(dates, targets, keys)
     spans = marked.filter("seg is not null").select(*keys, "date", "seg", F.lit(False).alias("closing")).unionByName(
@@ -54,12 +72,16 @@ def drifted_weights(returns: DataFrame, targets: DataFrame, return_column: str,
     dense = held.join(spans, [*keys, "seg"]).join(
         returns.select("date", "ticker", F.col(return_column).cast("double").alias("asset_return")), ["date", "ticker"], "left"
     )
-    path = before(ordered((*keys, "seg", "ticker")))
+    own = (*keys, "seg", "ticker")
+    sound = {"a return is under -1 or not finite": _sound("asset_return"), "a target or a return occurs twice": F.col("_once")}
+    dense = enforce(dense.withColumn("_once", once_in_order(own)), sound, "holdings", [*keys, "ticker", "date"]).drop("_once")
+    path = before(ordered(own))
     growth = F.coalesce(F.product(1 + F.coalesce("asset_return", F.lit(0.0))).over(path), F.lit(1.0))
     by = Window.partitionBy(*keys, "seg", "date", "closing")
     grown = dense.withColumn("value", F.col("w0") * growth)
     nav = 1 - F.sum("w0").over(by) + F.sum("value").over(by)
-    weighed = grown.withColumn("w", F.col("value") / nav)
+    valued = enforce(grown.withColumn("_nav", nav), {"net asset value is not positive": F.col("_nav") > 0}, "holdings", [*keys, "date"])
+    weighed = valued.withColumn("w", F.col("value") / F.col("_nav"))
     # A closing row is the weight before the trade of the next rebalance.
     return (
         weighed.withColumn("_rebalance", F.col("closing") | (F.col("date") == F.col("seg")))
@@ -80,7 +102,8 @@ def target_weight_backtest(
     returns: DataFrame, targets: DataFrame, return_column: str, cost_bps: float = 10.0, keys: Sequence[str] = ()
 ) -> DataFrame:
     """Daily results per key: leg returns, turnover, costs, exposures and running wealth."""
-    holdings = drifted_weights(returns, targets, return_column, keys)
+    targets = _checked_targets(targets, keys)
+    holdings = _drifted(returns, targets, return_column, keys)
     return daily_results(holdings, returns, targets, return_column, cost_bps, keys)
 
 
@@ -132,8 +155,11 @@ def long_short_backtest(
     """Constant weights between rebalances; turnover is against the previous target.
 
     With ``beta_column`` and ``market`` (date, market_return) the book's beta at
-    each rebalance is hedged with the market, at its own cost.
+    each rebalance is hedged with the market, at its own cost.  Weights that are
+    missing or not finite and returns under -1 stop the job.
     """
+    targets = _checked_targets(targets, keys)
+    panel = enforce(panel, {"a return is under -1 or not finite": _sound(return_column)}, "panel", ["date", "ticker"])
     dates = usable_dates(panel, return_column)
     marked = _segments(dates, targets, keys)
     held = targets.select(*keys, F.col("date").alias("seg"), "ticker", "weight")

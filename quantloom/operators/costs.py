@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quantloom.functions import stats
 from quantloom.functions.stats import PERIODS, TOLERANCE
 from quantloom.functions.windows import frame, ordered
+from quantloom.operators.constraints import at_least, enforce, finite
 from quantloom.operators.contracts import require_rate
 
 
@@ -19,8 +20,10 @@ def linear_cost(turnover: Column | str, bps: float) -> Column:
 
 
 def apply_linear_cost(daily: DataFrame, bps: float) -> DataFrame:
+    """Cost and net return; turnover that is missing, negative or not finite stops the job."""
     cost = linear_cost("turnover", bps)
-    return daily.withColumn("transaction_cost", cost).withColumn("net_return", F.col("gross_return") - F.col("transaction_cost"))
+    sound = finite("turnover", False) & at_least("turnover", 0.0)
+    return enforce(daily, {"turnover is missing, negative or not finite": sound}, "daily").withColumn("transaction_cost", cost).withColumn("net_return", F.col("gross_return") - F.col("transaction_cost"))
 
 
 def top_n_turnover_share(n: int, turnover: str = "turnover", tolerance: float = TOLERANCE) -> Column:

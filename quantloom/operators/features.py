@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.stats import PERIODS, TOLERANCE
 from quantloom.functions.windows import change, frame, lag, ordered, rolling
+from quantloom.operators.constraints import unique_rows
 
 TICKER = ("ticker",)
 
 
 def return_features(prices: DataFrame) -> DataFrame:
-    """ret_1d/5d/21d, forward_ret_1d/5d, dollar_volume and its log, by row lags."""
+    """ret_1d/5d/21d, forward_ret_1d/5d, dollar_volume and its log, by row lags; a repeated or missing key stops the job."""
+    prices = unique_rows(prices, TICKER, name="prices")
     spec = ordered(TICKER)
     out = prices.withColumns(
         {f"ret_{n}d": change("adj_close", n, TICKER) for n in (1, 5, 21)}
@@ -26,7 +28,8 @@ def return_features(prices: DataFrame) -> DataFrame:
 
 
 def prepare_ohlcv(prices: DataFrame) -> DataFrame:
-    """ret_1d, prev_close and open_gap for quality checks."""
+    """ret_1d, prev_close and open_gap for quality checks; a repeated or missing key stops the job."""
+    prices = unique_rows(prices, TICKER, name="prices")
     out = prices.withColumns({"ret_1d": change("adj_close", 1, TICKER), "prev_close": lag("close", 1, TICKER)})
     return out.withColumn("open_gap", F.try_divide(F.col("open"), F.col("prev_close")) - 1) if "open" in prices.columns else out
 

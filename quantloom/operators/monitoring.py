@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quantloom.functions import stats
 from quantloom.functions.stats import PERIODS, TOLERANCE
 from quantloom.functions.windows import frame, ordered, rolling
+from quantloom.operators.constraints import enforce, one_of, present
 from quantloom.operators.costs import add_lagged_dollar_volume, trade_capacity
 from quantloom.operators.metrics import rolling_return_state
 
@@ -211,8 +212,19 @@ def signal_flags(health: DataFrame, least: int = 30, window: int = 252) -> DataF
     return coverage.unionByName(predictive)
 
 
+def checked_flags(flags: DataFrame) -> DataFrame:
+    """``flags``; a label that is missing or not one of the fixed ones stops the job."""
+    rules = {
+        "an entity or a diagnostic is missing": present("entity_type", "entity", "diagnostic"),
+        "no such status": one_of("status", list(SEVERITY)),
+        "no such category": one_of("category", CATEGORIES),
+    }
+    return enforce(flags, rules, "flags", ["entity_type", "entity", "category", "diagnostic", "status"])
+
+
 def summarise_flags(flags: DataFrame) -> DataFrame:
     """Counts per status and the worst status of every entity."""
+    flags = checked_flags(flags)
     level = status_severity(F.col("status"))
     names = F.array(*[F.lit(k) for k in SEVERITY])
     return flags.groupBy("entity_type", "entity").agg(
@@ -241,5 +253,5 @@ def overview(flags: DataFrame) -> DataFrame:
 
 def active_flags(flags: DataFrame) -> DataFrame:
     """Flags that do not pass, the most severe first."""
-    staged = flags.filter("status <> 'PASS'").withColumn("status_severity", status_severity(F.col("status")))
+    staged = checked_flags(flags).filter("status <> 'PASS'").withColumn("status_severity", status_severity(F.col("status")))
     return staged.orderBy(F.desc("status_severity"), *KEY)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.stats import PERIODS, TOLERANCE
 from quantloom.functions.windows import frame, ordered
+from quantloom.operators.constraints import enforce, finite
 from quantloom.operators.cross_section import add_quantiles
 from quantloom.operators.validation import date_index
 
@@ -63,9 +64,10 @@ def combine_sleeves(sleeves: Mapping[str, DataFrame], allocations: Mapping[str,
 
 
 def combine_dated_sleeves(sleeves: Mapping[str, DataFrame], allocations: DataFrame) -> DataFrame:
-    """The same with allocations (date, sleeve, allocation) that change."""
+    """The same with allocations (date, sleeve, allocation) that change; a date without one stops the job."""
     parts = [df.select("date", "ticker", "weight", F.lit(k).alias("sleeve")) for k, df in sleeves.items()]
-    rows = reduce(DataFrame.unionByName, parts).join(allocations, ["date", "sleeve"])
+    rows = reduce(DataFrame.unionByName, parts).join(allocations.select("date", "sleeve", "allocation"), ["date", "sleeve"], "left")
+    rows = enforce(rows, {"an allocation is missing or not finite": finite("allocation", False)}, "allocations", ["date", "sleeve"])
     return rows.groupBy("date", "ticker").agg(F.sum(F.col("weight") * F.col("allocation")).alias("weight"))
 
 

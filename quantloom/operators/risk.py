@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quantloom.functions import stats
 from quantloom.functions.stats import PERIODS, TOLERANCE
 from quantloom.functions.windows import frame, ordered
+from quantloom.operators.constraints import enforce, one_label
 from quantloom.operators.metrics import concentration
 
 STREAMS = {"gross": "gross_return", "net": "net_return", "long": "long_return", "short": "short_return"}
@@ -206,11 +207,25 @@ def position_concentration(holdings: DataFrame, keys: Sequence[str] = ("portfoli
 
 
 def sector_concentration(holdings: DataFrame, sectors: DataFrame, keys: Sequence[str] = ("portfolio",)) -> DataFrame:
-    """Concentration of gross sector exposure and the largest absolute net one; rows without a sector do not count."""
-    known = holdings.join(sectors.select("ticker", "sector"), "ticker").filter("sector is not null")
+    """Concentration of gross sector exposure and the largest absolute net one.
+
+    A ticker with two sectors, and a name held without one, stop the job.
+    """
+    labels = one_label(sectors, "ticker", "sector", "sectors")
+    known = enforce(
+        holdings.join(labels, "ticker", "left"),
+        {"a held name has no sector": (F.col("weight") == 0) | F.col("sector").isNotNull()},
+        "holdings",
+        [*keys, "date", "ticker"],
+    )
+    w = F.col("weight")
+    exposure = (
+        known.filter("sector is not null")
+        .groupBy(*keys, "date", "sector")
+        .agg(F.sum(w).alias("net_exposure"), F.sum(F.abs(w)).alias("gross_exposure"))
+    )
     return (
-        sector_exposure(known.drop("sector"), sectors, keys)
-        .groupBy(*keys, "date")
+        exposure.groupBy(*keys, "date")
         .agg(
             *concentration("gross_exposure", "gross_sector"),
             F.max(F.abs("net_exposure")).alias("largest_absolute_sector_net_exposure"),

@@ -348,13 +348,19 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.summarise_ic(validation.daily_ic(_processed(spark, sf_dir), "mom_12_1m_z", "forward_ret_5d", least=4))
 
 
+#: Modules that register more queries.
+_MORE = ("quantloom.plans.further", "quantloom.plans.research")
+
+
 def queries():
-    importlib.import_module("quantloom.plans.further")
+    for module in _MORE:
+        importlib.import_module(module)
     return dict(_QUERIES)
 
 
 def oracle_sql():
-    importlib.import_module("quantloom.plans.further")
+    for module in _MORE:
+        importlib.import_module(module)
     return dict(_SQL)
 
 
