@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quantloom.operators import alignment, attribution, beta_books, grid, linear, portfolio, reconcile, risk, stress
+from quantloom.operators import alignment, attribution, beta_books, costs, evidence, grid, linear, portfolio, reconcile, risk, stress
 from quantloom.operators.contracts import Contract
 from quantloom.plans import further
 from quantloom.plans import registry as base
-from quantloom.plans.registry import CTES, _return_summary, entry, r, rs
+from quantloom.plans.registry import CTES, _return_summary, _roll, entry, r, rs
 from quantloom.sources import loader
 from quantloom.sources import panel as sources
 from quantloom.sources.shared import once
@@ -464,3 +464,100 @@ def _(spark, d):
     proxies = {("tables", "customer"): ("tables", "orders")}
     bundle = loader.load_groups(spark, groups, _AS_OF, 500, proxies, strict=False)
     return bundle.status.select("group", "dataset", "loaded", "artifact_valid", "group_valid", "rows", "start_date", "end_date", "freshness_reference_date", "status")
+
+
+# --- evidence on candidates -------------------------------------------------------------------------
+
+CTES["spans"] = ("", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', DATE '{a}', DATE '{b}')" for k, (a, b) in base.PERIODS.items()) + ") AS t(subperiod, first, last)")
+
+
+@entry(
+    "capacity_by_subperiod",
+    f"SELECT portfolio, rebalance_frequency, rebalance_offset, {rs('participation_limit')}, subperiod, count(*) AS rebalance_observations, {r('quantile_cont(capacity_usd, 0.05)', 'fifth_percentile_capacity_usd')}, {r('quantile_cont(capacity_usd, 0.1)', 'tenth_percentile_capacity_usd')}, "
+    f"{r('quantile_cont(capacity_usd, 0.5)', 'median_capacity_usd')}, {r('min(capacity_usd)', 'minimum_capacity_usd')} FROM capacity t JOIN spans ON date BETWEEN first AND last GROUP BY portfolio, rebalance_frequency, rebalance_offset, t.participation_limit, subperiod",
+    "capacity spans",
+)
+def _(spark, d):
+    return evidence.capacity_by_subperiod(costs.daily_capacity(base._trades(spark, d)), base.PERIODS)
+
+
+_R63 = "(PARTITION BY portfolio ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)"
+CTES["growth63"] = (
+    "daily",
+    f"SELECT portfolio, date, CASE WHEN count(l) OVER {_R63} >= 63 THEN exp(sum(l) OVER {_R63} * 4) - 1 END AS g, CASE WHEN count(net_return) OVER {_R63} >= 63 THEN stddev_samp(net_return) OVER {_R63} * sqrt(252) END AS v FROM (SELECT *, CASE WHEN net_return > -1 THEN ln(1 + net_return) END AS l FROM daily)",
+)
+
+
+@entry("rolling_growth", f"SELECT portfolio, date, {r('g', 'annualised_return_63')}, {r('v', 'annualised_volatility_63')}, {r('CASE WHEN v > 0 THEN g / v END', 'growth_ratio_63')} FROM growth63", "growth63")
+def _(spark, d):
+    rows = base._daily(spark, d).select("portfolio", "date", "net_return")
+    return evidence.rolling_growth(rows, "net_return", ("portfolio",), 63).drop("net_return")
+
+
+CTES["chosen"] = ("gsum", "SELECT * FROM gsum WHERE (book = 'Momentum' AND frequency = 21) OR (book = 'Volatility' AND frequency = 10)")
+_CHOSEN = {book: frequency for book, (_, frequency) in base.BOOKS.items()}
+
+
+@entry("chosen_schedules", f"SELECT {_G}, {rs('cost_bps')}, {', '.join(r(m, m) for m in _ACROSS)} FROM chosen", "chosen")
+def _(spark, d):
+    return evidence.chosen_schedules(_grid(spark, d), _CHOSEN, "book").select(*grid.VARIANT, "cost_bps", *_ACROSS)
+
+
+@entry(
+    "candidate_scorecard",
+    "SELECT book, " + ", ".join(r(f"max({m}) FILTER (WHERE \"offset\" = 0)", m) for m in _ACROSS) + ", count(*) AS offsets, "
+    + ", ".join(r(f"{f}({m})", f"{n}_{m}") for m in _ACROSS for f, n in (("avg", "mean"), ("min", "min"), ("max", "max"), ("stddev_samp", "std")))
+    + ", " + r("max(annualised_return) FILTER (WHERE \"offset\" = 0) - avg(annualised_return)", "headline_minus_mean_return") + " FROM chosen WHERE cost_bps = 10 GROUP BY book",
+    "chosen",
+)
+def _(spark, d):
+    rows = evidence.chosen_schedules(_grid(spark, d), _CHOSEN, "book").filter("cost_bps = 10")
+    headline = rows.filter("offset = 0").select("book", *_ACROSS)
+    across = grid.across_offsets(rows, _ACROSS).drop("frequency", "cost_bps")
+    return evidence.scorecard(headline, across, ("book",))
+
+
+def _processed_sql(source: str, raw: str, prefix: str) -> str:
+    wins = f"SELECT s.*, CASE WHEN {raw} IS NOT NULL THEN least(greatest({raw}, lo), hi) END AS {prefix}_w FROM {source} s JOIN (SELECT date, quantile_cont({raw}, 0.01) AS lo, quantile_cont({raw}, 0.99) AS hi FROM {source} GROUP BY date) USING (date)"
+    return f"SELECT *, CASE WHEN stddev_pop({prefix}_w) OVER q > 0 THEN ({prefix}_w - avg({prefix}_w) OVER q) / stddev_pop({prefix}_w) OVER q END AS {prefix}_z FROM ({wins}) WINDOW q AS (PARTITION BY date)"
+
+
+CTES["abnormal"] = ("proc", f"SELECT date, ticker, mom_12_1m_z, lv - {_roll('avg({})', 'lv', 21, 21, 1)} AS raw FROM (SELECT *, CASE WHEN dollar_volume > 0 THEN ln(dollar_volume) END AS lv FROM proc)")
+CTES["abnormal_z"] = ("abnormal", _processed_sql("abnormal", "raw", "a"))
+CTES["crossed"] = ("abnormal_z", "SELECT date, ticker, mom_12_1m_z * a_z AS x FROM abnormal_z")
+CTES["crossed_z"] = ("crossed", _processed_sql("crossed", "x", "i"))
+
+
+@entry("volume_momentum", f"SELECT date, ticker, {r('x', 'volume_momentum_raw')}, {r('i_z', 'volume_momentum_z')} FROM crossed_z", "crossed_z")
+def _(spark, d):
+    return evidence.volume_momentum(base._processed(spark, d)).select("date", "ticker", "volume_momentum_raw", "volume_momentum_z")
+
+
+@entry("return_series", f"SELECT date, 'Book' AS series, {r('net_return', 'value')} FROM daily WHERE portfolio = 'Momentum' UNION ALL SELECT d.date, 'Market', {r('m.market_return', 'value')} FROM daily d LEFT JOIN forward_market m ON m.date = d.date WHERE portfolio = 'Momentum'", "daily forward_market")
+def _(spark, d):
+    rows = base._daily(spark, d).filter("portfolio = 'Momentum'").select("date", "net_return").join(base._market(spark, d, True), "date", "left")
+    return evidence.long_series(rows, {"Book": "net_return", "Market": "market_return"})
+
+
+@entry(
+    "risk_snapshot",
+    f"SELECT portfolio, date AS latest_date, {r('mb', 'holdings_market_beta')}, {r('gc', 'effective_gross_position_count')} FROM (SELECT portfolio, date, sum(market_beta_contribution) AS mb, pow(sum(a), 2) / sum(a * a) AS gc FROM (SELECT *, CASE WHEN abs(weight) > 1e-12 THEN abs(weight) END AS a FROM detail) GROUP BY portfolio, date) QUALIFY row_number() OVER (PARTITION BY portfolio ORDER BY date DESC) = 1",
+    "detail",
+)
+def _(spark, d):
+    beta = risk.holdings_beta_state(base._beta_detail(spark, d)).select("portfolio", "date", "holdings_market_beta")
+    spread = risk.position_concentration(base._holdings(spark, d)).select("portfolio", "date", "effective_gross_position_count")
+    return evidence.risk_snapshot(beta, spread)
+
+
+@entry(
+    "risk_free_on_calendar",
+    "SELECT date, round(1e6 * last_value(rate IGNORE NULLS) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING), 6) + CAST(0 AS DOUBLE) AS rate_ppm FROM dates LEFT JOIN (SELECT CAST(l_shipdate AS DATE) AS date, pow(1 + round(100 * avg(l_discount), 6) / 100.0::DOUBLE, 1.0::DOUBLE / 252) - 1 AS rate FROM lineitem GROUP BY 1 HAVING count(*) >= 25) USING (date)",
+    "dates",
+)
+def _(spark, d):
+    """Yields of single days with enough lines; days outside the weekly calendar count for nothing."""
+    lines = sources.table(spark, d, "lineitem").groupBy(F.col("l_shipdate").cast("date").alias("date"))
+    yields = lines.agg(F.round(100 * F.avg("l_discount"), 6).alias("irx"), F.count("*").alias("n")).filter("n >= 25").drop("n")
+    dates = portfolio.usable_dates(base._returns(spark, d), "forward_ret_1d")
+    return alignment.daily_risk_free(yields, "irx", dates).select("date", (F.col("risk_free_rate") * 1e6).alias("rate_ppm"))
