@@ -28,8 +28,7 @@ def return_features(prices: DataFrame) -> DataFrame:
 
 
 def prepare_ohlcv(prices: DataFrame) -> DataFrame:
-    """ret_1d, prev_close and open_gap for quality checks; a repeated or missing key stops the job."""
-    prices = unique_rows(prices, TICKER, name="prices")
+    """ret_1d, prev_close and open_gap for quality checks, also of prices that break their contract."""
     out = prices.withColumns({"ret_1d": change("adj_close", 1, TICKER), "prev_close": lag("close", 1, TICKER)})
     return out.withColumn("open_gap", F.try_divide(F.col("open"), F.col("prev_close")) - 1) if "open" in prices.columns else out
 

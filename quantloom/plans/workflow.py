@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quantloom.operators import attribution, backtest, cross_section, features, monitoring, portfolio, risk, validation
 from quantloom.operators.contracts import largest_differences, require_unique, same_keys
+from quantloom.operators.reconcile import require_equal
 from quantloom.sources.shared import kept
 
 #: Fixed raw factor -> prefix of the factor panel.
@@ -48,6 +49,11 @@ def strategies_frame(spark) -> DataFrame:
     return spark.createDataFrame(rows, "portfolio string, allocation string, rebalance_frequency int, rebalance_offset int, role string")
 
 
+def require_frozen(strategies: DataFrame) -> None:
+    """Raise with the first difference if the given strategies are not the fixed ones."""
+    require_equal(strategies_frame(strategies.sparkSession), strategies, ["portfolio"], "strategies")
+
+
 def processed_panel(prices: DataFrame, universe: DataFrame) -> DataFrame:
     """Returns with the universe's name and sector; tickers outside it keep nulls."""
     meta = universe.select("ticker", *[c for c in ("name", "sector") if c in universe.columns])
@@ -156,11 +162,11 @@ def monitoring_datasets(panel: DataFrame, benchmark: DataFrame, sectors: DataFra
     }
 
 
-def complete_refresh(prices: DataFrame, benchmark: DataFrame, universe: DataFrame) -> dict[str, DataFrame]:
-    """Everything from prices to the overview."""
+def complete_refresh(prices: DataFrame, benchmark: DataFrame, universe: DataFrame, least: int = 30) -> dict[str, DataFrame]:
+    """Everything from prices to the overview; dates with fewer than ``least`` scores have no book."""
     panel = kept(factor_panel(processed_panel(prices, universe), benchmark))
-    targets = strategy_targets(panel)
-    data = attribution_datasets(panel, targets)
+    targets = strategy_targets(panel, least=least)
+    data = {"target_weights": targets} | attribution_datasets(panel, targets)
     return data | monitoring_datasets(panel, benchmark, universe, data)
 
 
