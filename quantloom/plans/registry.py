@@ -895,13 +895,27 @@ def _(spark, d):
     return _security(spark, d).select("portfolio", "date", "ticker", *_CONTRIB)
 
 
+#: Audited column -> the securities' column that sums to it.
+_AUDITED = {
+    "long_return": "long_return_contribution",
+    "short_return": "short_return_contribution",
+    "gross_return": "gross_return_contribution",
+    "turnover": "absolute_trade_weight",
+    "transaction_cost": "transaction_cost_contribution",
+    "net_return": "net_return_contribution",
+    "missing_return_weight": "missing_return_weight_contribution",
+}
+
+
 @entry(
     "attribution_reconcile",
-    "SELECT portfolio, count(*) AS days, CAST(0 AS BIGINT) AS unmatched_days, true AS passes FROM daily WHERE gross_exposure > 0 OR turnover > 0 GROUP BY portfolio",
-    "daily",
+    "SELECT portfolio, count(*) AS days, count(*) FILTER (WHERE x.date IS NULL OR y.date IS NULL) AS unmatched_days, " + ", ".join(r(f"max(abs(x.{c} - y.{c}))", f"difference_{c}") for c in _AUDITED) + ", "
+    "count(*) FILTER (WHERE x.date IS NULL OR y.date IS NULL) = 0 AND " + " AND ".join(f"coalesce(max(abs(x.{c} - y.{c})), 0) < 1e-12" for c in _AUDITED) + " AS passes FROM "
+    "(SELECT * FROM daily WHERE gross_exposure > 0 OR turnover > 0) x FULL JOIN (SELECT portfolio, date, " + ", ".join(f"sum({e}) AS {c}" for c, e in _AUDITED.items()) + " FROM security GROUP BY portfolio, date) y USING (portfolio, date) GROUP BY portfolio",
+    "daily security",
 )
 def _(spark, d):
-    return attribution.reconcile(_daily(spark, d), _security(spark, d)).select("portfolio", "days", "unmatched_days", "passes")
+    return attribution.reconcile(_daily(spark, d), _security(spark, d))
 
 
 @entry(
@@ -1127,14 +1141,19 @@ def _refreshed(spark, d):
     return workflow.monitoring_datasets(panel, sources.market_series(spark, d), sources.sectors(spark, d), data)
 
 
+@shared
+def _flags(spark, d):
+    return _refreshed(spark, d)["diagnostic_flags"]
+
+
 @entry("diagnostic_flags")
 def _(spark, d):
-    return _refreshed(spark, d)["diagnostic_flags"]
+    return _flags(spark, d)
 
 
 @entry("monitoring_overview")
 def _(spark, d):
-    return _refreshed(spark, d)["latest_overview"]
+    return monitoring.overview(_flags(spark, d))
 
 
 # --- data quality ---------------------------------------------------------------------

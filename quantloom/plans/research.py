@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quantloom.operators import alignment, attribution, beta_books, costs, evidence, grid, linear, portfolio, reconcile, risk, stress
+from quantloom.operators import alignment, attribution, beta_books, costs, dashboard, evidence, grid, linear, portfolio, reconcile, risk, stress
 from quantloom.operators.contracts import Contract
 from quantloom.plans import further
 from quantloom.plans import registry as base
 from quantloom.plans.registry import CTES, _return_summary, _roll, entry, r, rs
-from quantloom.sources import loader
+from quantloom.sources import files, loader
 from quantloom.sources import panel as sources
 from quantloom.sources.shared import once
 
@@ -409,17 +409,15 @@ def _(spark, d):
     return reconcile.row_differences(prices, later, ["date", "ticker"], {"adj_close": 0.5}).select("key", "column", "kind", "gap")
 
 
-_SUMS = ("long_return", "short_return", "gross_return", "turnover", "transaction_cost", "net_return", "missing_return_weight")
-_OF = dict(zip(_SUMS, ("long_return_contribution", "short_return_contribution", "gross_return_contribution", "absolute_trade_weight", "transaction_cost_contribution", "net_return_contribution", "missing_return_weight_contribution"), strict=True))
 #: Securities without one region: what a reconciliation must find.
 _LEFT_OUT = "ASIA"
 
 
 @entry(
     "attribution_gaps",
-    "SELECT portfolio, count(*) AS days, count(*) FILTER (WHERE x.date IS NULL OR y.date IS NULL) AS unmatched_days, " + ", ".join(r(f"max(abs(x.{c} - y.{c}))", f"difference_{c}") for c in _SUMS) + ", "
-    "count(*) FILTER (WHERE x.date IS NULL OR y.date IS NULL) = 0 AND " + " AND ".join(f"coalesce(max(abs(x.{c} - y.{c})), 0) < 1e-12" for c in _SUMS) + " AS passes FROM "
-    "(SELECT * FROM daily WHERE gross_exposure > 0 OR turnover > 0) x FULL JOIN (SELECT portfolio, date, " + ", ".join(f"sum({e}) AS {c}" for c, e in _OF.items()) + " FROM security WHERE ticker NOT IN (SELECT ticker FROM sector WHERE sector = '" + _LEFT_OUT + "') GROUP BY portfolio, date) y USING (portfolio, date) GROUP BY portfolio",
+    "SELECT portfolio, count(*) AS days, count(*) FILTER (WHERE x.date IS NULL OR y.date IS NULL) AS unmatched_days, " + ", ".join(r(f"max(abs(x.{c} - y.{c}))", f"difference_{c}") for c in base._AUDITED) + ", "
+    "count(*) FILTER (WHERE x.date IS NULL OR y.date IS NULL) = 0 AND " + " AND ".join(f"coalesce(max(abs(x.{c} - y.{c})), 0) < 1e-12" for c in base._AUDITED) + " AS passes FROM "
+    "(SELECT * FROM daily WHERE gross_exposure > 0 OR turnover > 0) x FULL JOIN (SELECT portfolio, date, " + ", ".join(f"sum({e}) AS {c}" for c, e in base._AUDITED.items()) + " FROM security WHERE ticker NOT IN (SELECT ticker FROM sector WHERE sector = '" + _LEFT_OUT + "') GROUP BY portfolio, date) y USING (portfolio, date) GROUP BY portfolio",
     "daily security sector",
 )
 def _(spark, d):
@@ -561,3 +559,112 @@ def _(spark, d):
     yields = lines.agg(F.round(100 * F.avg("l_discount"), 6).alias("irx"), F.count("*").alias("n")).filter("n >= 25").drop("n")
     dates = portfolio.usable_dates(base._returns(spark, d), "forward_ret_1d")
     return alignment.daily_risk_free(yields, "irx", dates).select("date", (F.col("risk_free_rate") * 1e6).alias("rate_ppm"))
+
+
+# --- SQL of the composed queries ---------------------------------------------------------------------
+
+
+def _share5(value: str) -> str:
+    kept = f"({value}) FILTER (WHERE {value} > 1e-12)"
+    return f"list_sum(list_slice(list_reverse_sort(list{kept}), 1, 5)) / sum{kept}"
+
+
+def _rolled63(entity: str, source: str) -> str:
+    """Sums of an entity's net contributions over 63 dates of its portfolio, dates without it as 0."""
+    return (
+        f"SELECT portfolio, date, {entity}, sum(v) OVER k AS c, row_number() OVER (PARTITION BY portfolio, {entity} ORDER BY date) AS n FROM (SELECT a.portfolio, a.date, b.{entity}, coalesce(s.v, 0) AS v FROM (SELECT DISTINCT portfolio, date FROM security) a "
+        f"JOIN (SELECT DISTINCT portfolio, {entity} FROM {source}) b ON a.portfolio = b.portfolio LEFT JOIN (SELECT portfolio, date, {entity}, sum(net_return_contribution) AS v FROM {source} GROUP BY 1, 2, 3) s ON s.portfolio = a.portfolio AND s.date = a.date AND s.{entity} = b.{entity}) "
+        f"WINDOW k AS (PARTITION BY portfolio, {entity} ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)"
+    )
+
+
+_BY_SECTOR = "(SELECT s.*, x.sector FROM security s JOIN sector x ON x.ticker = s.ticker WHERE x.sector IS NOT NULL)"
+CTES["conc"] = (
+    "holdings sector detail security",
+    "SELECT h.portfolio, h.date, a.v AS sector_net, b.v AS beta5, c.v AS contributor5, e.v AS sectors63 FROM (SELECT DISTINCT portfolio, date FROM holdings) h "
+    "LEFT JOIN (SELECT portfolio, date, max(abs(n)) AS v FROM (SELECT portfolio, date, sector, sum(weight) AS n FROM holdings h JOIN sector s ON s.ticker = h.ticker WHERE sector IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2) a ON a.portfolio = h.portfolio AND a.date = h.date "
+    f"LEFT JOIN (SELECT portfolio, date, {_share5('g')} AS v FROM (SELECT portfolio, date, abs(market_beta_contribution) AS g FROM detail) GROUP BY 1, 2) b ON b.portfolio = h.portfolio AND b.date = h.date "
+    f"LEFT JOIN (SELECT portfolio, date, {_share5('g')} AS v FROM (SELECT portfolio, date, abs(c) AS g FROM ({_rolled63('ticker', 'security')}) WHERE n >= 63) GROUP BY 1, 2) c ON c.portfolio = h.portfolio AND c.date = h.date "
+    f"LEFT JOIN (SELECT portfolio, date, pow(sum(g) FILTER (WHERE g > 1e-12), 2) / sum(g * g) FILTER (WHERE g > 1e-12) AS v FROM (SELECT portfolio, date, abs(c) AS g FROM ({_rolled63('sector', _BY_SECTOR)}) WHERE n >= 63) GROUP BY 1, 2) e ON e.portfolio = h.portfolio AND e.date = h.date",
+)
+
+
+def _structural_sql(source: str, entity: str, kind: str, value: str, passes: str, threshold: str, category: str, diagnostic: str, calibration: str) -> str:
+    return (
+        f"SELECT '{kind}' AS entity_type, entity, '{category}' AS category, '{diagnostic}' AS diagnostic, date AS latest_date, {r('v', 'latest_value')}, 'Structural' AS adverse_direction, '{calibration}' AS calibration, {r('t', 'threshold_value')}, "
+        f"CAST(NULL AS DOUBLE) AS historical_percentile, CASE WHEN p IS NULL OR v IS NULL THEN 'UNAVAILABLE' WHEN p THEN 'PASS' ELSE 'BREACH' END AS status FROM (SELECT {entity} AS entity, date, {value} AS v, {passes} AS p, {threshold} AS t FROM {source} QUALIFY row_number() OVER (PARTITION BY {entity} ORDER BY date DESC) = 1)"
+    )
+
+
+CTES["betas"] = ("beta_sums", "SELECT portfolio, date, abs(holdings_market_beta) AS beta, CASE WHEN holdings_gross_exposure > 0 THEN beta_covered_gross_weight / holdings_gross_exposure END AS covered FROM beta_sums")
+CTES["known_ic"] = ("health", "SELECT factor AS portfolio, date, rolling_mean_ic_252 AS v FROM health QUALIFY rolling_mean_ic_252 IS NOT NULL OR count(rolling_mean_ic_252) OVER (PARTITION BY factor) = 0")
+_BOOKS_RISK = "(SELECT * FROM risk_state WHERE portfolio <> 'MARKET')"
+_FLAG_PARTS = [
+    _structural_sql("betas", "portfolio", "Portfolio", "covered", "covered >= 1 - 1e-8", "1.0", "Market risk", "Holdings beta coverage", "Complete beta coverage"),
+    _structural_sql("coverage", "portfolio", "Portfolio", "c", "c >= 1 - 1e-8", "1.0", "Implementation", "Liquidity coverage", "Complete traded-weight coverage"),
+    _structural_sql("impl_state", "portfolio", "Portfolio", "maximum_missing_return_weight_63", "maximum_missing_return_weight_63 <= 1e-8", "0.0", "Implementation", "Trailing missing-return weight", "No missing-return exposure"),
+    _structural_sql("health", "factor", "Factor", "signal_coverage", "signal_observations >= 30", "30.0::DOUBLE / universe_observations", "Signal", "Signal coverage", "At least 30 cross-sectional observations"),
+    *[base._flags_sql(_BOOKS_RISK, k, *v) for k, v in base.monitoring.RISK_METRICS.items()],
+    base._flags_sql("betas", "beta", *base.monitoring.BETA_METRICS["abs(holdings_market_beta)"]),
+    *[base._flags_sql("conc", c, *v) for c, v in zip(("sector_net", "beta5", "contributor5", "sectors63"), base.monitoring.CONCENTRATION_METRICS.values(), strict=True)],
+    *[base._flags_sql("impl_state", k, *v) for k, v in base.monitoring.IMPLEMENTATION_METRICS.items()],
+    "SELECT 'Factor' AS entity_type, * EXCLUDE (entity_type) FROM (" + base._flags_sql("known_ic", "v", "Signal", "252-observation rolling mean IC", "Lower") + ")",
+]
+CTES["flags"] = ("betas coverage impl_state health risk_state conc known_ic", " UNION ALL ".join(f"SELECT * FROM ({p})" for p in _FLAG_PARTS))
+base._SQL["diagnostic_flags"] = base._compose(["flags"], "SELECT * FROM flags")
+_LEVEL = "CASE {} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in base.monitoring.SEVERITY.items()) + " END"
+_WORST = "list_extract(" + str(list(base.monitoring.SEVERITY)) + ", 1 + max(" + _LEVEL.format("status") + "){})"
+base._SQL["monitoring_overview"] = base._compose(
+    ["flags"],
+    "SELECT entity_type, entity, count(*) AS diagnostic_count, " + ", ".join(f"count(*) FILTER (WHERE status = '{k}') AS {k.lower()}_count" for k in base.monitoring.SEVERITY) + f", {_WORST.format('')} AS overall_status, "
+    + ", ".join("coalesce(" + _WORST.format(f" FILTER (WHERE category = '{c}')") + f", 'N/A') AS {c.lower().replace(' ', '_')}_status" for c in base.monitoring.CATEGORIES) + " FROM flags GROUP BY entity_type, entity",
+)
+
+
+def _book_sql(score: str) -> str:
+    return (
+        "SELECT date, ticker, CASE WHEN nl > 0 AND ns > 0 AND q = 5 THEN 1.0::DOUBLE / nl WHEN nl > 0 AND ns > 0 AND q = 1 THEN -1.0::DOUBLE / ns ELSE 0::DOUBLE END AS weight FROM ("
+        "SELECT *, count(*) FILTER (WHERE q = 5) OVER k AS nl, count(*) FILTER (WHERE q = 1) OVER k AS ns FROM ("
+        f"SELECT *, CASE WHEN x IS NOT NULL AND n >= {base.LEAST} THEN greatest(1, ((rn - 1) * 5 + n - 2) // greatest(n - 1, 1)) END AS q FROM ("
+        f"SELECT *, row_number() OVER (PARTITION BY date, x IS NULL ORDER BY x, ticker) AS rn, count(x) OVER (PARTITION BY date) AS n FROM (SELECT date, ticker, {score} AS x FROM proc))) WINDOW k AS (PARTITION BY date))"
+    )
+
+
+CTES["score_book"] = ("proc", _book_sql("0.5::DOUBLE * mom_12_1m_z + 0.5::DOUBLE * realised_vol_63_z"))
+CTES["joint10"] = (
+    "gdaily",
+    "SELECT date, max(v) FILTER (WHERE book = 'Momentum') AS a, max(v) FILTER (WHERE book = 'Volatility') AS b FROM (SELECT book, date, CASE WHEN gross_exposure > 1e-12 THEN gross_return END AS v FROM gdaily WHERE frequency = 10 AND \"offset\" = 0 AND cost_bps = 0) GROUP BY date HAVING count(v) = 2",
+)
+CTES["alloc10"] = (
+    "joint10 dates",
+    "SELECT date, CASE WHEN n >= 42 AND sa > 0 AND sb > 0 THEN (1 / sa) / (1 / sa + 1 / sb) ELSE 0.5::DOUBLE END AS a FROM (SELECT q.date, count(j.a) AS n, stddev_samp(j.a) AS sa, stddev_samp(j.b) AS sb FROM (SELECT date FROM dates WHERE idx % 10 = 0) q "
+    "LEFT JOIN (SELECT *, row_number() OVER (ORDER BY date) AS k FROM joint10) j ON j.date < q.date AND j.k > (SELECT count(*) FROM joint10 z WHERE z.date < q.date) - 63 GROUP BY q.date)",
+)
+base._SQL["strategy_targets"] = base._compose(
+    ["score_book", "gbooks", "alloc10", "dates"],
+    f"SELECT portfolio, date, ticker, {r('weight', 'weight')} FROM (SELECT 'Composite' AS portfolio, s.* FROM score_book s JOIN dates USING (date) WHERE idx % 21 = 0 "
+    "UNION ALL SELECT 'Fixed', date, ticker, sum(weight * 0.5::DOUBLE) FROM gbooks JOIN dates USING (date) WHERE idx % 10 = 0 GROUP BY date, ticker "
+    "UNION ALL SELECT 'Inverse-Vol', g.date, ticker, sum(weight * CASE WHEN book = 'Momentum' THEN a ELSE 1 - a END) FROM gbooks g JOIN alloc10 q ON q.date = g.date GROUP BY g.date, ticker) x",
+)
+
+
+# --- tables behind the monitoring pages ----------------------------------------------------------------
+
+@entry("active_flags", "SELECT entity_type, entity, category, diagnostic, status, " + _LEVEL.format("status") + " AS status_severity FROM flags WHERE status <> 'PASS'", "flags")
+def _(spark, d):
+    return base.monitoring.active_flags(base._flags(spark, d)).select("entity_type", "entity", "category", "diagnostic", "status", "status_severity")
+
+
+@entry("diagnostic_table", f"SELECT entity_type, entity, category, diagnostic, status, {r('latest_value', 'latest_value')} FROM flags WHERE entity_type = 'Portfolio' AND category IN ('Market risk', 'Concentration')", "flags")
+def _(spark, d):
+    chosen = dashboard.diagnostic_table(base._flags(spark, d), entity_type=["Portfolio"], category=["Market risk", "Concentration"])
+    return chosen.select("entity_type", "entity", "category", "diagnostic", "status", "latest_value")
+
+
+@entry("universe_symbols", "SELECT s_name || '.' || n_name AS ticker, replace(s_name || '.' || n_name, '.', '-') AS vendor_ticker, s_name AS name, r_name AS sector FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def _(spark, d):
+    """A listing with headers of any capitalisation as a universe."""
+    supplier, nation, region = (sources.table(spark, d, t) for t in ("supplier", "nation", "region"))
+    rows = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    listing = rows.select(F.concat(F.lit(" "), "s_name", F.lit("."), "n_name").alias("Symbol"), F.col("s_name").alias("NAME "), F.col("r_name").alias("Sector"))
+    return files.get_universe("default", listing)

@@ -69,9 +69,11 @@ def test_report(spark, home, tmp_path):
     assert len(names) >= 8 and all(any((tmp_path / n).glob("*.csv")) for n in names)
 
 
-def test_refresh_is_dry_and_then_writes_both_groups(spark, home):
+def test_refresh_is_dry_and_then_writes_both_groups(spark, home, monkeypatch):
     path, _ = home
     args = [spark, f"{path}/prices", f"{path}/benchmark", f"{path}/universe", f"{path}/groups"]
+    made = workflow.complete_refresh(*[spark.read.parquet(p) for p in args[1:4]], least=10)
+    monkeypatch.setattr(workflow, "complete_refresh", lambda *_, **__: made)
     first = jobs.refresh(*args, least=10)
     assert {(r.group, r.kind) for r in first.collect()} == {("attribution", "new_group"), ("monitoring", "new_group")}
     assert not versions(spark, f"{path}/groups/attribution")
@@ -81,9 +83,7 @@ def test_refresh_is_dry_and_then_writes_both_groups(spark, home):
     data = read_group(spark, f"{path}/groups/monitoring")
     assert set(data) == set(jobs.MONITORING) and data["latest_overview"].filter("entity_type = 'Portfolio'").count() == 3
     # The monitoring group can be made again from the attribution group alone.
-    jobs.build_processed(spark, f"{path}/prices", f"{path}/universe", f"{path}/processed2")
-    jobs.build_factors(spark, f"{path}/processed2", f"{path}/benchmark", f"{path}/factors2")
-    out = jobs.rebuild_monitoring(spark, f"{path}/factors2", f"{path}/benchmark", f"{path}/universe", f"{path}/groups")
+    out = jobs.rebuild_monitoring(spark, f"{path}/factors", f"{path}/benchmark", f"{path}/universe", f"{path}/groups")
     assert out.count() == len(jobs.MONITORING) and versions(spark, f"{path}/groups/monitoring")[-1].number == 2
 
 
