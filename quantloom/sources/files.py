@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,21 +75,39 @@ def file_stem(name: str) -> str:
     return name.lower().replace(" ", "_").replace("-", "_")
 
 
+def row_checksum(df: DataFrame) -> Column:
+    """An aggregate over all cells that does not depend on the order of rows; nulls count by their place."""
+    cells = [F.to_json(F.struct(f"`{f.name}`")) if isinstance(f.dataType, (T.MapType, T.VariantType)) else F.col(f"`{f.name}`") for f in df.schema.fields]
+    places = F.array(*[c.isNull() for c in cells])
+    return F.coalesce(F.sum(F.xxhash64(*cells, places).cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)")).cast("string")
+
+
 def write_checked(df: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
-    """Write beside the target, read back, compare, then move into place; returns a one-row manifest."""
+    """Write beside the target, read back, compare, then move into place; returns a one-row manifest.
+
+    What was given is counted and summed up by the write itself, what was written
+    by one scan.  A move that fails puts the old data back.  Between the two moves
+    there is nothing at ``path``; readers that must not notice a change use
+    ``group_commit``.
+    """
     spark = df.sparkSession
-    aside = f"{path}.{uuid.uuid4().hex}"
-    df.sortWithinPartitions(*keys).write.parquet(aside)
+    aside, seen = f"{path}.{uuid.uuid4().hex}", Observation()
+    total = lambda d: [F.count(F.lit(1)).alias("rows"), row_checksum(d).alias("checksum")]
+    df.observe(seen, *total(df)).sortWithinPartitions(*keys).write.parquet(aside)
     back = spark.read.schema(df.schema).parquet(aside)
-    if back.exceptAll(df).limit(1).count() or df.exceptAll(back).limit(1).count():
-        raise ValueError(f"{path}: what was written differs from what was given")
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    target = fs_path(path)
+    target, new, old = fs_path(path), fs_path(aside), fs_path(f"{path}.{uuid.uuid4().hex}.old")
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    # The old data stay until the new are in place.
-    old = fs_path(f"{path}.{uuid.uuid4().hex}.old")
-    had = fs.exists(target) and fs.rename(target, old)
-    fs.rename(fs_path(aside), target)
+    if back.agg(*total(back)).first().asDict() != seen.get:
+        fs.delete(new, True)
+        raise ValueError(f"{path}: what was written differs from what was given")
+    had = fs.exists(target)
+    if had and not fs.rename(target, old):
+        raise OSError(f"{path}: the old data could not be moved away; the new are in {aside}")
+    if not fs.rename(new, target):
+        if had:
+            fs.rename(old, target)
+        raise OSError(f"{path}: the new data could not be moved into place; they are in {aside}")
     if had:
         fs.delete(old, True)
     return spark.read.schema(df.schema).parquet(path).agg(F.lit(path).alias("path"), F.count("*").alias("rows"))

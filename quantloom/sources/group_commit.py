@@ -19,12 +19,13 @@ import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quantloom.operators.contracts import Contract
 from quantloom.operators.reconcile import row_differences, summarise_differences
+from quantloom.sources.files import row_checksum
 from quantloom.sources.loader import dataset_profile, profile_faults
 from quantloom.sources.store import Store
 
@@ -75,13 +76,6 @@ def current(spark: SparkSession, root: str) -> Version | None:
     return found[-1] if found else None
 
 
-def row_checksum(df: DataFrame) -> Column:
-    """An aggregate over all cells that does not depend on the order of rows; nulls count by their place."""
-    cells = [F.to_json(F.struct(f"`{f.name}`")) if isinstance(f.dataType, (T.MapType, T.VariantType)) else F.col(f"`{f.name}`") for f in df.schema.fields]
-    places = F.array(*[c.isNull() for c in cells])
-    return F.coalesce(F.sum(F.xxhash64(*cells, places).cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)")).cast("string")
-
-
 def _write(df: DataFrame, store: Store, name: str, contract: Contract) -> dict:
     """Write a dataset beside the others and read it back: row count, checksum, keys and dates must be right."""
     folder = f"data/{name}/{uuid.uuid4().hex}"

@@ -43,9 +43,18 @@ def kept(df: DataFrame) -> DataFrame:
     return _written(df)[1]
 
 
+def _stamp(spark: SparkSession, path: str) -> str:
+    """What is in a folder and when it changed: names, sizes and times of its entries."""
+    files, folder = _files(spark, path)
+    return ";".join(sorted(f"{s.getPath().getName()} {s.getLen()} {s.getModificationTime()}" for s in files.listStatus(folder)))
+
+
 def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table ``name`` derived from ``sf_dir``, made at its first use in the application and read from then on."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """The table ``name`` derived from ``sf_dir``, made at its first use in the application and read from then on.
+
+    It is made anew once an entry of ``sf_dir`` has changed.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name, _stamp(spark, sf_dir))
     if key in _ONCE:
         files, folder = _files(spark, _ONCE[key][0])
         if files.exists(folder):

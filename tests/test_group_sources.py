@@ -216,3 +216,28 @@ def test_refresh_is_a_dry_run_unless_told(spark, root):
 def test_first_refresh(spark, tmp_path):
     assert G.refresh_group(spark, f"file://{tmp_path}/fresh", lambda: new(spark), CONTRACTS) == ([], None)
     assert G.refresh_group(spark, f"file://{tmp_path}/fresh", lambda: new(spark), CONTRACTS, write=True) == ([], 1)
+
+
+def test_checked_write_puts_the_old_data_back(spark, tmp_path, monkeypatch):
+    from quantloom.sources import files
+
+    path = f"file://{tmp_path}/one"
+    assert files.write_checked(daily(spark), path, ("date",)).first()["rows"] == 3
+    assert files.write_checked(daily(spark, n=5), path, ("date",)).first()["rows"] == 5
+    other = iter(["a", "b"])
+    monkeypatch.setattr(files, "row_checksum", lambda df: F.max(F.lit(next(other))))
+    with pytest.raises(ValueError, match="differs"):
+        files.write_checked(daily(spark), path, ("date",))
+    assert spark.read.parquet(path).count() == 5 and [p.name for p in tmp_path.iterdir()] == ["one"]
+
+
+def test_shared_tables_follow_their_source(spark, tmp_path):
+    from quantloom.sources.shared import once
+
+    source = f"file://{tmp_path}/source"
+    daily(spark).write.parquet(f"{source}/daily.parquet")
+    read = lambda: once(spark, source, "count", lambda: spark.read.parquet(f"{source}/daily.parquet").groupBy().count()).first()[0]
+    assert read() == 3 and read() == 3
+    daily(spark, n=5).write.parquet(f"{source}/more.parquet")
+    spark.read.parquet(f"{source}/more.parquet").write.mode("append").parquet(f"{source}/daily.parquet")
+    assert read() == 8
