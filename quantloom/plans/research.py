@@ -330,7 +330,7 @@ CTES["bab_fit"] = ("bab_market", _hac_sql("bab_market", "y", ["1", "x"], "book")
 @entry("bab_market_model", f"SELECT t.term, n AS observations, {r('r2', 'r_squared')}, {r('e', 'estimate')}, {r('sqrt(v)', 'error')}, {r('e / sqrt(v)', 't')} FROM (SELECT 'const' AS term, n, r2, b0 AS e, v00 AS v FROM bab_fit UNION ALL SELECT 'market_excess', n, r2, b1, v11 FROM bab_fit) t", "bab_fit")
 def _(spark, d):
     rows = _bab(spark, d).join(base._market(spark, d, True), "date").withColumn("market_excess", F.col("market_return") - F.col("risk_free_rate"))
-    return linear.hac_fit(rows, "bab_return", ["market_excess"], 5).drop("null_value")
+    return linear.hac_fit(rows.withColumn("book", F.lit("BAB")), "bab_return", ["market_excess"], 5, ("book",)).drop("book", "null_value")
 
 
 _K40 = "WINDOW k AS (ORDER BY date ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING)"
