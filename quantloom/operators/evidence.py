@@ -75,7 +75,7 @@ def scorecard(headline: DataFrame, evidence: DataFrame, keys: Sequence[str] = ("
     require_columns(headline, [*keys, headline_return], "headline")
     require_columns(evidence, [*keys, mean_return], "evidence")
     out = one_to_one(headline, evidence, keys, "evidence")
-    return out.withColumn("headline_minus_mean_return", F.col(headline_return) - F.col(mean_return))
+    return out.withColumn("headline_minus_mean_return", F.round(F.col(headline_return) - F.col(mean_return), 12))
 
 
 def volume_momentum(panel: DataFrame, momentum: str = "mom_12_1m_z") -> DataFrame:
