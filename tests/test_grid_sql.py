@@ -39,3 +39,15 @@ def test_offset_sensitivity_is_made_from_published_figures(spark, published):
     for row in got:
         own = [r for r in published if (r["book"], r["frequency"], r["cost_bps"]) == (row.book, row.frequency, row.cost_bps)]
         assert {k: row[k] for k in _figures(own)} == _figures(own)
+
+
+def test_candidate_scorecard_is_made_from_published_figures(spark, published):
+    got = entry.queries()["candidate_scorecard"](spark, SOURCE).collect()
+    assert len(got) == 2
+    for row in got:
+        frequency = {"Momentum": 21, "Volatility": 10}[row.book]
+        own = [r for r in published if (r["book"], r["frequency"], r["cost_bps"]) == (row.book, frequency, 10.0)]
+        assert {k: row[k] for k in _figures(own)} == _figures(own)
+        first = next(Decimal(str(r["annualised_return"])) for r in own if r["offset"] == 0)
+        gap = first - mean(Decimal(str(r["annualised_return"])) for r in own)
+        assert row.headline_minus_mean_return == _six(gap)
