@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quantloom.operators import cross_section, portfolio
+from quantloom.operators import cross_section, grid, portfolio
 
 
 def _panel(spark):
@@ -34,3 +34,10 @@ def test_a_missing_date_has_no_score(spark):
     rows = [(None, "T1", 1.0), (None, "T2", 2.0), (dt.date(2020, 1, 6), "T1", 1.0), (dt.date(2020, 1, 6), "T2", 3.0)]
     got = cross_section.process_factors(spark.createDataFrame(rows, "date date, ticker string, raw double"), {"raw": "f"}).collect()
     assert len(got) == 4 and all((r.f_z is None) == (r.date is None) for r in got)
+
+
+def test_paths_are_one_row_a_ticker(spark):
+    """A row for each date, with the path after it, would be shuffled to the targets: as many paths as names and dates."""
+    panel = _panel(spark).withColumn("r", F.col("raw") / 100)
+    paths = grid.growth_paths(panel, "r", 21).collect()
+    assert len(paths) == 40 and all([x.idx for x in p.steps] == list(range(60)) for p in paths)
