@@ -41,3 +41,8 @@ def test_paths_are_one_row_a_ticker(spark):
     panel = _panel(spark).withColumn("r", F.col("raw") / 100)
     paths = grid.growth_paths(panel, "r", 21).collect()
     assert len(paths) == 40 and all([x.idx for x in p.steps] == list(range(60)) for p in paths)
+
+
+def test_both_bounds_of_a_factor_come_from_one_percentile(spark):
+    plan = cross_section.process_factors(_panel(spark), {"raw": "f"})._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("percentile(") == 1
