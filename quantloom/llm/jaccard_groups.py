@@ -11,8 +11,16 @@ join key that nothing but equal parts shares.  Sizes come in levels with a fixed
 m each; a set whose partners reach down into lower levels also gives the keys of
 those.  Parts without tokens give no key; m has spare parts for them, and a set
 with more empty parts than spare ones gives keys for those too.  So no linked
-pair is missed (64-bit hashes stand for shingles).  Near copies share very many
-keys; of keys with the same sets one is kept.
+pair is missed (64-bit hashes stand for shingles).
+
+Rare tokens.  Texts with a passage in common share parts without being linked, and
+the pairs of those grow with the square of the texts that have the passage.  So
+among the sets that share a part all tokens are put in one order, rarest first.  Of
+two linked sets each has p % of its tokens in the other; so the first token that
+both have is among the first n - ceil(p n / 100) + 1 of either, and from here on only
+these are keys.  Tokens that no other set has come first in the order and give no
+key: a set with fewer than p % of its tokens elsewhere has none.  Near copies share
+many keys; of keys with the same sets one is kept.
 
 Groups.  Sets join the group of the key they share with most others, split into
 groups of at most ``GROUP`` members and about ``GROUP_TOKENS`` tokens.  The union
@@ -34,7 +42,7 @@ shingles all stay.
 
 Scale.  The texts are read once for sizes, fingerprints and keys (about n/6 keys
 for n shingles at 90 %, n/2 at 80 %, dealt in two passes then), and once more, only
-the candidates', for their sets.  Within a task copies give their keys once.  A task
+the candidates', for their sets, whose tokens are counted in ``TOKEN_PASSES``.  Within a task copies give their keys once.  A task
 holds a union and a block of queries, or the sets of two groups, at a time.
 """
 
@@ -60,6 +68,8 @@ GROUP_TOKENS = 2_000_000
 ASKING = 4096
 #: Passes over the asking sets at most, so that no shuffle holds them all; fewer where tasks would have less than ``TASK_BYTES``.
 ASK_PASSES = 4
+#: Passes over the candidates' tokens, so that no shuffle holds them all.
+TOKEN_PASSES = 4
 #: Bytes of token sets for which an exchange has a task of its own, between one and four times the session's partitions.
 TASK_BYTES = 1 << 20
 #: Fingerprints that a task remembers; copies beyond give their keys again, which changes nothing.
@@ -173,6 +183,16 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
             )
 
 
+def _flat(batches: Iterator[pa.RecordBatch], place: int, passes: int) -> Iterator[pa.RecordBatch]:
+    """key, fa: the tokens of each set that are dealt to one of the passes."""
+    for batch in batches:
+        names, tokens = batch.column("fa").to_numpy(), batch.column("tokens")
+        own = [np.frombuffer(tokens[i].as_buffer(), np.uint64) for i in range(batch.num_rows)]
+        own = [x[x % _U(passes) == _U(place)] for x in own]
+        keys = np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(names, [len(x) for x in own]))], names=["key", "fa"])
+
+
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 8192) -> np.ndarray:
     """Intersection sizes of all left sets with all right sets, by blocks of shared tokens."""
     shared = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
@@ -358,8 +378,33 @@ def shared_keys(sketches: DataFrame, percent: int) -> DataFrame:
     return scratch(keyed.join(kept, "key").distinct(), "near-hits")
 
 
+def rare_keys(sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """key, fa, c: the rarest tokens of each set (fa, tokens), as far as c > 1 sets have them among theirs."""
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = []
+    for k in range(TOKEN_PASSES):
+        flat = sets.mapInArrow(lambda batches, k=k: _flat(batches, k, TOKEN_PASSES), "key long, fa long").repartition(4 * parts, "key")
+        flat = flat.withColumn("c", F.count("*").over(Window.partitionBy("key"))).filter("c > 1")
+        found.append(scratch(flat, "near-tokens"))
+        free_shuffles(sets.sparkSession)
+    shared = reduce(DataFrame.unionByName, found)
+    # Sets with too few tokens elsewhere link with none; the others' first ones in the order are left.
+    least = F.ceil(F.lit(percent) * F.col("n") / 100)
+    able = shared.groupBy("fa").agg(F.count("*").alias("own")).join(sizes, "fa").filter(F.col("own") >= least)
+    able = scratch(able.select("fa", (F.col("own") - least + 1).cast("int").alias("first")), "near-able")
+    ranked = shared.join(small(able), "fa").groupBy("fa", "first").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("keys"))
+    rare = scratch(ranked.select(F.explode(F.slice("keys", F.lit(1), F.col("first"))["key"]).alias("key"), "fa"), "near-rare")
+    sets_of = rare.groupBy("key").agg(
+        F.count("*").alias("c"), F.min("fa").alias("low"), F.max("fa").alias("high"), F.bit_xor(F.xxhash64("fa")).alias("all")
+    ).filter("c > 1")
+    kept = scratch(sets_of.groupBy("c", "low", "high", "all").agg(F.min("key").alias("key")).select("key", "c"), "near-keys")
+    hits = scratch(rare.join(small(kept), "key"), "near-hits")
+    free_shuffles(sets.sparkSession)
+    return hits
+
+
 def near_labels(docs: DataFrame, sketches: DataFrame, hits: DataFrame, group: int = GROUP, size: int = 3, percent: int = 90) -> DataFrame:
-    """fa, label: the component of every fingerprint that shares a key with another one.
+    """fa, label: the component of every fingerprint that shares a key with another one, be it part or rare token.
 
     Three rounds, each over what the ones before left apart.  First every group
     within itself.  Then a few champions of groups that share a key, against
@@ -370,17 +415,11 @@ def near_labels(docs: DataFrame, sketches: DataFrame, hits: DataFrame, group: in
     the one of the smaller asks the group of the other.
     """
     spark = docs.sparkSession
-    best = hits.groupBy("fa").agg(F.max(F.struct("c", "key")).alias("best")).select("fa", F.col("best.key").alias("home"))
     # One text stands for each fingerprint; it is told by doc_id and mark, so that rows without an id serve too.
-    picked = best.join(sketches.select("fa", "n", "doc_id", "mark"), "fa").groupBy("fa", "home").agg(
+    picked = hits.select("fa").distinct().join(sketches.select("fa", "n", "doc_id", "mark"), "fa").groupBy("fa").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "mark")).alias("pick"), F.max("n").alias("n")
     )
     picked = scratch(picked, "near-picks")
-    homes = picked.groupBy("home").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"))
-    parts = F.ceil(F.greatest(F.col("members") / group, F.col("tokens") / GROUP_TOKENS))
-    members = scratch(
-        picked.join(homes, "home").select("fa", F.xxhash64("home", F.pmod(F.xxhash64("fa"), parts)).alias("g")), "near-members"
-    )
     rows = picked.select(F.col("pick.doc_id").alias("pick_doc"), F.col("pick.mark").alias("pick_mark")).distinct()
     rows = small(scratch(rows, "near-rows"))
     same = F.col("doc_id").eqNullSafe(F.col("pick_doc")) & (F.col("mark") == F.col("pick_mark"))
@@ -390,6 +429,14 @@ def near_labels(docs: DataFrame, sketches: DataFrame, hits: DataFrame, group: in
         # Repeated rows bring equal sets.
         sets = scratch(sets.dropDuplicates(["fa"]), "near-sets")
 
+    hits = rare_keys(sets, picked.select("fa", "n"), percent)
+    best = hits.groupBy("fa").agg(F.max(F.struct("c", "key")).alias("best")).select("fa", F.col("best.key").alias("home"))
+    picked = scratch(picked.join(best, "fa").select("fa", "n", "home"), "near-homes")
+    homes = picked.groupBy("home").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"))
+    parts = F.ceil(F.greatest(F.col("members") / group, F.col("tokens") / GROUP_TOKENS))
+    members = scratch(
+        picked.join(homes, "home").select("fa", F.xxhash64("home", F.pmod(F.xxhash64("fa"), parts)).alias("g")), "near-members"
+    )
     sizes = picked.select("fa", "n")
     within = members.select(F.col("g").alias("ga"), F.col("g").alias("gb"), F.lit(0).alias("side"), "fa")
     labels = _merge(members.select("fa", "g", F.col("fa").alias("label")), _links(within, sets, sizes, percent))

@@ -84,3 +84,40 @@ def test_dealing_changes_no_component(spark, monkeypatch):
     assert len({r[2] for r in found[0]}) < len(rows)
     passes = {p for _, p in seen}
     assert {1, jaccard_groups.ASK_PASSES} <= passes
+
+
+def brute(rows, size, percent):
+    """The smallest id reachable by links, by comparing all pairs."""
+    sets = {i: {tuple(w[k : k + size]) for k in range(max(len(w) - size + 1, 1))} for i, w in rows}
+    least = {i: i for i in sets}
+    links = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    while any(least[i] != least[j] for i, j in links):
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    return least
+
+
+def test_texts_with_a_common_passage_ask_for_no_groups(spark, monkeypatch):
+    rng = random.Random(7)
+    passage = [f"p{k}" for k in range(60)]
+    rows = [(i, [f"t{i}x{k}" for k in range(25)] + passage) for i in range(80)]
+    # Families whose members are mostly passage, and one chain of near copies.
+    rows += [(100 + i, [f"f{i // 4}", *passage[i % 4 :], f"g{i // 2}"]) for i in range(12)]
+    chain = [f"c{k}" for k in range(90)]
+    for i in range(9):
+        chain = changed(chain, {rng.randrange(90)})
+        rows.append((200 + i, chain))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    asked, ask = [], jaccard_groups._ask
+
+    def counted(asks, *rest):
+        asked.append(asks.select("fa").distinct().filter(F.col("fa").isin(lonely)).count())
+        return ask(asks, *rest)
+
+    single = docs.filter("doc_id < 80").select(F.lit(0).alias("doc_id"), F.lit(0).alias("mark"), "text")
+    found = single.mapInArrow(lambda b: jaccard_groups._sets(b, 5), "fa long, tokens binary").collect()
+    lonely = [r.fa for r in found]
+    monkeypatch.setattr(jaccard_groups, "_ask", counted)
+    got = {r.doc_id: r.component_id for r in jaccard_groups.near_components(docs, group=4, size=5, percent=80).collect()}
+    assert got == brute(rows, 5, 80)
+    assert len(asked) == 2 and sum(asked) == 0
