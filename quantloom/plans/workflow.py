@@ -121,6 +121,17 @@ def attribution_datasets(panel: DataFrame, targets: DataFrame, returns: str = "f
     }
 
 
+#: What flags read of each state.
+FLAG_COLUMNS = {
+    "performance": ("annualised_volatility_126", "drawdown"),
+    "beta": ("beta_coverage", "holdings_market_beta"),
+    "states": tuple(monitoring.CONCENTRATION_METRICS),
+    "implementation": ("annualised_turnover_63", "largest_trade_weight_63", "minimum_trade_capacity_1pct_usd_63", "maximum_missing_return_weight_63"),
+    "liquidity": ("liquidity_coverage",),
+    "health": ("universe_observations", "signal_observations", "signal_coverage", "rolling_mean_ic_252"),
+}
+
+
 def concentration_states(security: DataFrame, holdings: DataFrame, sectors: DataFrame, detail: DataFrame) -> DataFrame:
     """All concentration measures per portfolio and date."""
     keys = ["portfolio", "date"]
@@ -136,6 +147,14 @@ def concentration_states(security: DataFrame, holdings: DataFrame, sectors: Data
     )
 
 
+def all_flags(performance: DataFrame, beta: DataFrame, states: DataFrame, implementation: DataFrame, liquidity: DataFrame, health: DataFrame) -> DataFrame:
+    """Flags of all portfolios and factors; of each state only the columns that a flag reads are made, and once."""
+    from_books = {"performance": performance.filter("portfolio <> 'MARKET'"), "beta": beta, "states": states, "implementation": implementation, "liquidity": liquidity}
+    read = [kept(df.select("portfolio", "date", *FLAG_COLUMNS[k])) for k, df in from_books.items()]
+    signals = kept(health.select("factor", "date", *FLAG_COLUMNS["health"]))
+    return monitoring.portfolio_flags(*read).unionByName(monitoring.signal_flags(signals))
+
+
 def monitoring_datasets(panel: DataFrame, benchmark: DataFrame, sectors: DataFrame, data: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """Signal health, dependence, performance, beta, concentration, implementation, liquidity, flags and overview."""
     market = risk.market_returns(benchmark, forward=True)
@@ -147,8 +166,7 @@ def monitoring_datasets(panel: DataFrame, benchmark: DataFrame, sectors: DataFra
     states = kept(concentration_states(data["security_daily"], data["security_holdings"], sectors, detail))
     implementation = kept(monitoring.implementation_state(data["security_daily"], panel))
     liquidity = kept(monitoring.liquidity_coverage(data["security_daily"], panel))
-    flags = monitoring.portfolio_flags(performance.filter("portfolio <> 'MARKET'"), beta, states, implementation, liquidity)
-    flags = kept(flags.unionByName(monitoring.signal_flags(health)))
+    flags = kept(all_flags(performance, beta, states, implementation, liquidity, health))
     return {
         "signal_health": health,
         "factor_dependence": validation.factor_dependence(panel, *SLEEVES.values()),

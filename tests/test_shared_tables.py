@@ -3,8 +3,9 @@
 import pytest
 
 from quantloom.functions.stats import average_rank
-from quantloom.operators import backtest
+from quantloom.operators import backtest, monitoring
 from quantloom.plans import registry as base
+from quantloom.plans import workflow
 
 DIR = "/root/testdata/sf0.001"
 
@@ -21,6 +22,19 @@ def test_holdings_read_returns_from_the_processed_table(spark, monkeypatch):
         assert make(spark, DIR).columns
 
 
+def test_flags_of_all_portfolios_read_the_shared_tables(spark, monkeypatch):
+    """One processed table and one set of targets serve them; what no flag reads is not made."""
+
+    def again(*_, **__):
+        pytest.fail("made, though no flag reads it or a shared table has it")
+
+    for module, name in ((base, "_factor_panel"), (workflow, "factor_panel"), (workflow, "attribution_datasets"), (workflow, "monitoring_datasets")):
+        monkeypatch.setattr(module, name, again)
+    flags = base._flags(spark, DIR)
+    assert {r.entity for r in flags.select("entity").distinct().collect()} >= set(base.HEALTH)
+    assert flags.count() == flags.select(*monitoring.KEY).distinct().count()
+
+
 def test_a_rank_needs_one_window(spark):
     rows = [("a", 1.0), ("a", 3.0), ("a", 3.0), ("a", None), ("b", 2.0), ("b", 2.0), ("b", 2.0), ("a", 5.0)]
     df = spark.createDataFrame(rows, "k string, v double").withColumn("rank", average_rank("v", ("k",)))
