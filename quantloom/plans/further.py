@@ -184,7 +184,7 @@ CTES["coverage"] = ("implementation", "SELECT portfolio, date, turnover, covered
 
 @entry("coverage_snapshot", f"SELECT portfolio, {r('min(c)', 'minimum_coverage')}, count(*) FILTER (WHERE c < 1 - 1e-8) AS incomplete_days FROM coverage GROUP BY portfolio", "coverage")
 def _(spark, d):
-    return dashboard.coverage_snapshot(monitoring.liquidity_coverage(base._security(spark, d), base._prices(spark, d)))
+    return dashboard.coverage_snapshot(monitoring.liquidity_coverage(base._liquid(spark, d), base._prices(spark, d)))
 
 
 _FROM, _TO = "1995-01-01", "1998-12-31"
@@ -193,7 +193,7 @@ _IN = f"date BETWEEN DATE '{_FROM}' AND DATE '{_TO}'"
 
 @entry("liquidity_history", f"SELECT portfolio, date, {r('c', 'liquidity_coverage')} FROM coverage WHERE portfolio = 'Volatility' AND {_IN}", "coverage")
 def _(spark, d):
-    rows = monitoring.liquidity_coverage(base._security(spark, d), base._prices(spark, d))
+    rows = monitoring.liquidity_coverage(base._liquid(spark, d), base._prices(spark, d))
     return dashboard.history(rows, ["liquidity_coverage"], entities=["Volatility"], start=_FROM, end=_TO)
 
 

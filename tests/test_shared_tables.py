@@ -35,6 +35,14 @@ def test_flags_of_all_portfolios_read_the_shared_tables(spark, monkeypatch):
     assert flags.count() == flags.select(*monitoring.KEY).distinct().count()
 
 
+def test_liquidity_is_looked_up_once(spark, monkeypatch):
+    calls, real = [], monitoring.add_lagged_dollar_volume
+    monkeypatch.setattr(monitoring, "add_lagged_dollar_volume", lambda *a, **k: calls.append(1) or real(*a, **k))
+    folder = f"{DIR}/."  # a folder of its own name, whose tables are not there yet
+    assert base.queries()["liquidity_coverage"](spark, folder).count() == base.queries()["implementation_state"](spark, folder).count()
+    assert len(calls) == 1
+
+
 def test_a_rank_needs_one_window(spark):
     rows = [("a", 1.0), ("a", 3.0), ("a", 3.0), ("a", None), ("b", 2.0), ("b", 2.0), ("b", 2.0), ("a", 5.0)]
     df = spark.createDataFrame(rows, "k string, v double").withColumn("rank", average_rank("v", ("k",)))
